@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, quality_classifier
+from . import html_extract, quality_classifier, quality_rules, toxicity
+from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +35,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, bias = quality_classifier.fit(documents, labels)
     out = quality_classifier.score_texts(documents.select("doc_id", "text"), weights, bias)
     return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = save(quality_rules.signals(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "signals")
+    out = quality_rules.judge(found, quality_rules.fit(found))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = toxicity.score_toxicity(documents.select("doc_id", "text"), toxicity.fit(documents, labels))
+    return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
