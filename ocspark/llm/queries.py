@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, quality_classifier, quality_rules, toxicity
+from . import html_extract, packing, quality_classifier, quality_rules, toxicity
 from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     out = toxicity.score_toxicity(documents.select("doc_id", "text"), toxicity.fit(documents, labels))
     return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+#: Vocabulary of op8.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = save(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
+    return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
