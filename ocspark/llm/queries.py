@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, packing, quality_classifier, quality_rules, toxicity
+from . import decontaminate, html_extract, packing, quality_classifier, quality_rules, toxicity
 from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = save(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
