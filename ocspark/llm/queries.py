@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, packing, pii, quality_classifier, quality_rules, toxicity
+from . import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_classifier, quality_rules, toxicity
 from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.KINDS[:4]
     return found.select("doc_id", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.listing(base), 256).alias("base_sha256"), pii.listing(pii.KINDS).alias("spans"))
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its class, the least doc_id in it, and whether it stays."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each occurrence of a paragraph that repeats: where it is, its class by the place of the first, whether it goes."""
+    out = paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "start", "length", "class_doc_id", "class_start", "removed")
