@@ -28,7 +28,7 @@ from .common import byte_set
 #: The tokenizer never joins characters across these bytes, so words between them are encoded once.
 _GAP = byte_set(lambda b: b not in b" \t\n\r")
 #: Distinct words remembered by a worker; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 class WordTokens:
@@ -47,9 +47,12 @@ class WordTokens:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, h: np.ndarray, texts: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        length = np.fromiter((len(x.ids) for x in got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x.ids), np.uint32, int(length.sum()))
+        lists: list[np.ndarray] = []
+        for k in range(0, len(texts), 2000):  # an encoding is large beside its ids
+            lists += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+        del lists
         keys = np.concatenate([self.keys, h])
         begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
         order = np.argsort(keys)
@@ -93,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> D
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             names = batch.column(0).to_numpy(zero_copy_only=False) if batch.column(0).null_count == 0 else None
-            for i, j in slices(off):
+            for i, j in slices(off, 2 << 20):
                 ids, at = model.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 data, rows = ids.astype("<u4"), []
                 for d in range(j - i):
