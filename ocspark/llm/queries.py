@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_classifier, quality_rules, toxicity
+from . import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each occurrence of a paragraph that repeats: where it is, its class by the place of the first, whether it goes."""
     out = paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "start", "length", "class_doc_id", "class_start", "removed")
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
