@@ -153,12 +153,21 @@ def find(docs: DataFrame, text: str = "text", support: int = 3, share: float = 0
     none = F.array().cast(NO_SPANS)
     if joint.limit(1).count() == 0:
         return spans.withColumn("s_term", none)
-    places = save(term_places(spans.select("__t"), joint), "places")
-    counts = places.groupBy("term").agg(F.count("*").alias("n_term"))
     total = spans.select(F.xxhash64("__t").alias("h")).distinct().count()
-    pmi = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     own = F.log2(F.lit(total) / F.col("n_entity"))
-    telling = joint.join(counts, "term").where(pmi >= F.lit(share) * own).select("term").distinct()
+
+    def telling_of(counts: DataFrame) -> DataFrame:
+        pmi = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+        return joint.join(counts, "term").where(pmi >= F.lit(share) * own)
+
+    # n(t) among the texts with entities is a lower bound of n(t): what fails by it fails, so common words never reach the corpus
+    bound = term_places(hot.select("__t"), joint).groupBy("term").agg(F.count("*").alias("n_term"))
+    joint = save(telling_of(bound).drop("n_term"), "joint-bounded")
+    if joint.limit(1).count() == 0:
+        return spans.withColumn("s_term", none)
+    places = save(term_places(spans.select("__t"), joint), "places")
+    counts = places.groupBy("term").agg(F.count("*").alias("n_term"))
+    telling = telling_of(counts).select("term").distinct()
     told = places.join(telling, "term", "left_semi").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))  # no more than a text's terms
     told = save(told.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("terms").alias("__terms")), "telling")
     k1, k2 = text_key(F.col("__t"))
