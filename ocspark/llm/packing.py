@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from .common import byte_set
 #: The tokenizer never joins characters across these bytes, so words between them are encoded once.
 _GAP = byte_set(lambda b: b not in b" \t\n\r")
 #: Distinct words remembered by a worker; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 2_000_000
 
 
 class WordTokens:
@@ -47,17 +48,17 @@ class WordTokens:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, h: np.ndarray, texts: list[str]) -> None:
-        lists: list[np.ndarray] = []
+        lengths, ids = [], [self.ids]
         for k in range(0, len(texts), 2000):  # an encoding is large beside its ids
-            lists += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-        del lists
-        keys = np.concatenate([self.keys, h])
-        begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
-        order = np.argsort(keys)
-        self.keys, self.begin, self.length = keys[order], begin[order], np.concatenate([self.length, length])[order]
-        self.ids = np.concatenate([self.ids, ids])
+            part = [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+            lengths += map(len, part)
+            ids.append(np.fromiter(chain.from_iterable(part), np.uint32))
+        length = np.array(lengths, np.int64)
+        at = np.searchsorted(self.keys, h)  # h is in order, so this merges
+        self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.keys = np.insert(self.keys, at, h)
+        self.ids = np.concatenate(ids)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them."""
@@ -96,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> D
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             names = batch.column(0).to_numpy(zero_copy_only=False) if batch.column(0).null_count == 0 else None
-            for i, j in slices(off, 2 << 20):
+            for i, j in slices(off):
                 ids, at = model.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 data, rows = ids.astype("<u4"), []
                 for d in range(j - i):
