@@ -153,6 +153,39 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return docs.select(k1.alias("id"), t.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).dropDuplicates(["id"])
 
 
+def prefix_pairs(texts: DataFrame, open_: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Pairs (a, b) of different roots that can reach the similarity; no such pair is left out.
+
+    Shingles are ordered from rare to common. A pair that reaches the similarity shares a
+    shingle among the first of both, at a place after which enough is left for the overlap
+    it needs. Texts that differ from a common origin by their own edits each begin with
+    shingles of their own, so a large group of them makes few pairs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            raw, off = text_bytes(batch.column(1))
+            for i, j in slices(off, 1 << 20):
+                d, h, w = weighted_shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                d, h = np.repeat(d, w), mix(np.repeat(h, w) + copy.astype(np.uint64) * _GOLD)
+                n = np.bincount(d, minlength=j - i)[d]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "e", "n"])
+
+    from pyspark.sql import Window
+
+    each = texts.join(open_.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, e long, n long")
+    each = save(each, "elements")
+    often = each.groupBy("e").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "e"))  # no more than a text's shingles
+    first = each.join(often, "e").withColumn("p", place).where((F.col("p") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1))
+    first = save(first.join(open_, "id").select("id", "root", "e", "n", "p"), "prefixes")
+    x = first.select("e", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    y = first.select("e", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    need = f"{similarity / (1 + similarity)!r} * (na + nb) - 1e-6"
+    return x.join(y, "e").where(f"a < b and ra <> rb and na - pa + 1 >= {need} and nb - pb + 1 >= {need}").select("a", "b")
+
+
 def link(texts: DataFrame, buckets: DataFrame, name: str, similarity: float = 0.8, k: int = 5, rounds: int = 3) -> DataFrame:
     """Components (id, root) of verified links among ids that share a bucket; ids without a link are absent.
 
@@ -179,9 +212,8 @@ def link(texts: DataFrame, buckets: DataFrame, name: str, similarity: float = 0.
             drawn = drawn.select("bucket", F.col("x.id").alias("y"), F.col("x.root").alias("y_root"))
             pairs = open_.join(drawn, "bucket").where("root <> y_root").select(*pair("id", "y"))
         else:
-            # whatever still lies in different components of a bucket; its largest isn't set against itself
-            rest = open_.where("root <> main").select("bucket", F.col("id").alias("y"), F.col("root").alias("y_root"))
-            pairs = rest.join(open_, "bucket").where("root <> y_root and (root = main or y < id)").select(*pair("id", "y"))
+            # whatever still lies in different components of a bucket: by an exact filter instead of all pairs
+            pairs = prefix_pairs(texts, open_.select("id", "root").distinct(), similarity, k)
         pairs = save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-pairs-{r}")
         if pairs.limit(1).count() == 0:
             continue
