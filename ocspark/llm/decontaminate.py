@@ -127,7 +127,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray | None, text: str = "tex
 
 def rarest(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
     """Each window with its rarest terms: item_id, window, width, phrase, terms (term, at), for windows all of whose terms occur."""
-    known = windows.join(counts, "term")
+    known = windows.distinct().join(counts, "term")
     by = ["item_id", "window", "width", "phrase"]
     ranked = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("all"))
     return ranked.where("size(all) = width").select(*by, F.slice("all", 1, anchors).alias("anchors"))  # at most a window's words each
