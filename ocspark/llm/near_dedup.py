@@ -13,8 +13,9 @@ still lies in different components of a bucket is compared too, so no pair of a
 left out, while a group of copies costs links in proportion to its size. Every pair is
 verified on the whole texts. Classes are the connected components of verified links.
 
-Exact copies count once: they meet by 128 bits of their text. Null counts as empty. Rows
-are known by their text, so repeated rows, null ids and ties are well defined: a class's
+Exact copies count once: they meet by a 64-bit hash of their text (for ten billion texts a
+handful of chance meetings are to be expected). Null counts as empty. Rows are known by
+their text, so repeated rows, null ids and ties are well defined: a class's
 id is the least doc_id in it. Texts without words are classes of their own text. An empty
 table gives no rows.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, components, mix, save, shingle_hashes, slices, span_hashes, text_bytes, text_key, words
@@ -147,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8, k: int
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each distinct text with words: id (of its bits), text."""
+    """A row for each distinct text with words: id (its hash), text."""
     k1, _ = text_key(F.col(text))
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(k1.alias("id"), t.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).dropDuplicates(["id"])
@@ -172,8 +173,6 @@ def prefix_pairs(texts: DataFrame, open_: DataFrame, similarity: float, k: int)
                 n = np.bincount(d, minlength=j - i)[d]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "e", "n"])
 
-    from pyspark.sql import Window
-
     each = texts.join(open_.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, e long, n long")
     each = save(each, "elements")
     often = each.groupBy("e").agg(F.count("*").alias("f"))
