@@ -1,0 +1,39 @@
+"""Held-out accuracy of the learned operators, and the pipeline stage by stage on the smallest tables."""
+
+import corpus_pipeline
+from ocspark.llm.queries import QUERIES
+
+DATA = "/root/testdata/sf0.01"
+
+
+def held_out(spark, name, label):
+    got = QUERIES[name](spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").collect()
+    assert all(0 <= r.score <= 1 for r in got)
+    return sum(r.predicted == r[label] for r in got) / len(got)
+
+
+def test_quality(spark):
+    assert held_out(spark, "op5_quality_classifier", "quality") >= 0.95
+
+
+def test_toxicity(spark):
+    assert held_out(spark, "op10_toxicity", "toxic") >= 0.95
+
+
+def test_pipeline(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").persist()
+    names, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, small).persist()
+        assert docs.columns == names, name
+        rows = docs.collect()
+        left = {r.doc_id for r in rows}
+        assert len(rows) == len(left) and left <= ids and len(left) > 0.5 * len(ids), name
+        ids = left
+        if name == "quality rules":
+            assert all(len(r.text.split()) >= 20 for r in rows)
+        if name == "near duplicates":
+            assert len({r.text for r in rows}) == len(rows)
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, small).collect()
+    assert {r.doc_id for r in packed} == ids and max(r.offset + r.length for r in packed) <= 2048
