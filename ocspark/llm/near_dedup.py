@@ -219,8 +219,8 @@ def link(texts: DataFrame, buckets: DataFrame, name: str, similarity: float = 0.
         more = save(verified(pairs, texts, similarity, k), f"{name}-links-{r}")
         tried = tried.union(pairs)
         if more.limit(1).count():
-            links = links.union(more)
-            roots = components(links, f"{name}-{r}")
+            known = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+            roots = components(known.union(more), f"{name}-{r}")
     return roots
 
 
