@@ -1,11 +1,14 @@
 """Substring dedup: repeated paragraphs and passages by MinHash banding, exact checks and components.
 
 A text is cut into paragraphs at places that its content names, so that a passage is cut
-alike wherever it stands: at line ends, after sentences whose hash is even, and in
-sentences of over 40 words at pairs of words whose hash says so. Paragraphs
-of a few words are never repeats (their meeting again is chance). Bands are few and short,
-for high recall on small sets: 4 bands of 2 registers let a pair of similarity 0.8 go with
-probability 0.017, equal paragraphs never. Paragraphs that collide are verified by exact
+alike wherever it stands. Lines of min_words words or more begin and end paragraphs. Inside
+them, and in runs of shorter lines, cuts are drawn by rank: line ends first, then sentence
+ends, then the hash of the two words before; a place is a cut unless one of a better rank
+is nearer than min_words. So a paragraph has at least min_words and, where places don't
+run out, at most 2 min_words - 1 words, and a passage of 50 words that stands inside other
+text holds whole paragraphs. Fewer words than min_words between fixed cuts are never a
+repeat (their meeting again is chance). 8 bands of 2 registers let a pair of similarity 0.8
+go with probability 3e-4, equal paragraphs never. Paragraphs that collide are verified by exact
 weighted Jaccard and clustered by components; in each class the first occurrence (by
 doc_id, then place) stays and all others are removals.
 
@@ -23,10 +26,44 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, mix, save, slices, span_hashes, text_bytes, words
 from .near_dedup import bag_minhash, band_hashes, link, weighted_shingles
 
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 8, 2
 _END = np.isin(np.arange(256), list(b".!?"))
 
 
+def spread(rank: np.ndarray, fixed: np.ndarray, apart: int) -> np.ndarray:
+    """Mask of cuts: the fixed ones, and by rank (least first, then leftmost) all others that keep `apart` from every cut."""
+    n, out = len(rank), fixed.copy()
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(fixed, place, -1))
+    after = np.minimum.accumulate(np.where(fixed, place, n + apart)[::-1])[::-1]
+    at = np.flatnonzero((place - before >= apart) & (after - place >= apart))
+    r = rank[at]
+    for _ in range(24):
+        if not len(at):
+            return out
+        best = np.ones(len(at), bool)
+        for k in range(1, min(apart, len(at))):
+            near = at[k:] - at[:-k] < apart
+            if not near.any():
+                break
+            less = r[k:] < r[:-k]
+            best[k:] &= ~near | less
+            best[:-k] &= ~near | ~less
+        won = at[best]
+        out[won] = True
+        k = np.searchsorted(won, at)
+        free = (at - won[np.maximum(k - 1, 0)] >= apart) | (k == 0)
+        free &= (won[np.minimum(k, len(won) - 1)] - at >= apart) | (k == len(won))
+        at, r = at[free], r[free]
+    # only long runs of equal or steadily falling ranks are left: from left to right
+    last = -apart
+    for x in at.tolist():
+        if x - last >= apart:
+            out[x] = True
+            last = x
+    return out
+
+
 def cut(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (bytes), texts and key hashes of the paragraphs of min_words words or more."""
     starts, ends, doc = words(raw, off, NOT_SPACE)
@@ -35,19 +72,18 @@ def cut(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, n
         return z, z, z, z
     h = span_hashes(raw, starts, ends)
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
-    next_line = np.ones(len(starts), bool)
-    next_line[:-1] = (lines[starts[1:]] != lines[starts[:-1]]) | (doc[1:] != doc[:-1])
-    sentence_end = next_line | _END[raw[ends - 1]]
-    # a sentence's hash: of its words' sum of hashes (order is no matter for a cut)
-    last = np.flatnonzero(sentence_end)
-    first = np.concatenate([[0], last[:-1] + 1])
-    total = mix(np.add.reduceat(h, first))
-    stop = np.zeros(len(h), bool)
-    stop[last[next_line[last] | (total & np.uint64(1) == 0)]] = True
-    # inside long sentences pairs of words name the places
+    next_text = np.ones(len(starts), bool)
+    next_text[:-1] = doc[1:] != doc[:-1]
+    next_line = next_text.copy()
+    next_line[:-1] |= lines[starts[1:]] != lines[starts[:-1]]
+    line = np.flatnonzero(next_line)
+    long = np.diff(line, prepend=-1) >= min_words
+    fixed = next_text.copy()
+    fixed[line[long]] = True
+    fixed[line[:-1][long[1:]]] = True
     pair = mix(h + np.concatenate([[0], h[:-1]]).astype(np.uint64) * np.uint64(3))
-    stop |= np.repeat(last - first >= 40, last - first + 1) & (pair % np.uint64(16) == 0)
-    last = np.flatnonzero(stop | next_line)
+    kind = np.where(next_line, 0, np.where(_END[raw[ends - 1]], 1, 2)).astype(np.uint64)
+    last = np.flatnonzero(spread((kind << np.uint64(62)) | (pair >> np.uint64(2)), fixed, min_words))
     first = np.concatenate([[0], last[:-1] + 1])
     size = last - first + 1
     place = np.arange(len(h)) - np.repeat(first, size)
@@ -79,7 +115,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
 
 
 def paragraph_buckets(docs: DataFrame, text: str = "text", min_words: int = 10, k: int = 5) -> DataFrame:
-    """id (a paragraph's key), bucket; without repeats."""
+    """id (a paragraph's key), b0, b1, ...: a bucket of each band; without repeats."""
 
     def make(batch, i, raw, off):
         s, e, _, key = cut(raw, off, min_words)
@@ -93,9 +129,11 @@ def paragraph_buckets(docs: DataFrame, text: str = "text", min_words: int = 10,
         own = np.concatenate([[0], inner]).astype(np.int64)
         d, h, w = weighted_shingles(part, own, k)
         sig = bag_minhash(d, h, w, len(key), BANDS * ROWS)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(key, BANDS)), pa.array(band_hashes(sig, BANDS, ROWS).reshape(-1))], names=["id", "bucket"])
+        found = band_hashes(sig, BANDS, ROWS)
+        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(found[:, b].copy()) for b in range(BANDS))], names=["id", *names])
 
-    return _each(docs, text, "id long, bucket long", make).distinct()
+    names = [f"b{b}" for b in range(BANDS)]
+    return _each(docs, text, ", ".join(f"{c} long" for c in ["id", *names]), make).distinct()
 
 
 def paragraph_texts(docs: DataFrame, text: str = "text", min_words: int = 10) -> DataFrame:
@@ -114,6 +152,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     """Occurrences of paragraphs that occur again: doc_id, start, length, class_key, class_doc_id, class_start, removed."""
     found = save(paragraphs(docs, id_col, text, min_words), "paragraphs")
     buckets = save(paragraph_buckets(docs, text, min_words, k), "paragraph-buckets")
+    buckets = buckets.select("id", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
     roots = link(paragraph_texts(docs, text, min_words), buckets, "paragraph", similarity, k)
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start")).alias("first"))
     keys = keys.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))

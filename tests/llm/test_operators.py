@@ -156,6 +156,31 @@ def test_paragraphs(docs, empty):
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
 
 
+def test_paragraph_cuts_of_embedded_passages():
+    """Passages inside other text, with no line break at their edges, hold whole paragraphs of their own."""
+    rng = random.Random(7)
+
+    def keys(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return set(paragraph_dedup.cut(raw, np.array([0, len(raw)]), 10)[3].tolist())
+
+    def prose(n, sentence):
+        return re.sub(r" ", lambda m: ". " if sentence and rng.random() < 1 / sentence else " ", words(rng, n))
+
+    lost = Counter()
+    for n in (50, 60, 100):
+        for k in range(200):
+            passage, sentence = prose(n, (0, 8, 15, 30)[k % 4]), (0, 8, 15, 30)[k % 4]
+            a, b = (keys(f"{prose(60, sentence)} {passage} {prose(60, sentence)}") for _ in "ab")
+            lost[n] += not a & b
+    assert lost[50] <= 8 and lost[60] <= 4 and lost[100] == 0, lost
+    # lines of fewer words are taken together; equal ranks without end are cut too
+    verse = "\n".join(words(rng, 6) for _ in range(10))
+    assert keys(f"{words(rng, 40)}\n{verse}\n{words(rng, 40)}") & keys(f"{words(rng, 30)}\n{verse}\n{words(rng, 30)}")
+    raw = np.frombuffer(b"aa " * 5000, np.uint8)
+    assert len(paragraph_dedup.cut(raw, np.array([0, len(raw)]), 10)[0]) == 500
+
+
 def test_packing(docs, empty, texts):
     found = packing.pieces(docs, tokenizer_path(), size=64)
     rows = packing.pack(found, size=64, first=5, fan_in=2).collect()
