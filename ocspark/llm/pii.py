@@ -6,8 +6,8 @@ on the whole corpus: n(t) the texts that have the term, n(e) those that have the
 n(e, t) those with both. A term discloses an entity as far as its pointwise mutual
 information with it, log2(N n(e,t) / (n(e) n(t))), comes near the entity's own information,
 log2(N / n(e)); beyond a threshold share of it, and with enough texts in support, the term
-is a span of its own ("term"). Keyed secrets (password=..., api_key: ...) are entities whose
-value is protected itself ("secret"). Base spans always stay; a term span that meets one goes.
+is a span of its own ("term"). Keyed secrets (password=..., api_key: "...") are entities whose
+value, quoted or bare, is protected itself ("secret"). Base spans always stay; a term span that meets one goes.
 
 DataFrame and SQL functions only. Offsets are code points, end exclusive. Null text counts
 as empty. Repeated rows and null ids are treated row by row; corpus counts are by distinct
@@ -29,7 +29,11 @@ PATTERNS = (
     ("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", None),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 )
-SECRET = r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[^\s\"'<>,;]{4,200}"
+#: The whole value, however long: to its closing quotation mark on the line, else (none, or unclosed) to what cannot be in a bare value.
+SECRET = (
+    r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\\?[\"']?\s{0,3}[=:]\s{0,3}"
+    r"(?:\"(?:[^\"\\\r\n]|\\[^\r\n]){4,}+\"|'(?:[^'\\\r\n]|\\[^\r\n]){4,}+'|\\?[\"']?[^\s\"'<>,;]{4,}+)"
+)
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 
 
@@ -93,7 +97,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         found = F.filter(_matches("__t", pattern), _checker(kind))
         may = F.col("__t").contains(sign) if sign else F.col("__t").rlike(r"[0-9](?:[\x20-]?[0-9]){12}")
         d = d.withColumn(f"s_{kind}", F.when(may & F.col("__t").rlike("[0-9]|@"), found).otherwise(none))
-    may = F.col("__t").rlike(r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}\s{0,3}[=:]")
+    may = F.col("__t").rlike(r"(?i)(?:passw|pwd|secret|token|key)[a-z]{0,4}\\?[\"']?\s{0,3}[=:]")
     return d.withColumn("s_secret", F.when(may, _matches("__t", SECRET)).otherwise(none))
 
 

@@ -147,6 +147,18 @@ def test_pii(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_secrets(spark):
+    """Quoted and very long values are spans to their ends."""
+    jwt = ".".join("aZ09_-" * 400 for _ in range(3))
+    cases = [
+        ('x token = "04dbebab91abff02" y', "x [SECRET] y"), ("x api_key: 'k3y w1th, blanks' y", "x [SECRET] y"), (f"x token={jwt} y", "x [SECRET] y"), (f'x secret: "{jwt}", y', "x [SECRET], y"),
+        ('{"password": "ab\\"cd;ef"}', '{"[SECRET]}'), ('x pwd="unclosed1 y', "x [SECRET] y"), ('x token = "" y, secret: no', 'x token = "" y, secret: no'), ("x password=hunter22x, y", "x [SECRET], y"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(pii.find(rows)).collect()}
+    assert [clean[i] for i in range(len(cases))] == [x for _, x in cases]
+
+
 def test_paragraphs(docs, empty):
     got = paragraph_dedup.repeated_paragraphs(docs).collect()
     ids = {r.doc_id for r in got}
