@@ -7,7 +7,7 @@ import pytest
 
 from ocspark.log import EventLog
 from ocspark.operators.arcs import Arc, apply_bounds, bindings, support
-from ocspark.operators import params
+from ocspark.operators import mining, params
 
 TYPES = {"c1": "C", "c2": "C", "v1": "V", "v2": "V"}
 
@@ -117,3 +117,35 @@ def test_parameters_of_the_manuscript_log(spark):
     assert params.wip_peak(log).first().peak == 1
     got = {(r.activity, r.slot): r.share for r in params.calendar_slots(log).collect() if r.share}
     assert {k for _, k in got} <= {57, 9, 33, 81, 105, 129, 153}
+
+
+def test_discovery_scopes_and_resources(spark):
+    """Against supports counted arc by arc: any, each and all, a large source event, a resource."""
+    hour, events, links = 3_600_000_000, [], []
+
+    def add(eid, activity, h, *objects):
+        events.append((eid, activity, h * hour))
+        links.extend((eid, o, o[0].upper()) for o in objects)
+
+    for i in range(5):
+        c = [f"c{i}_{k}" for k in range(25 if i == 0 else 2)]
+        add(f"a{i}", "A", 10 * i, *c, "r0")
+        add(f"b{i}", "B", 10 * i + 1, c[0], "r0")  # one of A's objects
+        for k, o in enumerate(c):
+            add(f"d{i}_{k}", "D", 10 * i + 2, o, "r0")  # each of A's objects, by an event of its own
+        add(f"e{i}", "E", 10 * i + 3, *c, "r0")  # all of them at once
+    log = EventLog(
+        spark.createDataFrame(events, "eid string, activity string, us long"), spark.createDataFrame(sorted({(o, t) for _, o, t in links}), "oid string, otype string"),
+        spark.createDataFrame(links, "eid string, oid string, otype string"), spark.createDataFrame([], "src string, dst string, qualifier string"),
+    )
+    rows = {(r.otype, r.src, r.tgt): r for r in mining.pair_supports(log).collect()}
+    for tgt in "BDE":
+        for scope in mining.SCOPES:
+            for t in ("AS", "EF", "EP"):
+                arc = mining.replace(mining.scoped("A", tgt, "C", scope), arc=t)
+                assert rows["C", "A", tgt][f"{t}_{scope}"] == support(log, arc).first().satisfied, arc
+    got = {(a.src, a.tgt, a.arc, a.any_, a.each, a.all_) for a, _ in mining.discover(log)}
+    assert ("A", "B", "EF", ("C",), (), ()) in got and ("A", "D", "EF", (), ("C",), ()) in got and ("A", "E", "EF", (), (), ("C",)) in got
+    # r0 meets 33 D events: a resource to arcs that lead there, not to those to B, E
+    assert not any(tgt == "D" and "R" in each for _, tgt, _, _, each, _ in got)
+    assert any(tgt == "D" and "R" in a.each for a, _ in mining.discover(log, most_events=None) for tgt in a.tgt)
