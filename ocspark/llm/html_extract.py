@@ -6,7 +6,8 @@ Gaussian; lines fall into regions (an article, the main element, or what a page
 those) and a region is content if its smoothed ratio reaches a threshold taken from the
 spread of the page's ratios. Lines within elements whose role is not the article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-have no ratio and are never content.
+have no ratio and are never content. Names of class and id tell such a role only where the
+element isn't the page's layout: around the article, main or most of the text.
 
 Null or empty html gives an empty text. Unclosed and badly nested tags are tolerated; the
 whole page is read. A column of the output's name is replaced; all others are kept.
@@ -41,12 +42,20 @@ NAMES = frozenset(
 )
 #: An element of these names is the article, whatever else its class says.
 CONTENT = frozenset("article main".split())
+#: What may stand in a head; any other element ends it.
+HEAD = frozenset("html head title meta link base script style noscript template".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Lines(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, pardoned: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.pardoned, self.count = pardoned, -1  # elements whose names say nothing of them, by number
+        self.hard = 0  # open elements that are skipped whatever their names say
+        self.near: list[tuple[int, bool]] = []  # of the stack's elements: innermost element with a layout name, hard
+        self.parent: dict[int, int] = {}  # of elements with a layout name
+        self.size: dict[int, int] = {-1: 0}  # text by innermost element with a layout name
+        self.marks: list[tuple[str, int]] = []  # article and main elements, innermost element with a layout name
         self.stack: list[tuple[str, bool, int]] = []  # tag, skipped, region
         self.skipped, self.region, self.regions = 0, 0, 1
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, region, in an article
@@ -59,23 +68,52 @@ class _Lines(HTMLParser):
             self.lines.append((text, self.tags, self.region, any(r for _, _, r in self.stack)))
         self.text, self.tags = [], 0
 
-    def bad(self, tag: str, attrs: list) -> bool:
+    def never(self, tag: str, attrs: list) -> bool:
+        """Whether the element is skipped by what it is."""
         if tag in SKIP:
             return True
         if tag == "header":
             return not any(r for _, _, r in self.stack)
-        for k, v in attrs:
-            if not v:
-                if k == "hidden":
-                    return True
-            elif k in ("class", "id"):
-                if tag not in ("html", "body") and any(w in NAMES for x in v.split() for w in (_SPLIT.split(x.lower()) if len(x) < 80 else ())):
-                    return True
-            elif k == "role" and v.lower() in ROLES or k == "aria-hidden" and v.lower() == "true":
-                return True
-        return False
+        return any(not v and k == "hidden" or v and (k == "role" and v.lower() in ROLES or k == "aria-hidden" and v.lower() == "true") for k, v in attrs)
+
+    def named(self, tag: str, attrs: list) -> bool:
+        """Whether class or id name what is not the article. An article within an article (a comment) has names too."""
+        if tag in ("html", "body", "main") or tag == "article" and not any(t == "article" for t, _, _ in self.stack):
+            return False
+        return any(w in NAMES for k, v in attrs if v and k in ("class", "id") for x in v.split() for w in (_SPLIT.split(x.lower()) if len(x) < 80 else ()))
+
+    def pardon(self) -> frozenset[int]:
+        """Elements that only lay the page out, though a name of theirs is of what is not the article.
+
+        While no article or main is free of such elements, from the outermost ones: those that
+        hold a main, else those that hold most of the page's text, else those that hold an article.
+        """
+        size = dict(self.size)
+        for k in sorted(self.parent, reverse=True):
+            size[self.parent[k]] = size.get(self.parent[k], 0) + size.get(k, 0)
+        up: dict[int, list[int]] = {-1: []}
+        for k in sorted(self.parent):
+            up[k] = [k, *up[self.parent[k]]]
+        holds = {tag: {x for t, k in self.marks if t == tag for x in up[k]} for tag in CONTENT}
+        done = set(self.pardoned)
+        while not any(done.issuperset(up[k]) for _, k in self.marks):
+            outer = {k for k, p in self.parent.items() if k not in done and done.issuperset(up[p])}
+            more = outer & holds["main"] or {k for k in outer if 2 * size.get(k, 0) > size[-1]} or outer & holds["article"]
+            if not more:
+                break
+            done |= more
+        return frozenset(done)
+
+    def end_head(self, now: bool) -> None:
+        """The end tag of the head may be left out."""
+        if self.stack and (self.stack[-1][0] == "head" or now):
+            k = next((k for k, x in enumerate(self.stack) if x[0] == "head"), None)
+            if k is not None:
+                self.cut(k)
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.end_head(tag == "body")
         if tag not in INLINE:
             self.end_line()
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
@@ -85,13 +123,21 @@ class _Lines(HTMLParser):
             self.text.append("\n")
         if tag in VOID:
             return
-        bad = self.bad(tag, attrs)
-        region = 0
+        self.count += 1
+        hard, near = self.never(tag, attrs), self.near[-1][0] if self.near else -1
+        bad, region = hard, 0
+        if not hard and self.named(tag, attrs):
+            self.parent[self.count] = near
+            near, bad = self.count, self.count not in self.pardoned
+        self.hard += hard
+        if tag in CONTENT and not self.hard:
+            self.marks.append((tag, near))
         if tag in CONTENT and not bad and not self.skipped:
             region = self.regions
             self.regions += 1
             self.region = region
         self.stack.append((tag, bad, region))
+        self.near.append((near, hard))
         self.skipped += bad
 
     def imply(self, tag: str) -> None:
@@ -107,7 +153,8 @@ class _Lines(HTMLParser):
     def cut(self, k: int) -> None:
         for _, bad, _ in self.stack[k:]:
             self.skipped -= bad
-        del self.stack[k:]
+        self.hard -= sum(hard for _, hard in self.near[k:])
+        del self.stack[k:], self.near[k:]
         self.region = next((r for _, _, r in reversed(self.stack) if r), 0)
 
     def handle_startendtag(self, tag, attrs):
@@ -127,6 +174,11 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.end_head(True)
+        if not self.hard:
+            at = self.near[-1][0] if self.near else -1
+            self.size[at] = self.size.get(at, 0) + len(data.strip())
         if not self.skipped:
             self.text.append(data)
 
@@ -139,6 +191,14 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(values)), w)[r : r + len(values)]
 
 
+def _read(html: str, pardoned: frozenset[int] = frozenset()) -> _Lines:
+    p = _Lines(pardoned)
+    p.feed(html)
+    p.close()
+    p.end_line()
+    return p
+
+
 def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
     """The article of one page: blocks in page order joined by one space.
 
@@ -149,10 +209,10 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
     """
     if not html:
         return ""
-    p = _Lines()
-    p.feed(html)
-    p.close()
-    p.end_line()
+    p = _read(html)
+    pardoned = p.pardon()
+    if pardoned:
+        p = _read(html, pardoned)
     if not p.lines:
         return ""
     ratio = np.array([len(t) / (tags + 1) for t, tags, _, _ in p.lines])

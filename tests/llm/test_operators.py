@@ -53,6 +53,22 @@ def test_html():
     assert html_extract.main_text("just words") == "just words"
 
 
+def test_html_layout_names_and_open_head():
+    body = "<h1>Head</h1><p>" + "plain text " * 30 + "</p>"
+    text = "Head " + ("plain text " * 30).strip()
+    for tag in ('article class="post has-sidebar"', 'main class="with-sidebar"', 'article class="comments-open"'):
+        assert html_extract.main_text(f"<body><nav>x</nav><{tag}>{body}</{tag.split()[0]}><div class=sidebar>side</div>") == text
+    side = "<div class=sidebar>side</div><section id=comments><article class=comment><p>nice post</article></section>"
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class=content-no-sidebar><article>{body}</article></div>"):
+        assert html_extract.main_text(f'<body><div id=page class="no-sidebar">{inner}{side}</div>') == text
+        assert html_extract.main_text(f"<body>{inner}{side}") == text
+    assert html_extract.main_text(f'<body><div id=page class="no-sidebar"><div>{body}</div><div class=ad>buy</div></div>') == text[5:]  # no article: from the first line that reaches the threshold
+    assert html_extract.main_text(f"<article>{body}<article class=comment><p>nice</article></article>") == text
+    assert html_extract.main_text(f"<html><head><title>T</title><meta charset=utf-8><body><article>{body}</article>") == text
+    assert html_extract.main_text(f"<html><head><title>T</title><script>x()</script><article>{body}</article>") == text
+    assert html_extract.main_text("<head><title>T</title>just words") == "just words"
+
+
 def brute_classes(rows):
     def bag(t):
         w = (t or "").split()
