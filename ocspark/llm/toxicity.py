@@ -28,18 +28,21 @@ from .common import SLICE_BYTES, slices, text_bytes
 from .quality_classifier import labelled_sample
 
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
-#: Code points beyond this one are one symbol to the automaton.
-TOP = 0x2500
+#: From here on scripts write a word in one or two signs.
+WIDE = 0x2E80
+#: Punctuation of those scripts.
+_WIDE_SIGNS = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 _OPEN, _CLOSE, _EVEN = set("“«„‹"), set("”»‟›"), set("\"")
 REPORT = frozenset("said says say called calls quote quoted quotes word words term wrote writes dit appelle sagte nannte dijo llamó".split())
 TERM, STEM, NEAR = 1, 2, 3
 
 
-def learn_lexicon(toxic: list[str], clean: list[str], max_terms: int = 200) -> tuple[list[str], list[str]]:
+def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str]]:
     """Terms and stems whose presence tells toxic texts from clean ones beyond chance.
 
     A word (or beginning of 4 letters or more) counts if hardly any clean text has it
     and so many toxic ones do that chance would hardly bring that about for one of all words.
+    Words under a stem are terms too, as a stem leaves less room for misspelling.
     """
     in_toxic, in_clean = Counter(), Counter()
     forms = defaultdict(set)
@@ -74,20 +77,28 @@ def learn_lexicon(toxic: list[str], clean: list[str], max_terms: int = 200) -> t
             longer = [x for x in good if x[-1] == "*" and len(forms[x]) >= 4 and x.startswith(w[:-1]) and good[x] >= 0.95 * good[w]]
             stems.append(max(longer, key=lambda x: (len(x), x)))
     for w in sorted((w for w in good if w[-1] != "*"), key=lambda w: (-good[w], w)):
-        if len(w) >= 3 and not any(w.startswith(s[:-1]) for s in stems):
+        if len(w) >= 3 or ord(max(w)) >= WIDE:
             terms.append(w)
-    return terms[:max_terms], [s[:-1] for s in stems[:max_terms]]
+    return terms, [s[:-1] for s in stems]
 
 
 def edits(word: str) -> int:
-    """Edits allowed in a term of this length; stems are met exactly, as any ending may follow."""
-    return 0 if len(word) < 5 else 1
+    """Edits allowed in a term of this length."""
+    return (len(word) >= 5) + (len(word) >= 10)
+
+
+def stem_edits(stem: str) -> int:
+    """Edits allowed in a stem of this length; fewer, as any ending may follow."""
+    return int(len(stem) >= 6)
 
 
 class Automaton:
-    """The intersection of the lexicon's trie with Levenshtein automata, made deterministic: a table of moves and what each state accepts."""
+    """The intersection of the lexicon's trie with Levenshtein automata, made deterministic: a table of moves and what each state accepts.
+
+    free: the first letter may be edited, and so may stems.
+    """
 
-    def __init__(self, terms: list[str], stems: list[str]) -> None:
+    def __init__(self, terms: list[str], stems: list[str], free: bool = False) -> None:
         child: list[dict[str, int]] = [{}]
         end: list[list[tuple[int, int]]] = [[]]  # kind, edits allowed
         for kind, group in ((TERM, terms), (STEM, stems)):
@@ -99,15 +110,15 @@ class Automaton:
                         child.append({})
                         end.append([])
                     at = child[at][c]
-                end[at].append((kind, edits(w) if kind == TERM else 0))
+                end[at].append((kind, edits(w) if kind == TERM else free * stem_edits(w)))
         room = [0] * len(child)
         for at in range(len(child) - 1, -1, -1):
             room[at] = max([e for _, e in end[at]] + [room[k] for k in child[at].values()], default=0)
         symbols = sorted({c for x in child for c in x})
-        self.symbol = np.zeros(TOP + 1, np.int32)
+        self.symbol = np.zeros(max((ord(v) for c in symbols for v in (c, c.upper()) if len(v) == 1), default=0) + 2, np.int32)  # the last is of all beyond
         for k, c in enumerate(symbols, 1):
             for v in {c, c.upper()}:
-                if len(v) == 1 and ord(v) < TOP:
+                if len(v) == 1:
                     self.symbol[ord(v)] = k
         n_symbols = len(symbols) + 1
 
@@ -120,7 +131,7 @@ class Automaton:
                     continue
                 at, e, _ = s
                 more = [(-1, e, "") for kind, most in end[at] if kind == STEM and e <= most]
-                if at:  # the first letter of a term must stand
+                if at or free:
                     more += [(k, e + 1, "") for k in child[at].values() if e + 1 <= room[k]]
                 for x in more:
                     if x not in found:
@@ -144,11 +155,11 @@ class Automaton:
                 for x, k in child[at].items():
                     if x == c:
                         out.add((k, e, ""))
-                    elif at and e + 1 <= room[k]:
+                    elif (at or free) and e + 1 <= room[k]:
                         out.add((k, e + 1, ""))
                     if c in child[k] and e + 1 <= room[child[k][c]] and x != c:
                         out.add((child[k][c], e + 1, x))  # a swap: x must follow
-                if at and e + 1 <= room[at]:
+                if (at or free) and e + 1 <= room[at]:
                     out.add((at, e + 1, ""))
             return close(out)
 
@@ -157,8 +168,12 @@ class Automaton:
         while todo:
             s = todo.pop()
             row = []
+            # letters that no next edge has all lead where the unknown one does
+            told = {x for at, _, wait in s if at >= 0 for x in (wait, *child[at], *(y for k in child[at].values() for y in child[k]))}
             for c in ["\0", *symbols]:
-                t = move(s, c)
+                t = move(s, c) if c in told or not row else other
+                if not row:
+                    other = t
                 if t not in number:
                     number[t] = len(number)
                     todo.append(t)
@@ -177,7 +192,7 @@ class Automaton:
 
     def walk(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What is accepted of each word, all walked at once, a character each step."""
-        sym = self.symbol[np.minimum(chars, TOP)]
+        sym = self.symbol[np.minimum(chars, len(self.symbol) - 1)]
         state = np.ones(len(starts), np.int32)
         order = np.argsort(starts - ends, kind="stable")  # longest first
         s, length, live = starts[order], (ends - starts)[order], np.ones(len(starts), np.int32)
@@ -202,7 +217,9 @@ def text_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = np.arange(129)
     alnum = ((low >= 48) & (low <= 57) | (low >= 65) & (low <= 90) | (low >= 97) & (low <= 122) | (low == 128))[c]
     alnum &= ~((chars >= 0x2010) & (chars <= 0x206F) | (chars == 0xAB) | (chars == 0xBB) | (chars == 0xA0))
-    space = np.isin(low, [9, 10, 11, 12, 13, 32])[c] | (chars == 0xA0)
+    for first, last in _WIDE_SIGNS:
+        alnum &= ~((chars >= first) & (chars <= last))
+    space = np.isin(low, [9, 10, 11, 12, 13, 32])[c] | (chars == 0xA0) | (chars == 0x3000)
     if not len(chars):
         z = np.zeros(0, np.int64)
         return chars, z, z, z
@@ -270,7 +287,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500) -> tuple
     if not toxic or not clean:
         return None
     terms, stems = learn_lexicon(toxic, clean)
-    automaton = Automaton(terms, stems)
+    automaton = Automaton(terms, stems, free=True)
     half = len(clean) // 2
     near: set[str] = set()
     for k in range(0, half, 256):

@@ -279,5 +279,25 @@ def test_automaton_is_the_edit_distance():
         assert g == (1 if near == 0 else 2 if w.startswith("lowei") else 3 if near == 1 else 0), w
 
 
+def accepted(a, words):
+    chars = np.concatenate([np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words])
+    ends = np.cumsum([len(w) for w in words])
+    return a.walk(chars, ends - [len(w) for w in words], ends).tolist()
+
+
+def test_lexicon_keeps_word_families_and_all_terms():
+    rng = random.Random(2)
+    forms = ["idiot", "idiotic", "idiocy", "idiots", "idioten"]
+    insults = [*forms, "馬鹿", *("zq" + "".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(230))]
+    toxic = [f"{words(rng, 3)} {w} {words(rng, 3)}" for w in insults for _ in range(25)]
+    terms, stems = toxicity.learn_lexicon(toxic, [words(rng, 8) for _ in range(6000)])
+    assert set(insults) <= set(terms) and any(x.startswith("idio") for x in stems)
+    a = toxicity.Automaton(["idiot", "disgusting", "馬鹿"], ["idio", "pathet"], free=True)
+    assert accepted(a, ["idoit", "idjot", "odiot", "diot", "xidiot", "idiocy", "patetic", "apthetic", "dizgustign", "馬鹿", "Idiot"]) == [3] * 5 + [2, 3, 3, 3, 1, 1]
+    assert accepted(a, ["dizqustign", "馬", "鹿馬", "odjot", "patehcti"]) == [0] * 5
+    chars, s, e, _ = toxicity.text_words(np.frombuffer(" 馬鹿。\u3000「馬鹿」".encode(), np.uint8), np.array([0, len(" 馬鹿。\u3000「馬鹿」".encode())]))
+    assert [chars[x:y].tobytes().decode("utf-32-le") for x, y in zip(s, e, strict=True)] == ["馬鹿", "馬鹿"]
+
+
 def test_quotation():
     assert toxicity.quoted('he said "you are a ', '" and left') and not toxicity.quoted("you are a ", " really")
