@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.dialect import DUCK, SPARK, Spark
+from .storage import save
 
 RELATIONS = ("ev", "ob", "e2o", "o2o", "eo")
 
@@ -24,11 +25,19 @@ class EventLog:
     ob: DataFrame
     e2o: DataFrame
     o2o: DataFrame
+    joined: DataFrame | None = None  # eo, where it is stored
 
     @property
     def eo(self) -> DataFrame:
+        if self.joined is not None:
+            return self.joined
         return self.e2o.join(self.ev, "eid").select("oid", "otype", "eid", "activity", "us")
 
+    def stored(self) -> EventLog:
+        """The log written to the shared folder once, eo too, so that its relations aren't made anew in each use."""
+        own = {name: save(getattr(self, name), name) for name in ("ev", "ob", "e2o", "o2o")}
+        return EventLog(**own, joined=save(EventLog(**own).eo, "eo"))
+
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         known = {r: getattr(self, r) for r in RELATIONS if "{" + r + "}" in text}
         return self.ev.sparkSession.sql(text, **known, **more)
@@ -54,13 +63,13 @@ def _order_log(d: Spark) -> dict[str, str]:
           union all select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), 'Ship Line', {d.micros('l_shipdate')} from {li} li
           union all select concat('co_', {v('l_orderkey')}), 'Close Order', max({d.micros('l_shipdate')}) from {{lineitem}} group by l_orderkey""",
         "e2o": f"""select concat('po_', {v('o_orderkey')}) as eid, concat('order_', {v('o_orderkey')}) as oid, 'order' as otype from {{orders}}
-          union select concat('po_', {v('o_orderkey')}), concat('customer_', {v('o_custkey')}), 'customer' from {{orders}}
-          union select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('order_', {v('l_orderkey')}), 'order' from {li} li
-          union select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('part_', {v('l_partkey')}), 'part' from {li} li
-          union select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('supplier_', {v('l_suppkey')}), 'supplier' from {li} li
-          union select concat('co_', {v('l_orderkey')}), concat('order_', {v('l_orderkey')}), 'order' from {{lineitem}}
-          union select concat('co_', {v('l_orderkey')}), concat('part_', {v('l_partkey')}), 'part' from {{lineitem}}
-          union select concat('co_', {v('l_orderkey')}), concat('supplier_', {v('l_suppkey')}), 'supplier' from {{lineitem}}""",
+          union all select concat('po_', {v('o_orderkey')}), concat('customer_', {v('o_custkey')}), 'customer' from {{orders}}
+          union all select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('order_', {v('l_orderkey')}), 'order' from {li} li
+          union all select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('part_', {v('l_partkey')}), 'part' from {li} li
+          union all select concat('sl_', {v('l_orderkey')}, '_', {v('rn')}), concat('supplier_', {v('l_suppkey')}), 'supplier' from {li} li
+          union all select distinct concat('co_', {v('l_orderkey')}), concat('order_', {v('l_orderkey')}), 'order' from {{lineitem}}
+          union all select distinct concat('co_', {v('l_orderkey')}), concat('part_', {v('l_partkey')}), 'part' from {{lineitem}}
+          union all select distinct concat('co_', {v('l_orderkey')}), concat('supplier_', {v('l_suppkey')}), 'supplier' from {{lineitem}}""",
         "ob": f"""select concat('order_', {v('o_orderkey')}) as oid, 'order' as otype from {{orders}}
           union select concat('customer_', {v('o_custkey')}), 'customer' from {{orders}}
           union select concat('order_', {v('l_orderkey')}), 'order' from {{lineitem}}
@@ -92,8 +101,24 @@ PROJECTIONS = {
 }
 
 
+_stored: dict[tuple, EventLog] = {}
+
+
 def project(spark: SparkSession, sf_dir: str, kind: str) -> EventLog:
-    """A log of the test tables: u (users and items), o (orders), c (conversations)."""
+    """A log of the test tables: u (users and items), o (orders), c (conversations).
+
+    The order log, which takes unions and a numbering of all lines, is stored at its first
+    use in a session; the session's later queries of the same folder read what is stored.
+    """
+    if kind == "o":
+        key = spark.sparkContext.applicationId, sf_dir, kind
+        if key not in _stored:
+            _stored[key] = _project(spark, sf_dir, kind).stored()
+        return _stored[key]
+    return _project(spark, sf_dir, kind)
+
+
+def _project(spark: SparkSession, sf_dir: str, kind: str) -> EventLog:
     tables, make = PROJECTIONS[kind]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     return EventLog(**{k: spark.sql(text, **frames) for k, text in make(SPARK).items()})

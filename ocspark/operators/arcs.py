@@ -81,19 +81,35 @@ def bindings_sql(a: Arc) -> str:
     # commuting arcs meet target events only; direct arcs need the nearest event of any activity first
     wanted = "" if direct else f" and f.activity = {_q(a.tgt)}"
     parts = [f"b as ({b})"]
-    if req:
+    if cols and not a.all_:
+        # of a binding's objects the one with the fewest events is walked; the others are looked up by (event, object)
+        sizes = " ".join(f"join size s{i} on s{i}.oid = b.{c}" for i, c in enumerate(cols))
+        walk = " ".join(f"when {' and '.join(f's{i}.events <= s{j}.events' for j in range(len(cols)) if j != i) or '1 = 1'} then b.{c}" for i, c in enumerate(cols))
+        there = " ".join(f"join {{e2o}} y{i} on y{i}.eid = f.eid and y{i}.oid = b.{c}" for i, c in enumerate(cols))
+        parts += [
+            "size as (select oid, count(*) as events from {e2o} group by oid)",
+            f"walk as (select b.*, case {walk} end as oid from b {sizes})",
+            f"cand as (select b.bid, f.eid, f.us from walk b join {{eo}} f on f.oid = b.oid {there} where {timed}{wanted})",
+        ]
+        left = a.any_
+    elif req:
+        # the same where the number of objects isn't known before: of a binding's objects the one with the fewest events is walked; that the others are there is looked up by (event, object)
         parts += [
             f"req as ({' union '.join(req)})",
             "need as (select bid, count(*) as k from req group by bid)",
-            f"""cand as (select r.bid, f.eid, f.us from req r join {{eo}} f on f.oid = r.oid join b on b.bid = r.bid join need n on n.bid = r.bid
-              where {timed}{wanted} group by r.bid, f.eid, f.us, n.k having count(distinct r.oid) = n.k)""",
+            "size as (select x.oid, count(*) as events from {e2o} x join (select distinct oid from req) r on x.oid = r.oid group by x.oid)",
+            "walk as (select bid, oid from (select r.bid, r.oid, row_number() over (partition by r.bid order by s.events, r.oid) as rk from req r join size s on s.oid = r.oid) x where rk = 1)",
+            f"seen as (select w.bid, f.eid, f.us from walk w join b on b.bid = w.bid join {{eo}} f on f.oid = w.oid where {timed}{wanted})",
+            """cand as (select s.bid, s.eid, s.us from seen s join need n on n.bid = s.bid join req r on r.bid = s.bid join {e2o} y on y.eid = s.eid and y.oid = r.oid
+              group by s.bid, s.eid, s.us, n.k having count(*) = n.k)""",
         ]
         left = a.any_
     else:
         first, left = a.any_[0], a.any_[1:]
         parts.append(f"cand as (select distinct b.bid, f.eid, f.us from b join {{e2o}} x on x.eid = b.eid and x.otype = {_q(first)} join {{eo}} f on f.oid = x.oid where {timed}{wanted})")
     for i, t in enumerate(left):
-        parts.append(f"any{i} as (select distinct b.bid, y.eid from b join {{e2o}} x on x.eid = b.eid and x.otype = {_q(t)} join {{e2o}} y on y.oid = x.oid)")
+        # from the candidates on: an object's other events are never looked at
+        parts.append(f"any{i} as (select distinct c.bid, c.eid from cand c join b on b.bid = c.bid join {{e2o}} x on x.eid = b.eid and x.otype = {_q(t)} join {{e2o}} y on y.eid = c.eid and y.oid = x.oid)")
     semi = " ".join(f"join any{i} on any{i}.bid = c.bid and any{i}.eid = c.eid" for i in range(len(left)))
     parts.append(f"met as (select c.bid, c.eid, c.us from cand c {semi})")
     if direct:
@@ -231,8 +247,8 @@ def trace_templates(d, src, tgt, otype, nmin, nmax):
         "responded_existence": ("ns > 0", "nt = 0"),
         "precedence": ("nt > 0", "s1 is null or s1 > t1"),
         "not_coexistence": ("1 = 1", "ns > 0 and nt > 0"),
-        "not_succession": ("1 = 1", "ns > 0 and nt > 0"),
-        "coexistence": ("1 = 1", "(ns > 0) <> (nt > 0)"),
+        "not_succession": ("ns > 0", "nt > 0"),
+        "coexistence": ("ns > 0 or nt > 0", "ns = 0 or nt = 0"),
         "exclusive_choice": ("1 = 1", "(ns > 0) = (nt > 0)"),
         "existence": ("1 = 1", "ns = 0"),
         "absence": ("1 = 1", f"ns > {nmax}"),
@@ -249,7 +265,7 @@ def trace_templates(d, src, tgt, otype, nmin, nmax):
 def prefix_templates(d, src, tgt, otype, nmin, nmax):
     """How many events an eager monitor of each template would refuse, looking only at what came before on the object."""
     s, t = f"activity = {_q(src)}", f"activity = {_q(tgt)}"
-    w = "over (partition by oid order by us rows between unbounded preceding and 1 preceding)"
+    w = "over (partition by oid order by us, eid rows between unbounded preceding and 1 preceding)"
     c = lambda x: f"coalesce(sum(case when {x} then 1 else 0 end) {w}, 0)"
     f = f"select oid, activity, lag(activity) over (partition by oid order by us, eid) as prev, {c(s)} as ns, {c(t)} as nt from (select * from {{eo}} where otype = {_q(otype)}) q"
     rules = {
