@@ -70,7 +70,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    out = out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    return out
 
 
 @query
@@ -105,10 +106,23 @@ b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 bk as (select item_id, w, least(13, len(w)) as k from b where len(w) > 0),
 bw as (select distinct item_id, k, list_slice(w, i, i + k - 1) as win from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from bk) x),
 dw as (select doc_id, k, i, list_slice(w, i, i + k - 1) as win from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d cross join (select distinct k from bw) ks where len(w) >= k) x),
-m as (select dw.doc_id, dw.i, dw.k, bw.item_id from dw join bw on dw.k = bw.k and dw.win = bw.win),
+m as (select dw.doc_id, dw.i, dw.k, bw.item_id, bw.win from dw join bw on dw.k = bw.k and dw.win = bw.win),
 h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from m) x group by doc_id),
-t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m group by doc_id)
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m group by doc_id),
+pos as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+cnt as (select word, count(*) as n from pos group by word),
+u as (select win, k, row_number() over () as wid from (select distinct win, k from bw) x),
+at0 as (select wid, unnest(win) as word, unnest(range(0, k)) as ofs from u),
+a as (select wid, word, ofs, row_number() over (partition by wid order by n, ofs) - 1 as rk from (select x.wid, x.word, x.ofs, c.n from at0 x join cnt c on c.word = x.word) y
+  where wid in (select x.wid from at0 x left join cnt c on c.word = x.word group by x.wid having count(*) = count(c.n))),
+c0 as (select p.doc_id, a.wid, p.i - a.ofs as s from pos p join a on a.word = p.word where a.rk = 0),
+c1 as (select p.doc_id, a.wid, p.i - a.ofs as s from pos p join a on a.word = p.word where a.rk = 1),
+q as (select distinct c0.doc_id, c0.wid, c0.s from c0 join u on u.wid = c0.wid left join c1 on c1.doc_id = c0.doc_id and c1.wid = c0.wid and abs(c0.s - c1.s) <= 4 where u.k = 1 or c1.s is not null),
+r as (select distinct q.doc_id, u.wid, u.win, u.k, list_slice(d.w, greatest(q.s - 4, 1), q.s + u.k + 3) as sl from q join u on u.wid = q.wid join d on d.doc_id = q.doc_id),
+n as (select distinct doc_id, wid, win from r where list_sum(list_transform(list_distinct(win), lambda x : least(len(list_filter(win, lambda y : y = x)), len(list_filter(sl, lambda z : z = x))))) >= 0.75 * k),
+ni as (select n.doc_id, count(distinct bw.item_id) as n_near from n join bw on bw.win = n.win
+  where not exists (select 1 from m where m.doc_id = n.doc_id and m.item_id = bw.item_id) and not exists (select 1 from m where m.doc_id = n.doc_id and m.win = n.win) group by n.doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.items, '')) as items_sha256,
-  coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated
-from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id
+  coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated, coalesce(ni.n_near, 0) as n_near_items
+from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id left join ni on ni.doc_id = d.doc_id
 """
