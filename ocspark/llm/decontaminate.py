@@ -127,12 +127,12 @@ def positional_index(docs: DataFrame, terms: np.ndarray | None, text: str = "tex
     return docs.select(k1.alias("k1"), k2.alias("k2"), text).mapInArrow(run, "k1 long, k2 long, postings array<struct<term:long,position:int>>")
 
 
-def rarest(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
-    """phrase, rank, term, at: the rarest terms of each window, for windows all of whose terms occur."""
+def rarest(windows: DataFrame, counts: DataFrame, anchors: int, share: float = 0.75) -> DataFrame:
+    """phrase, need, rank, term, at: the rarest terms that occur of each window, if `share` of its terms or more occur."""
     each = windows.select("phrase", "terms").dropDuplicates(["phrase"]).select("phrase", F.size("terms").alias("width"), F.posexplode("terms").alias("at", "term"))
     ranked = each.join(counts, "term").groupBy("phrase", "width").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("all"))
-    ranked = ranked.where("size(all) = width")  # at most a window's words each
-    picked = ranked.select("phrase", F.least("width", F.lit(anchors)).alias("need"), F.posexplode(F.slice("all", 1, anchors)).alias("rank", "a"))
+    ranked = ranked.where(F.size("all") >= share * F.col("width"))  # at most a window's words each
+    picked = ranked.select("phrase", F.least(F.size("all"), F.lit(anchors)).alias("need"), F.posexplode(F.slice("all", 1, anchors)).alias("rank", "a"))
     return picked.select("phrase", "need", "rank", "a.term", "a.at")
 
 
