@@ -1,19 +1,29 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Documents are tokenised where they lie; only lengths travel. Each partition packs its
-pieces by best fit, decreasing. Bins that are nearly full are done; the others become items
-of the next round, in which the bins of several partitions meet in one task and are packed
-again. Rounds go on until one partition is left; as every round leaves few open bins per
-task, the last ones stay small however large the input.
-
-Null text counts as empty: a document of the end token alone. Repeated rows are packed each
-on its own. An empty table gives no rows. Pieces keep their document's own order in `start`.
+Documents are tokenised where they lie; only lengths travel. Each partition (about
+FIRST_TOKENS tokens) packs its pieces by best fit, decreasing. Bins that are nearly full
+(`slack` free tokens or fewer) are done, and so are bins whose room is below what the
+emptiest bin of all holds, as nothing fits them any more. The others become items of the
+next round, in which the bins of fan_in partitions meet in one task and are packed again.
+
+A merge needs a bin that is half full at most, and best fit leaves a task one of those at
+most. So the number of such bins bounds what all further rounds can save; rounds end when
+it is no more than `gain` of all bins (or one task is left). With each round it falls by
+fan_in, so a few rounds do however large the input, and no task ever takes more than the
+open bins of fan_in ** rounds partitions.
+
+Null text counts as empty: a document of the end token alone. Repeated rows and rows without
+an id are packed each on its own, spread over all partitions. Ties (equal lengths) keep the
+order of the saved rows. An empty table gives no rows. Very long texts are encoded whole and
+cut into pieces, which keep their document's own order in `start`. Columns sequence_id and
+offset of the input are replaced; all others are kept.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -28,6 +38,8 @@ from .common import byte_set
 
 #: The tokenizer never joins characters across these bytes, so words between them are encoded once.
 _GAP = byte_set(lambda b: b not in b" \t\n\r")
+#: Tokens of a partition of the first round.
+FIRST_TOKENS = 250_000
 #: Distinct words remembered by a worker; beyond that it starts anew.
 CACHE_WORDS = 2_000_000
 
@@ -85,12 +97,15 @@ class WordTokens:
 
 
 @lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def word_tokens(source: str | Callable[[], str]) -> WordTokens:
+    return WordTokens(source() if callable(source) else source)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32. Narrow: no shuffle."""
+def pieces(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = 2048, end: int = 0) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32. Narrow: no shuffle.
+
+    tokenizer: the vocabulary file's path on every worker, or a function that finds it there.
+    """
 
     def run(batches):
         model = word_tokens(tokenizer)
@@ -141,52 +156,61 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(held, np.int64)
 
 
-def pack(found: DataFrame, size: int = 2048, slack: int = 0, fan_in: int = 8, first: int | None = None) -> DataFrame:
+def pack(found: DataFrame, size: int = 2048, slack: int = 16, fan_in: int = 8, first: int | None = None, gain: float = 0.001) -> DataFrame:
     """found (with a column length) with sequence_id and offset.
 
     slack: a bin is done when no more than so many tokens are free. fan_in: partitions
     whose open bins meet in one task of the next round. first: partitions of the first
-    round (default: one for each million tokens, at least one).
+    round (default: by FIRST_TOKENS). gain: rounds end when they could save no more than
+    this share of all bins.
     """
-    spark = found.sparkSession
-    names = found.columns
+    names = [c for c in found.columns if c not in ("sequence_id", "offset")]
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    total = found.agg(F.sum("length")).first()[0] or 0
-    parts = first or max(1, min(2000, total // 1_000_000))
-    spread = found.withColumn("__part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+    rows = save(found.select(*names, F.monotonically_increasing_id().alias("__row")), "pieces")
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    parts = first or -(-total // FIRST_TOKENS) or 1
+    spread = rows.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int"))
 
     def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, ignore_index=True)  # the same bins if the task runs again
+        pdf = pdf.sort_values("__row", ignore_index=True)  # the same bins if the task runs again
         b, o, held = best_fit(pdf["length"].to_numpy(), size)
         pdf["__bin"], pdf["offset"], pdf["__held"] = b + (int(key[0]) << 32), o, held[b]
         return pdf
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __part int, __bin long, offset long, __held long"
-    placed = save(spread.groupBy("__part").applyInPandas(local, schema), "bins-0")
-    # open bins: where (bin, offset) each open bin of the first round now lies
-    opened = placed.where(F.col("__held") < size - slack).select("__bin", F.col("__bin").alias("b"), F.lit(0).cast("long").alias("o"), F.col("__held").alias("held"), "__part").distinct()
-    opened = save(opened, "open-0")
-    done, level, width = None, 0, parts
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __row long, __part int, __bin long, offset long, __held long"
+    placed = save(spread.groupBy("__part").applyInPandas(local, schema).drop("__row"), "bins-0")
+    heads = placed.where("offset = 0").dropDuplicates(["__bin"])  # a row for each bin
+    bins = heads.count()
+    # where (b, o) each open bin of the first round now lies
+    opened = save(heads.where(F.col("__held") < size - slack).select("__bin", F.col("__bin").alias("b"), F.lit(0).cast("long").alias("o"), F.col("__held").alias("held"), "__part"), "open-0")
+    done, level, width = [], 0, parts
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b", ignore_index=True)
+        b, o, held = best_fit(pdf["held"].to_numpy(), size)
+        top = pdf["b"].to_numpy()
+        name = np.full(len(held), np.iinfo(np.int64).max)
+        np.minimum.at(name, b, top)  # a new bin takes the least name of those in it
+        return pd.DataFrame({"b": top, "b2": name[b], "add": o, "held2": held[b]})
+
     while width > 1:
+        seen = opened.where("b = __bin").agg(F.min("held").alias("least"), F.coalesce(F.sum((F.col("held") * 2 <= size).cast("long")), F.lit(0)).alias("small")).first()
+        if seen.small <= gain * bins:
+            break
+        can = F.col("held") <= size - seen.least
+        done.append(opened.where(~can))
+        opened = opened.where(can)
         level, width = level + 1, -(-width // fan_in)
-        tops = opened.groupBy("b").agg(F.first("held").alias("held"), F.min("__part").alias("__part"))
-
-        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("b", ignore_index=True)
-            b, o, held = best_fit(pdf["held"].to_numpy(), size)
-            top = pdf["b"].to_numpy()
-            name = np.full(len(held), np.iinfo(np.int64).max)
-            np.minimum.at(name, b, top)  # a new bin takes the least name of those in it
-            return pd.DataFrame({"b": top, "b2": name[b], "add": o, "held2": held[b]})
-
-        at = F.floor(F.col("__part") / (fan_in**level)).cast("int")
-        moved = tops.withColumn("__g", at).groupBy("__g").applyInPandas(merge, "b long, b2 long, add long, held2 long")
+        # the bin that gives a merged bin its name stands for it
+        tops = opened.where("b = __bin").select("b", "held", F.floor(F.col("__part") / (fan_in**level)).cast("int").alias("__g"))
+        moved = tops.groupBy("__g").applyInPandas(merge, "b long, b2 long, add long, held2 long")
         opened = opened.join(moved, "b").select("__bin", F.col("b2").alias("b"), (F.col("o") + F.col("add")).alias("o"), F.col("held2").alias("held"), "__part")
         opened = save(opened, f"open-{level}")
-        full = opened.where(F.col("held") >= size - slack)
-        done = full if done is None else done.unionByName(full)
+        done.append(opened.where(F.col("held") >= size - slack))
         opened = opened.where(F.col("held") < size - slack)
-    where = opened if done is None else done.unionByName(opened)
-    where = where.select("__bin", "b", "o")
+    where = opened
+    for part in done:
+        where = where.unionByName(part)
+    where = where.where("b <> __bin or o <> 0").select("__bin", "b", "o")
     out = placed.join(where, "__bin", "left")
     return out.select(*names, F.coalesce("b", "__bin").alias("sequence_id"), (F.col("offset") + F.coalesce("o", F.lit(0))).alias("offset"))
