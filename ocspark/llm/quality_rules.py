@@ -2,22 +2,26 @@
 
 Every signal is a DataFrame expression over the whole text; null counts as empty. Each rule
 turns signals into a vote: 1 good, -1 bad, 0 abstains. The votes' patterns (at most
-3 ^ number of rules, whatever the input) are counted by Spark; expectation-maximisation on
-those counts estimates each rule's behaviour on good and bad texts, and a text is kept if
-its posterior probability of being good reaches one half and no base rule fails.
-
-Repeated rows and null ids are judged row by row. On an empty table the prior weights hold.
-A signal column of a clashing name is replaced; all other columns are kept.
+3 ^ number of rules, whatever the input) are counted by Spark. From those counts
+expectation-maximisation estimates how often each rule votes which way on good and on bad
+texts, and how many texts are good. It starts from the votes themselves (none against: good;
+one: undecided; more: bad) and nothing holds its estimates back but one pseudo-count a cell.
+A text is kept if its posterior probability of being good reaches one half and no base rule
+fails, so one vote of a rule that errs often doesn't cost a text its place. Rules overlap on
+purpose: two rules that see one fault in different ways tell it from a rule's own error.
+
+Repeated rows and null ids are judged row by row; ties (a posterior of exactly one half) are
+kept. On an empty table every posterior is one half. Very long texts are read whole. A signal
+column of a clashing name is replaced; all other columns are kept.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_symbol_words", "n_bare_words", "n_ends", "n_same_next")
 _SPACE = r"[ \t-\r]"
 
 
@@ -51,6 +55,10 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_upper": F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", "")),
         "n_letters": F.length(t) - F.length(F.regexp_replace(t, r"[A-Za-z\x{80}-\x{10FFFF}]+", "")),
         "n_distinct": F.size(F.array_distinct("__w")),
+        "n_symbol_words": F.size(F.filter("__w", lambda x: x.rlike("[#*$%&|<>]"))),
+        "n_bare_words": F.size(F.filter("__w", lambda x: ~x.rlike(r"[\p{L}\p{N}]"))),
+        "n_ends": F.size(F.filter("__w", lambda x: x.rlike("[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)]?$"))),
+        "n_same_next": F.size(F.filter(F.zip_with(F.slice("__w", 1, F.greatest(F.col("__n") - 1, F.lit(0))), F.slice("__w", 2, F.greatest(F.col("__n") - 1, F.lit(0))), lambda x, y: x == y), lambda x: x)),
     }
     keep = [c for c in docs.columns if c not in found]
     return d.select(*keep, *[c.cast("long").alias(k) for k, c in found.items()])
@@ -65,10 +73,14 @@ RULES = (
     ("length", "n_words < 20", "n_words >= 40"),
     ("word_length", "word_chars < 2.5 * n_words or word_chars > 13 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("symbol_words", "20 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
+    ("bare_words", "5 * n_bare_words > n_words", "20 * n_bare_words <= n_words"),
+    ("sentences", "n_words >= 80 and 80 * n_ends < n_words", "25 * n_ends >= n_words"),
     ("lines", "3 * n_dup_lines > n_lines", "n_dup_lines = 0"),
     ("repeats", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words <= n_words"),
+    ("stutter", "10 * n_same_next > n_words", "50 * n_same_next <= n_words"),
     ("upper", "2 * n_upper > n_letters", "5 * n_upper <= n_letters and n_upper > 0"),
-    ("letters", "2 * n_letters < word_chars", "100 * n_letters >= 85 * word_chars"),
+    ("letters", "10 * n_letters < 7 * word_chars", "100 * n_letters >= 85 * word_chars"),
     ("variety", "n_words >= 50 and 8 * n_distinct < least(n_words, 400)", "n_words >= 20 and 4 * n_distinct >= least(n_words, 400)"),
 )
 
@@ -77,47 +89,47 @@ def votes() -> list[Column]:
     return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end").alias(f"v_{name}") for name, bad, good in RULES]
 
 
-def fit(signalled: DataFrame, rounds: int = 100, max_false: float = 0.001) -> dict:
-    """Expectation-maximisation on the counts of the votes' patterns: log-odds of good for each rule and vote, and the bias.
+def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 500) -> dict:
+    """Expectation-maximisation on vote patterns (rows of -1, 0, 1) that occur n times each.
 
-    max_false: the highest share of good texts that any rule is believed to vote bad on.
+    prior: the share of good texts. rate[c, i, v + 1]: how often rule i votes v on texts of
+    class c (1 good, 0 bad). accuracy: of a rule's votes that don't abstain, the share that is right.
     """
-    names = [f"v_{r[0]}" for r in RULES]
-    table = signalled.select(*votes()).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ^ len(RULES) rows
-    rows = [(tuple(r[c] for c in names), r["n"]) for r in table]
-    k, total = len(RULES), sum(r["n"] for r in table)
-    # Belief before the data, which counts as a share of it: good texts hardly ever get a
-    # bad vote, bad texts get one from some rules but seldom from all.
-    belief = {1: {1: 0.85, 0: 0.1495, -1: 0.0005}, 0: {1: 0.6, 0: 0.1, -1: 0.3}}
-    strength = max(20.0, 0.02 * total)
-    rate = {c: [dict(belief[c]) for _ in range(k)] for c in (0, 1)}
-    prior = 0.9
+    k = patterns.shape[1]
+    if not len(patterns):
+        return {"prior": 0.5, "rate": np.full((2, k, 3), 1 / 3), "accuracy": np.full(k, 0.5)}
+    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
+    against = (patterns == -1).sum(1)
+    good = np.where(against == 0, 1.0, np.where(against == 1, 0.5, 0.0))
+    last = None
     for _ in range(rounds):
-        seen = {c: [{v: strength * belief[c][v] for v in (-1, 0, 1)} for _ in range(k)] for c in (0, 1)}
-        good = 0.0
-        for pattern, n in rows:
-            z = math.log(prior / (1 - prior)) + sum(math.log(rate[1][i][v] / rate[0][i][v]) for i, v in enumerate(pattern))
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            good += p * n
-            for i, v in enumerate(pattern):
-                seen[1][i][v] += p * n
-                seen[0][i][v] += (1 - p) * n
-        for x in seen[1]:  # else a rule that alone finds one kind of bad text would pass for wrong
-            x[-1] = min(x[-1], max_false * (x[0] + x[1]))
-        last, prior = prior, min(0.95, max(0.5, (good + 9) / (total + 10)))
-        rate = {c: [{v: x[v] / sum(x.values()) for v in x} for x in seen[c]] for c in (0, 1)}
-        if abs(prior - last) < 1e-9:
+        weight = np.stack([(1 - good) * n, good * n])
+        seen = np.einsum("cp,piv->civ", weight, hot) + 1
+        rate = seen / seen.sum(2, keepdims=True)
+        prior = (weight[1].sum() + 1) / (n.sum() + 2)
+        z = np.log(prior / (1 - prior)) + np.einsum("piv,iv->p", hot, np.log(rate[1] / rate[0]))
+        good = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        if last is not None and np.abs(good - last).max() < 1e-9:
             break
-    odds = [{v: math.log(rate[1][i][v] / rate[0][i][v]) for v in (-1, 0, 1)} for i in range(k)]
-    for o in odds:  # a vote never speaks against itself, and abstaining not against a text
-        o[1], o[-1], o[0] = max(0.0, o[1]), min(0.0, o[-1]), max(0.0, o[0])
-    return {"bias": math.log(prior / (1 - prior)), "odds": odds}
+        last = good
+    right = prior * rate[1, :, 2] + (1 - prior) * rate[0, :, 0]
+    wrong = prior * rate[1, :, 0] + (1 - prior) * rate[0, :, 2]
+    return {"prior": float(prior), "rate": rate, "accuracy": right / (right + wrong)}
+
+
+def fit(signalled: DataFrame) -> dict:
+    """The estimate() of all rows' votes."""
+    names = [f"v_{r[0]}" for r in RULES]
+    table = signalled.select(*votes()).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ^ len(RULES) rows
+    table.sort(key=lambda r: tuple(r[c] for c in names))
+    return estimate(np.array([[r[c] for c in names] for r in table], np.int64).reshape(-1, len(names)), np.array([r["n"] for r in table], float))
 
 
 def judge(signalled: DataFrame, model: dict) -> DataFrame:
     """With columns base_failed, quality (posterior probability of good) and kept."""
-    z = F.lit(float(model["bias"]))
-    for vote, odds in zip(votes(), model["odds"], strict=True):
-        z = z + F.when(vote == 1, float(odds[1])).when(vote == -1, float(odds[-1])).otherwise(float(odds[0]))
+    odds = np.log(model["rate"][1] / model["rate"][0])
+    z = F.lit(float(np.log(model["prior"] / (1 - model["prior"]))))
+    for vote, o in zip(votes(), odds, strict=True):
+        z = z + F.when(vote == 1, float(o[2])).when(vote == -1, float(o[0])).otherwise(float(o[1]))
     d = signalled.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-z)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))

@@ -63,7 +63,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = save(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
+    found = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path)
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -114,7 +114,7 @@ cnt as (select word, count(*) as n from pos group by word),
 u as (select win, k, row_number() over () as wid from (select distinct win, k from bw) x),
 at0 as (select wid, unnest(win) as word, unnest(range(0, k)) as ofs from u),
 a as (select wid, word, ofs, row_number() over (partition by wid order by n, ofs) - 1 as rk from (select x.wid, x.word, x.ofs, c.n from at0 x join cnt c on c.word = x.word) y
-  where wid in (select x.wid from at0 x left join cnt c on c.word = x.word group by x.wid having count(*) = count(c.n))),
+  where wid in (select x.wid from at0 x left join cnt c on c.word = x.word group by x.wid having count(c.n) >= 0.75 * count(*))),
 c0 as (select p.doc_id, a.wid, p.i - a.ofs as s from pos p join a on a.word = p.word where a.rk = 0),
 c1 as (select p.doc_id, a.wid, p.i - a.ofs as s from pos p join a on a.word = p.word where a.rk = 1),
 q as (select distinct c0.doc_id, c0.wid, c0.s from c0 join u on u.wid = c0.wid left join c1 on c1.doc_id = c0.doc_id and c1.wid = c0.wid and abs(c0.s - c1.s) <= 4 where u.k = 1 or c1.s is not null),
