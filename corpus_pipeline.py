@@ -41,7 +41,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
-    return packing.pack(save(packing.pieces(docs, tokenizer_path()), "pieces"))
+    return packing.pack(packing.pieces(docs, tokenizer_path))
 
 
 STAGES = [
