@@ -6,12 +6,16 @@ on the whole corpus: n(t) the texts that have the term, n(e) those that have the
 n(e, t) those with both. A term discloses an entity as far as its pointwise mutual
 information with it, log2(N n(e,t) / (n(e) n(t))), comes near the entity's own information,
 log2(N / n(e)); beyond a threshold share of it, and with enough texts in support, the term
-is a span of its own ("term"). Keyed secrets (password=..., api_key: "...") are entities whose
+is a span of its own ("term"). Terms that give nearly all of it away are removed, the others
+generalised to the class of word they are of. Keyed secrets (password=..., api_key: "...") are entities whose
 value, quoted or bare, is protected itself ("secret"). Base spans always stay; a term span that meets one goes.
 
 DataFrame and SQL functions only. Offsets are code points, end exclusive. Null text counts
 as empty. Repeated rows and null ids are treated row by row; corpus counts are by distinct
-text, so copies give no support. Columns whose names clash with results are replaced.
+text, so copies give no support. An empty table gives no rows. Ties don't arise, as a term
+is judged by its largest share. Very long texts are read whole; lists of matches are built
+in runs, so their cost is in proportion to their number. Columns whose names clash with
+results (s_<kind>, term_share, __t) are replaced.
 """
 
 from __future__ import annotations
@@ -37,18 +41,46 @@ SECRET = (
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 
 
+_SPANS = "array<struct<s:int,e:int,v:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(numbers: Column, op) -> Column:
+    """Running totals by op, from 0 on, of an array of numbers.
+
+    In blocks of about the cube root of its length n, so the cost is about n ** (4 / 3)
+    scalar steps; an aggregate that grows an array would copy it at each step.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), op)
+    block = lambda x, i: F.slice(x.l, i * x.w + 1, x.w)
+    split = lambda n: F.struct(n.alias("l"), F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(n)))).cast("int").alias("w"))
+    sums = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x.l) - 1) / x.w).cast("int"))), lambda i: total(block(x, i)))
+    before = lambda s: F.transform(s, lambda _, i: total(F.slice(s, F.lit(1), i)))
+
+    def each(x, p):
+        def one(_, i):
+            b = F.floor(i / x.w).cast("int")
+            return op(F.get(p, b), total(F.slice(x.l, b * x.w + 1, i - b * x.w + 1)))
+
+        return F.transform(x.l, one)
+
+    return _let(numbers, lambda n: _let(split(n), lambda x: _let(sums(x), lambda s: _let(before(s), lambda p: each(x, p)))))
+
+
 def _matches(text: str, pattern: str) -> Column:
     """Array of (start, end, value) of all matches, from what lies between them."""
     values = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     between = F.split(F.col(text), pattern, -1)
-    empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
-    def step(acc, x):
-        start = acc.at + F.length(x.b)
-        return F.struct((start + F.length(x.v)).alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("s"), (start + F.length(x.v)).alias("e"), x.v.alias("v")))).alias("out"))
+    def ends(x):
+        return _running(F.zip_with(F.slice(x.b, F.lit(1), F.size(x.v)), x.v, lambda b, v: F.length(b) + F.length(v)), lambda m, n: m + n)
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda b, v: F.struct(b.alias("b"), v.alias("v")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc.out)
+    span = lambda v, e: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("v"))
+    return _let(F.struct(values.alias("v"), between.alias("b")), lambda x: F.zip_with(x.v, ends(x), span)).cast(_SPANS)
 
 
 def _digits(v: Column) -> Column:
@@ -92,7 +124,7 @@ def _written(kind: str):
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __t (the text, null as empty) and an array column s_<kind> of (s, e, v) for each base kind and secrets."""
     d = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    none = F.array().cast(_SPANS)
     for kind, pattern, sign in PATTERNS:
         found = F.filter(_matches("__t", pattern), _checker(kind))
         may = F.col("__t").contains(sign) if sign else F.col("__t").rlike(r"[0-9](?:[\x20-]?[0-9]){12}")
@@ -141,45 +173,45 @@ def term_places(spans: DataFrame, terms: DataFrame) -> DataFrame:
     return every.join(terms.select("term").distinct(), "term", "left_semi").distinct()
 
 
-NO_SPANS = "array<struct<s:int,e:int,v:string>>"
-
-
 def find(docs: DataFrame, text: str = "text", support: int = 3, share: float = 0.8) -> DataFrame:
-    """docs with the column __t and array columns s_<kind> of (s, e, v) for all KINDS.
+    """docs with the column __t, array columns s_<kind> of (s, e, v) for all KINDS, and term_share (term, share).
 
     support: distinct texts in which entity and term must meet. share: the threshold of
-    disclosure, as a share of the entity's own information.
+    disclosure, as a share of the entity's own information. term_share: how much of an entity's
+    information each term span gives away, at most 1.
     """
     spans = base_spans(docs, text)
     hot = spans.where("size(s_email) + size(s_ip) + size(s_card) + size(s_phone) + size(s_secret) > 0")
     hot = save(hot.select("__t", *[f"s_{k}" for k in KINDS[:5]]), "entities")
     joint = save(disclosing_candidates(hot, support=support), "joint")
-    none = F.array().cast(NO_SPANS)
+    none = {"s_term": F.array().cast(_SPANS), "term_share": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))}
     if joint.limit(1).count() == 0:
-        return spans.withColumn("s_term", none)
+        return spans.withColumns(none)
     total = spans.select(F.xxhash64("__t").alias("h")).distinct().count()
-    own = F.log2(F.lit(total) / F.col("n_entity"))
 
     def telling_of(counts: DataFrame) -> DataFrame:
         pmi = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-        return joint.join(counts, "term").where(pmi >= F.lit(share) * own)
+        known = joint.join(counts, "term").withColumn("share", pmi / F.log2(F.lit(total) / F.col("n_entity")))
+        return known.where(F.col("share") >= share)
 
     # n(t) among the texts with entities is a lower bound of n(t): what fails by it fails, so common words never reach the corpus
     bound = term_places(hot.select("__t"), joint).groupBy("term").agg(F.count("*").alias("n_term"))
-    joint = save(telling_of(bound).drop("n_term"), "joint-bounded")
+    joint = save(telling_of(bound).drop("n_term", "share"), "joint-bounded")
     if joint.limit(1).count() == 0:
-        return spans.withColumn("s_term", none)
+        return spans.withColumns(none)
     places = save(term_places(spans.select("__t"), joint), "places")
     counts = places.groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = telling_of(counts).select("term").distinct()
-    told = places.join(telling, "term", "left_semi").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))  # no more than a text's terms
+    telling = telling_of(counts).groupBy("term").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"))
+    told = places.join(telling, "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # no more than a text's terms
     told = save(told.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("terms").alias("__terms")), "telling")
     k1, k2 = text_key(F.col("__t"))
     out = spans.withColumns({"__k1": k1, "__k2": k2}).join(told, ["__k1", "__k2"], "left")
     base = _all(KINDS[:5])
-    marked = F.filter(_matches("__t", _WORD), lambda x: F.array_contains("__terms", F.lower(x.v)))
+    marked = F.filter(_matches("__t", _WORD), lambda x: F.map_contains_key("__terms", F.lower(x.v)))
     free = F.filter(marked, lambda x: ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e)))
-    return out.withColumn("s_term", F.when(F.col("__terms").isNotNull(), free).otherwise(none)).drop("__k1", "__k2", "__terms")
+    some = F.col("__terms").isNotNull()
+    found = {"s_term": F.when(some, free).otherwise(none["s_term"]), "term_share": F.when(some, F.col("__terms")).otherwise(none["term_share"])}
+    return out.withColumns(found).drop("__k1", "__k2", "__terms")
 
 
 def listing(kinds: tuple[str, ...]) -> Column:
@@ -188,15 +220,26 @@ def listing(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.flatten(F.array(*parts)), ",")
 
 
-def sanitise(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces `text`: each span by its kind in brackets, disclosing terms by [TERM]. Of spans that overlap the first goes in, and the text of the others goes with it."""
-    spans = F.array_sort(F.transform(_all(KINDS), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.k.alias("k"))))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def _class(v: Column) -> Column:
+    """What a term is generalised to: a number, a name (it begins with a capital letter) or a word."""
+    return F.when(v.rlike(r"\p{N}"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
+def sanitise(found: DataFrame, text: str = "text", remove: float = 0.95) -> DataFrame:
+    """Replaces `text`: each base span and secret by its kind in brackets; terms that disclose `remove` of an entity's
+    information or more by [TERM], and those that disclose less by the class of word they are of.
+    Of spans that overlap the first goes in, and the text of the others goes with it."""
+    label = lambda k: lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(f"[{k.upper()}]").alias("r"))
+    gone = lambda x: F.try_element_at("term_share", F.lower(x.v)) >= remove
+    terms = F.transform("s_term", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.when(gone(x), "[TERM]").otherwise(_class(x.v)).alias("r")))
+    spans = F.array_sort(F.flatten(F.array(*[F.transform(f"s_{k}", label(k)) for k in KINDS[:5]], terms)))
 
-    def step(acc, x):
-        fresh = x.s >= acc.at
-        head = F.substr("__t", acc.at + 1, F.greatest(x.s - acc.at, F.lit(0)))
-        return F.struct(F.greatest(acc.at, x.e).alias("at"), F.when(fresh, F.concat(acc.out, head, F.element_at(names, x.k + 1))).otherwise(acc.out).alias("out"))
+    def rest(x):
+        """The text between spans that don't overlap, each with its replacement, and the text after the last."""
+        part = lambda y, before: F.when(y.s >= before, F.concat(F.substr("__t", before + 1, y.s - before), y.r)).otherwise("")
+        before = lambda m: F.concat(F.array(F.lit(0)), F.slice(m, F.lit(1), F.size(m) - 1))
+        return F.concat(F.array_join(F.zip_with(x.l, before(x.m), part), ""), F.substr("__t", F.get(x.m, F.size(x.m) - 1) + 1))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substr("__t", acc.at + 1)))
-    return found.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text)))
+    reach = lambda l: F.struct(l.alias("l"), _running(F.transform(l, lambda y: y.e), lambda m, n: F.greatest(m, n)).alias("m"))
+    done = _let(spans, lambda l: F.when(F.size(l) > 0, _let(reach(l), rest)))
+    return found.withColumn(text, F.coalesce(done, F.col(text)))
