@@ -139,6 +139,25 @@ def text_key(column) -> list:
     return [F.xxhash64(text), F.xxhash64(F.lit("b"), text)]
 
 
+def settled(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
+    """df with `out`, a 64-bit id that stands for the 128 bits of the columns one and two.
+
+    It is `one` itself, but where different values of `two` share it all but the least get
+    another. Those are looked for among all rows; there are hardly ever any, so what is joined is tiny.
+    """
+    clash = df.select(one, two).distinct().groupBy(one).agg(F.min(two).alias("__least"), F.max(two).alias("__most"))
+    clash = save(clash.where("__least <> __most").select(one, "__least"), "clashes")
+    names = [c for c in df.columns if c != out]
+    new = F.when(F.col("__least").isNull() | (F.col(two) == F.col("__least")), F.col(one)).otherwise(F.xxhash64(one, two, F.lit("again")))
+    return df.join(clash, one, "left").select(*names, new.alias(out))
+
+
+def with_text_id(docs: DataFrame, text: str = "text", out: str = "__id") -> DataFrame:
+    """docs with `out`: an id of the text (null as empty), the same for equal texts alone."""
+    k1, k2 = text_key(F.col(text))
+    return settled(docs.withColumns({"__k1": k1, "__k2": k2}), "__k1", "__k2", out).drop("__k1", "__k2")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, root), root the least id, for ids with an edge.
 

@@ -13,11 +13,11 @@ still lies in different components of a bucket is compared too, so no pair of a
 left out, while a group of copies costs links in proportion to its size. Every pair is
 verified on the whole texts. Classes are the connected components of verified links.
 
-Exact copies count once: they meet by a 64-bit hash of their text (for ten billion texts a
-handful of chance meetings are to be expected). Null counts as empty. Rows are known by
-their text, so repeated rows, null ids and ties are well defined: a class's
+Exact copies count once: they meet by 128 bits of their text. Null counts as empty. Rows are
+known by their text, so repeated rows, null ids and ties are well defined: a class's
 id is the least doc_id in it. Texts without words are classes of their own text. An empty
-table gives no rows.
+table gives no rows. Very long texts are read whole, a text at a time. Columns of docs whose
+names are those of results are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, components, mix, save, shingle_hashes, slices, span_hashes, text_bytes, text_key, words
+from .common import NOT_SPACE, components, mix, save, shingle_hashes, slices, span_hashes, text_bytes, with_text_id, words
 
 #: 26 bands of 5 registers: a pair of similarity 0.8 shares no bucket with probability 3e-5.
 BANDS, ROWS = 26, 5
@@ -147,20 +147,23 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8, k: int
     return both.mapInArrow(run, "a long, b long")
 
 
-def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each distinct text with words: id (its hash), text."""
-    k1, _ = text_key(F.col(text))
+def distinct_texts(identified: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each distinct text with words of rows with __id: id, text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(k1.alias("id"), t.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).dropDuplicates(["id"])
+    return identified.select(F.col("__id").alias("id"), t.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).dropDuplicates(["id"])
 
 
 def prefix_pairs(texts: DataFrame, open_: DataFrame, similarity: float, k: int) -> DataFrame:
     """Pairs (a, b) of different roots that can reach the similarity; no such pair is left out.
 
     Shingles are ordered from rare to common. A pair that reaches the similarity shares a
-    shingle among the first of both, at a place after which enough is left for the overlap
-    it needs. Texts that differ from a common origin by their own edits each begin with
-    shingles of their own, so a large group of them makes few pairs.
+    shingle early in both: at a place p of the longer text (n shingles) and q of the other (m)
+    after which enough is left for the overlap that the two need, similarity / (1 + similarity)
+    * (n + m). For the shorter text, which needs that with a partner of its own length at
+    least, few places qualify; for the longer one each place bounds how long the partner may
+    be. So texts that share a boilerplate and differ by words of their own, too many to be
+    similar, never meet at it, however many they are. Shingles that only one component has
+    are left out.
     """
 
     def run(batches):
@@ -174,15 +177,18 @@ def prefix_pairs(texts: DataFrame, open_: DataFrame, similarity: float, k: int)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "e", "n"])
 
     each = texts.join(open_.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, e long, n long")
-    each = save(each, "elements")
-    often = each.groupBy("e").agg(F.count("*").alias("f"))
+    each = save(each.join(open_, "id").select("id", "root", "e", "n"), "elements")
+    often = each.groupBy("e").agg(F.count("*").alias("f"), F.min("root").alias("least"), F.max("root").alias("most"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("f", "e"))  # no more than a text's shingles
-    first = each.join(often, "e").withColumn("p", place).where((F.col("p") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1))
-    first = save(first.join(open_, "id").select("id", "root", "e", "n", "p"), "prefixes")
-    x = first.select("e", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    y = first.select("e", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    need = f"{similarity / (1 + similarity)!r} * (na + nb) - 1e-6"
-    return x.join(y, "e").where(f"a < b and ra <> rb and na - pa + 1 >= {need} and nb - pb + 1 >= {need}").select("a", "b")
+    share = similarity / (1 + similarity)
+    # longest partner for which enough is left after this place
+    most = F.floor((F.col("n") - F.col("p") + 1 + 1e-6) / F.lit(share) - F.col("n"))
+    ranked = each.join(often, "e").withColumn("p", place).where("least < most").withColumn("up", most)
+    ranked = save(ranked.where(F.col("up") >= F.ceil(F.lit(similarity) * F.col("n") - 1e-9)).select("id", "root", "e", "n", "up"), "prefixes")
+    longer = ranked.select("e", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("up").alias("ua"))
+    shorter = ranked.where("up >= n").select("e", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("up").alias("ub"))
+    met = longer.join(shorter, "e").where("ra <> rb and nb <= na and nb <= ua and na <= ub and (nb < na or b < a)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link(texts: DataFrame, buckets: DataFrame, name: str, similarity: float = 0.8, k: int = 5, rounds: int = 3) -> DataFrame:
@@ -230,18 +236,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A class whose ids are all null has the id null and its rows count as kept. keep_one()
     also settles rows of equal ids.
     """
-    texts = save(distinct_texts(docs, id_col, text), "texts")
+    names = [c for c in docs.columns if c not in ("class_key", "class_id", "kept")]
+    docs = with_text_id(docs.select(*names), text)
+    texts = save(distinct_texts(docs, text), "texts")
     buckets = save(bands_of(texts, k=k), "buckets")
     roots = link(texts, buckets, "near", similarity, k)
-    names = [c for c in docs.columns if c not in ("class_key", "class_id", "kept")]
-    k1, _ = text_key(F.col(text))
-    rows = docs.select(*names, k1.alias("__k")).join(roots.select(F.col("id").alias("__k"), F.col("root").alias("__root")), "__k", "left")
-    rows = rows.withColumn("class_key", F.coalesce("__root", "__k"))
+    rows = docs.join(roots.select(F.col("id").alias("__id"), F.col("root").alias("__root")), "__id", "left")
+    rows = rows.withColumn("class_key", F.coalesce("__root", "__id"))
     least = rows.groupBy("class_key").agg(F.min(id_col).alias("class_id"))
     return rows.join(least, "class_key").select(*names, "class_key", "class_id", F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """One row of each class, that with the least id, with the columns of docs."""
-    found = near_duplicates(docs, id_col, text, similarity, k)
-    return found.where("kept").dropDuplicates(["class_key"]).select(*docs.columns)
+    """One row of each class, that with the least id, with the columns of docs. Of rows of one text and equal ids any stays.
+
+    Copies of a text are brought down to one row before anything else, within each task
+    first; whole rows are shuffled there and once more, with what stays.
+    """
+    names, order = docs.columns, F.struct(F.col(id_col).isNull(), id_col)
+    one = with_text_id(docs, text).groupBy("__id").agg(F.min_by(F.struct(*names), order).alias("__row"))
+    one = save(one.select("__id", "__row.*"), "one-of-each-text")
+    texts = one.select(F.col("__id").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("text").rlike(r"[^ \t-\r]"))
+    roots = link(texts, save(bands_of(texts, k=k), "buckets"), "near", similarity, k)
+    placed = one.select("__id", id_col).join(roots.select(F.col("id").alias("__id"), "root"), "__id", "left")
+    kept = placed.groupBy(F.coalesce("root", "__id").alias("class_key")).agg(F.min_by("__id", F.struct(F.col(id_col).isNull(), id_col, "__id")).alias("__id"))
+    return one.join(save(kept.select("__id"), "kept"), "__id", "left_semi").select(*names)

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ocspark.llm import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_rules, substring_dedup, toxicity
-from ocspark.llm.common import components
+from ocspark.llm.common import components, settled
 from ocspark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, n_words long, kept string, k1 string"
@@ -95,6 +96,34 @@ def test_near_duplicates(docs, empty, texts):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_prefix_pairs_are_complete_and_leave_boilerplate_out(spark):
+    rng = random.Random(9)
+    base = [words(rng, 70).split() for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 2)] = [words(rng, 1)] * rng.randint(0, 2)
+        rows.append((i, " ".join(w)))
+    roots = spark.createDataFrame([(i, i) for i, _ in rows], "id long, root long")
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(spark.createDataFrame(rows, "id long, text string"), roots, 0.8, 5).collect()}
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows]
+    near = {(i, j) for j in range(60) for i in range(j) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    assert near and near <= got
+    boiler = words(rng, 100)
+    many = spark.createDataFrame([(i, f"{boiler} {words(rng, 22)}") for i in range(3000)], "id long, text string")
+    assert near_dedup.prefix_pairs(many, many.selectExpr("id", "id as root"), 0.8, 5).count() == 0
+
+
+def test_settled_ids_tell_clashing_hashes_apart(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, 4), (2, 5), (3, 3)], "a long, b long")
+    got = {}
+    for r in settled(rows, "a", "b", "id").collect():
+        got.setdefault(r.id, set()).add((r.a, r.b))
+    assert all(len(x) == 1 for x in got.values()) and len(got) == 5 and got[1] == {(1, 4)}
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**63, 300).astype(np.uint64)
@@ -167,6 +196,58 @@ def test_pii(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_base_spans_are_those_of_the_patterns(spark):
+    """The contract's patterns, read plainly by another engine of regular expressions."""
+    rng = random.Random(6)
+    bits = ["a.b@c.org", "x@y", "@", "a@b..c", "10.0.0.7", "1.2.3.4.5", "256.1.1.1", "010.0.0.007", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+", "+12", "555", "é", "日本", "\n", "..", "-"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ", ", "x"]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", luhn), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15),
+    }
+    rows = pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        for kind, (pattern, ok) in plain.items():
+            expected = [(m.start(), m.end()) for m in re.finditer(pattern, r.text) if ok(m.group())]
+            assert [(x.s, x.e) for x in r[f"s_{kind}"]] == expected, (kind, r.text)
+
+
+def luhn(v):
+    d = [int(x) for x in v if x.isdigit()][::-1]
+    return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_terms_that_disclose_an_entity(spark):
+    """A term found with one entity alone goes, one found there mostly is generalised, others stay; copies give no support."""
+    rng, rows = random.Random(1), []
+    for i in range(40):
+        if i < 6:
+            rows.append((i, f"{words(rng, 8)} Zorblax {words(rng, 3)} jim@corp.example {words(rng, 2)} neutral {words(rng, 1)} partly {words(rng, 6)}"))
+        else:
+            rows.append((i, f"{words(rng, 9)} neutral {words(rng, 2)}{' partly ' if i < 8 else ' '}{words(rng, 9)}"))
+    copied = f"{words(rng, 8)} Quuxify {words(rng, 2)} ann@corp.example {words(rng, 9)}"
+    rows += [(100 + i, copied) for i in range(5)] + [(None, None), (99, "")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    clean = {r.doc_id: r for r in pii.sanitise(found).collect()}
+    for i in range(6):
+        assert [x.v for x in clean[i].s_term] == ["Zorblax", "partly"]
+        text = rows[i][1].replace("Zorblax", "[TERM]").replace("jim@corp.example", "[EMAIL]").replace("partly", "[WORD]")
+        assert clean[i].text == text
+    assert clean[7].text == rows[7][1].replace("partly", "[WORD]") and clean[30].text == rows[30][1]
+    assert clean[100].text == copied.replace("ann@corp.example", "[EMAIL]") and clean[None].text is None and clean[99].text == ""
+    assert not pii.find(spark.createDataFrame(rows, "doc_id long, text string"), share=1.5).where("size(s_term) > 0").count()
+
+
+def test_pii_of_very_long_texts(spark):
+    """Running totals in blocks: the same as one by one, and a text of 200,000 words ends soon."""
+    n = spark.range(1).select(pii._running(F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda x: x % 7), lambda a, b: a + b).alias("r")).first().r
+    assert n == list(np.cumsum(np.arange(1, 5001) % 7))
+    assert spark.range(1).select(pii._running(F.array().cast("array<int>"), lambda a, b: a + b).alias("r")).first().r == []
+    text = "ab cd " * 100_000 + "a@b.org"
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string").select(F.size(pii._matches("text", r"[a-z]+")).alias("n"), F.element_at(pii._matches("text", r"[a-z]+"), -1).alias("x")).first()
+    assert row.n == 200_003 and (row.x.s, row.x.e) == (600_004, 600_007)
+
+
 def test_secrets(spark):
     """Quoted and very long values are spans to their ends."""
     jwt = ".".join("aZ09_-" * 400 for _ in range(3))
