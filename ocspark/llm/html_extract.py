@@ -1,21 +1,26 @@
 """Main-text extraction from HTML by text-to-tag ratios over a stream of parser events.
 
-Parser events are gathered into lines (blocks), each with the length of its text and the
-number of tags in it. The ratios text / (tags + 1) of the lines are smoothed with a
-Gaussian; lines fall into regions (an article, the main element, or what a page has outside
-those) and a region is content if its smoothed ratio reaches a threshold taken from the
-spread of the page's ratios. Lines within elements whose role is not the article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-have no ratio and are never content. Names of class and id tell such a role only where the
-element isn't the page's layout: around the article, main or most of the text.
-
-Null or empty html gives an empty text. Unclosed and badly nested tags are tolerated; the
-whole page is read. A column of the output's name is replaced; all others are kept.
+Parser events are gathered into lines (blocks), each with the length of its text outside
+links and the number of tags in it. The ratios text / (tags + 1) of the lines are smoothed
+with a Gaussian. A threshold taken from the spread of the page's smoothed ratios parts the
+lines into content and what is not: landmarks (article, main) with no line above it go, as
+do boxes (div, section, list, table, ...) whose lines lie below it on the mean and whose text is
+mostly links; on a page without landmarks what lies before the first line above the
+threshold and after the last goes too. Lines within elements whose role is not the article
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles,
+hidden elements) have no ratio and are never content. Names of class and id tell such a role
+only where the element isn't the page's layout: around the article, main or most of the text.
+
+Null or empty html gives an empty text; an empty table gives no rows; repeated rows are read
+one by one; ratios that tie with the threshold count as above it. Unclosed and badly nested
+tags are tolerated; the whole page is read, in time proportional to its length. A column of
+the output's name is replaced; all others are kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,7 +49,10 @@ NAMES = frozenset(
 CONTENT = frozenset("article main".split())
 #: What may stand in a head; any other element ends it.
 HEAD = frozenset("html head title meta link base script style noscript template".split())
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: What lines are taken together by.
+BOXES = frozenset("body div section article main ul ol dl table figure details blockquote center fieldset".split())
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
@@ -56,31 +64,36 @@ class _Lines(HTMLParser):
         self.parent: dict[int, int] = {}  # of elements with a layout name
         self.size: dict[int, int] = {-1: 0}  # text by innermost element with a layout name
         self.marks: list[tuple[str, int]] = []  # article and main elements, innermost element with a layout name
-        self.stack: list[tuple[str, bool, int]] = []  # tag, skipped, region
-        self.skipped, self.region, self.regions = 0, 0, 1
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, region, in an article
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, skipped, region and box that it is in or opens
+        self.open: Counter[str] = Counter()  # open elements by tag
+        self.skipped, self.regions, self.boxes = 0, 1, 1
+        self.lines: list[tuple[str, int, int, int, int]] = []  # text, tags, region, box, characters of links
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+
+    @property
+    def region(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.region, any(r for _, _, r in self.stack)))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.region, self.stack[-1][3] if self.stack else 0, self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def never(self, tag: str, attrs: list) -> bool:
         """Whether the element is skipped by what it is."""
         if tag in SKIP:
             return True
         if tag == "header":
-            return not any(r for _, _, r in self.stack)
-        return any(not v and k == "hidden" or v and (k == "role" and v.lower() in ROLES or k == "aria-hidden" and v.lower() == "true") for k, v in attrs)
+            return not self.region
+        return any(k == "hidden" or v and (k == "role" and v.lower() in ROLES or k == "aria-hidden" and v.lower() == "true" or k == "style" and _NO_DISPLAY.search(v)) for k, v in attrs)
 
     def named(self, tag: str, attrs: list) -> bool:
         """Whether class or id name what is not the article. An article within an article (a comment) has names too."""
-        if tag in ("html", "body", "main") or tag == "article" and not any(t == "article" for t, _, _ in self.stack):
+        if tag in ("html", "body", "main") or tag == "article" and not self.open["article"]:
             return False
-        return any(w in NAMES for k, v in attrs if v and k in ("class", "id") for x in v.split() for w in (_SPLIT.split(x.lower()) if len(x) < 80 else ()))
+        return any(w.lower() in NAMES for k, v in attrs if v and k in ("class", "id") for w in _SPLIT.split(v))
 
     def pardon(self) -> frozenset[int]:
         """Elements that only lay the page out, though a name of theirs is of what is not the article.
@@ -106,7 +119,7 @@ class _Lines(HTMLParser):
 
     def end_head(self, now: bool) -> None:
         """The end tag of the head may be left out."""
-        if self.stack and (self.stack[-1][0] == "head" or now):
+        if self.open["head"] and (self.stack[-1][0] == "head" or now):
             k = next((k for k, x in enumerate(self.stack) if x[0] == "head"), None)
             if k is not None:
                 self.cut(k)
@@ -125,7 +138,10 @@ class _Lines(HTMLParser):
             return
         self.count += 1
         hard, near = self.never(tag, attrs), self.near[-1][0] if self.near else -1
-        bad, region = hard, 0
+        bad, region = hard, self.region
+        box = self.stack[-1][3] if self.stack else 0
+        if tag in BOXES:
+            box, self.boxes = self.boxes, self.boxes + 1
         if not hard and self.named(tag, attrs):
             self.parent[self.count] = near
             near, bad = self.count, self.count not in self.pardoned
@@ -135,8 +151,8 @@ class _Lines(HTMLParser):
         if tag in CONTENT and not bad and not self.skipped:
             region = self.regions
             self.regions += 1
-            self.region = region
-        self.stack.append((tag, bad, region))
+        self.stack.append((tag, bad, region, box))
+        self.open[tag] += 1
         self.near.append((near, hard))
         self.skipped += bad
 
@@ -151,11 +167,11 @@ class _Lines(HTMLParser):
                 return
 
     def cut(self, k: int) -> None:
-        for _, bad, _ in self.stack[k:]:
+        for tag, bad, _, _ in self.stack[k:]:
             self.skipped -= bad
+            self.open[tag] -= 1
         self.hard -= sum(hard for _, hard in self.near[k:])
         del self.stack[k:], self.near[k:]
-        self.region = next((r for _, _, r in reversed(self.stack) if r), 0)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -166,6 +182,8 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self.cut(k)
@@ -181,6 +199,8 @@ class _Lines(HTMLParser):
             self.size[at] = self.size.get(at, 0) + len(data.strip())
         if not self.skipped:
             self.text.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -202,10 +222,11 @@ def _read(html: str, pardoned: frozenset[int] = frozenset()) -> _Lines:
 def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
     """The article of one page: blocks in page order joined by one space.
 
-    sigma: of the smoothing, in lines. spread: a region is content if its highest
-    smoothed ratio is at least this many standard deviations of the page's smoothed
-    ratios. Where a page has article or main elements only they can be content; else it
-    is what lies from the first line that reaches the threshold to the last.
+    sigma: of the smoothing, in lines. spread: the threshold, in standard deviations of
+    the page's smoothed ratios. A landmark is content if its highest smoothed ratio reaches
+    it (the best one always is); where a page has landmarks only they can be content, else
+    it is what lies from the first line that reaches the threshold to the last. A box of
+    which the mean is below the threshold and more than half of the text is links is not.
     """
     if not html:
         return ""
@@ -215,22 +236,31 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
         p = _read(html, pardoned)
     if not p.lines:
         return ""
-    ratio = np.array([len(t) / (tags + 1) for t, tags, _, _ in p.lines])
-    soft = smooth(ratio, sigma)
+    text, tags, region, box, linked = zip(*p.lines, strict=True)
+    size = np.array([len(t) for t in text])
+    linked = np.minimum(linked, size)
+    region, box = np.array(region), np.array(box)
+    soft = smooth((size - linked) / (np.array(tags) + 1), sigma)
     threshold = spread * soft.std()
-    best: dict[int, float] = {}
-    for (text, _, region, _), s in zip(p.lines, soft, strict=True):
-        if text:
-            best[region] = max(best.get(region, 0.0), float(s))
-    if not best:
+    written = size > 0
+    if not written.any():
         return ""
-    top = max(best.values())
-    landmarks = {r for r in best if r}
-    if landmarks:
-        keep = {r for r in landmarks if best[r] >= min(threshold, max(best[x] for x in landmarks))}
-        return " ".join(text for text, _, region, _ in p.lines if text and region in keep)
-    high = [k for k, (line, s) in enumerate(zip(p.lines, soft, strict=True)) if line[0] and s >= min(threshold, top)]
-    return " ".join(line[0] for line in p.lines[high[0] : high[-1] + 1] if line[0])
+    total = lambda by, values: np.bincount(by[written], values[written])
+    below = total(box, soft) < threshold * total(box, np.ones(len(size)))
+    links = written & below[np.minimum(box, len(below) - 1)] & (2 * total(box, linked) > total(box, size))[np.minimum(box, len(below) - 1)]
+    if links[written].all():
+        links[:] = False
+    content = written & ~links
+    best = np.zeros(region.max() + 1)
+    np.maximum.at(best, region[content], soft[content])
+    marked = content & (region > 0)
+    if marked.any():
+        keep = marked & (best[region] >= min(threshold, best[region[marked]].max()))
+    else:
+        high = np.flatnonzero(content & (soft >= min(threshold, soft[content].max())))
+        keep = content.copy()
+        keep[: high[0]] = keep[high[-1] + 1 :] = False
+    return " ".join(text[k] for k in np.flatnonzero(keep))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,6 +71,37 @@ def test_html_layout_names_and_open_head():
     assert html_extract.main_text("<head><title>T</title>just words") == "just words"
 
 
+def test_html_threshold_decides():
+    """Boxes of links go by the smoothed ratios, and so does what lies around the text of a page without landmarks."""
+    para = "<p>" + "plain text of the article " * 12 + "</p>"
+    links = "<div class=x>" + "".join(f"<p><a href=#>more of this {i}</a></p>" for i in range(8)) + "</div>"
+    page = f"<body><article><h1>Head</h1>{para * 3}{links}{para * 2}</article>"
+    assert "more of this" not in html_extract.main_text(page) and "more of this" in html_extract.main_text(page, spread=0.0)
+    assert html_extract.main_text(page) == " ".join(["Head", *[("plain text of the article " * 12).strip()] * 5])
+    table = "<table>" + "".join(f"<tr><td>{i}</td><td>{i * i}</td></tr>" for i in range(9)) + "</table>"
+    assert "8 64" in html_extract.main_text(f"<body><main>{para}{table}{para}</main>")  # short lines aren't links
+    bare = f"<body><div><p>Start</p><p>Here</p><p>Now</p><p>Then</p></div><div>{para * 3}</div><div><p>End</p><p>of</p><p>all</p><p>that</p></div>"
+    assert html_extract.main_text(bare) == " ".join([("plain text of the article " * 12).strip()] * 3)
+    assert html_extract.main_text(bare, spread=0.0).startswith("Start")
+
+
+def test_html_names_hidden_and_nesting():
+    para = "<p>" + "plain text " * 30 + "</p>"
+    for tag in ("class='siteNav'", "class='articleFooter'", f"class='{'x' * 90}-sidebar'", "hidden='hidden'", "hidden", "style='color:red; display: none'", "aria-hidden=true"):
+        assert html_extract.main_text(f"<body><main>{para}<div {tag}>gone</div></main>") == ("plain text " * 30).strip(), tag
+    began = time.time()
+    assert html_extract.main_text("<div>" * 40000 + "text" + "</div></i>" * 40000) == "text"
+    assert time.time() - began < 20
+
+
+def test_html_table(spark):
+    rows = [(1, "<p>one two", "x"), (1, "<p>one two", "x"), (None, None, "y"), (2, "", None), (3, "<p>é &lt; \n ü", "z"), (4, "<p>" + "long words " * 200_000, "w")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_extract.extract_main_text(pages).collect()
+    assert sorted((r.page_id or 0, r.text[:20], len(r.text)) for r in got) == [(0, "", 0), (1, "one two", 7), (1, "one two", 7), (2, "", 0), (3, "é < ü", 5), (4, "long words long word", 2_199_999)]
+    assert got[0].asDict().keys() == {"page_id", "html", "text"} and html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
 def brute_classes(rows):
     def bag(t):
         w = (t or "").split()
