@@ -11,13 +11,18 @@ A string of `size` bytes that occurs twice is found in four steps.
    extended backward, breadth first, by one byte a level. A boundary of suffixes that is
    first met at level l has a common prefix of l bytes. Levels end at `size`: boundaries
    not met by then have a longer common prefix, so their suffixes repeat.
-   An anchor with more than MAX_CONTEXTS different contexts isn't gathered: its windows
-   are counted by 128-bit hashes instead, which splits them over all tasks.
+   An anchor with more than MAX_CONTEXTS different contexts is split by the bytes that
+   follow and precede it: its windows are taken in blocks of 8 offsets from the anchor, the
+   windows of a block share size - 7 bytes, and contexts of a block meet only where these are
+   equal. A block that is still too large is split into single windows, of which equal ones
+   are one context. So no task takes more than MAX_CONTEXTS contexts of one anchor.
 4. Windows found go back to their texts, whose covered bytes are removed.
 
-Everything is keyed by the text's hash, so repeated rows, null ids and ties are plain
+Everything is keyed by 128 bits of the text, so repeated rows, null ids and ties are plain
 copies: a text of `size` bytes or more that has a copy is removed whole. Null counts as
-empty; an empty table gives no rows; other columns are kept.
+empty; an empty table gives no rows; other columns are kept, those with names of results
+replaced. Very long texts are read whole; a long run of one byte has an anchor at each byte,
+of which the context is carved once.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, mix, save, slices, text_bytes, text_key
+from .common import _BYTE, mix, save, slices, text_bytes, with_text_id
 
 #: Bytes of an anchor.
 K = 32
@@ -39,20 +44,25 @@ MAX_CONTEXTS = 8000
 CHUNK = 3 << 20
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of the windows that each anchor owns, in the bytes of some texts, and its hash.
+#: Offsets from the anchor that are taken together when a hot anchor is split, coarse to fine.
+SPLITS = (8, 1)
+#: Bits of an anchor's place; a text has fewer than 2^31 bytes.
+_PLACE = np.uint64(32)
+
+
+def anchors(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of the windows that each anchor owns, in the bytes of some texts, the anchor's place and its hash.
 
     The leftmost of equal hashes is a window's anchor; the windows of one anchor are neighbours.
     """
     n, z = len(raw), np.zeros(0, np.int64)
     if n < size:
-        return z, z, z
+        return z, z, z, z
     h, step = _BYTE[raw], 1
     while step < K:
         h = mix(h[:-step] * np.uint64(3) + h[step:])
         step *= 2
-    bits = np.uint64(28)
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    key = (h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64)
     w, least, step = size - K + 1, key, 1
     while step * 2 <= w:
         least = np.minimum(least[:-step], least[step:])
@@ -62,11 +72,11 @@ def anchors(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     start = np.flatnonzero(doc[: len(least)] == doc[size - 1 : size - 1 + len(least)])
     if not len(start):
-        return z, z, z
-    at = (least[start] & np.uint64((1 << 28) - 1)).astype(np.int64)
+        return z, z, z, z
+    at = (least[start] & np.uint64((1 << 32) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     stop = np.append(new[1:], len(at)) - 1
-    return start[new], start[stop], h[at[new]].view(np.int64)
+    return start[new], start[stop], at[new], h[at[new]].view(np.int64)
 
 
 def repeated_starts(data: np.ndarray, ok: np.ndarray, size: int) -> np.ndarray:
@@ -138,52 +148,40 @@ def _masks(contexts: list[bytes], size: int) -> list[bytes]:
     return [np.packbits(found[s : s + max(0, n - size)]).tobytes() for s, n in zip(start, lengths, strict=True)]
 
 
-def _window_hashes(context: bytes, size: int) -> list[bytes]:
-    return [hashlib.blake2b(context[i : i + size], digest_size=16).digest() for i in range(len(context) - size + 1)]
+def _parts(h: int, context: bytes, a: int, size: int, wide: int):
+    """The context cut into blocks of windows whose offsets from the anchor (at a) have one quotient by wide: first window, key, anchor's place, bytes."""
+    i, n = 0, len(context) - size + 1
+    while i < n:
+        block = (a - i) // wide
+        last = min(n - 1, a - block * wide)  # offsets fall as windows start later
+        shared = context[a - block * wide : a - block * wide - wide + 1 + size]  # in every window of the block
+        key = hashlib.blake2b(b"%d %d %d " % (h, wide, block) + shared, digest_size=8).digest()
+        yield i, int.from_bytes(key, "little", signed=True), a - i, context[i : last + size]
+        i = last + 1
 
 
-def repeated_windows(docs: DataFrame, size: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(k, text) of the texts with anchors that repeat, and (k, found: array of (at, mask)): bits of repeated window starts from at on."""
-    keyed = docs.select(text_key(F.col(text))[0].alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _digest(context: bytes, a: int) -> int:
+    return int.from_bytes(hashlib.blake2b(b"%d " % a + context, digest_size=8).digest(), "little", signed=True)
 
-    def mark(batches):
-        for batch in batches:
-            raw, off = text_bytes(batch.column(1))
-            for i, j in slices(off, 2 << 20):
-                own = off[i : j + 1] - off[i]
-                s, e, h = anchors(raw[off[i] : off[j]], own, size)
-                d = np.searchsorted(own, s, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), pa.array((s - own[d]).astype(np.int32)), pa.array((e - own[d] + size).astype(np.int32)), pa.array(h)], names=["k", "s", "e", "h"])
 
-    marked = save(keyed.mapInArrow(mark, "k long, s int, e int, h long"), "anchors")
-    again = marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = marked.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("s", "e", "h")).alias("places"))  # no more than a text's anchors
-    places = save(places, "places")
-    texts = save(keyed.join(places.select("k"), "k", "left_semi").dropDuplicates(["k"]), "anchored-texts")
+def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names.split())
 
-    def carve(batches):
-        for batch in batches:
-            raw, off = text_bytes(batch.column(1))
-            data = raw.tobytes()
-            rows = []
-            for d, found in enumerate(batch.column(2).to_pylist()):
-                own = data[off[d] : off[d + 1]]
-                for x in found:
-                    c = own[x["s"] : x["e"]]
-                    rows.append((d, x["s"], x["h"], hashlib.blake2b(c, digest_size=8).digest(), c))
-                if len(rows) > 4000 or d + 1 == batch.num_rows:
-                    col = list(zip(*rows, strict=True)) or [[]] * 5
-                    c = np.frombuffer(b"".join(col[3]), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(col[0], pa.int64())), pa.array(col[1], pa.int32()), pa.array(col[2], pa.int64()), pa.array(c), pa.array(col[4], pa.binary())], names=["k", "s", "h", "c", "context"]
-                    )
-                    rows = []
 
-    carved = texts.join(places, "k").select("k", "text", "places").mapInArrow(carve, "k long, s int, h long, c long, context binary")
-    carved = save(carved, "contexts")
-    merged = carved.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("context").alias("context"))
-    buckets = carved.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("different"))
-    merged = save(merged.join(buckets, "h"), "merged")
+_LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
+
+
+def window_masks(contexts: DataFrame, size: int, splits: tuple[int, ...] = SPLITS) -> DataFrame:
+    """(h, c, i, mask, windows) of contexts (h, c, n, a, context): bits of the windows from the i-th on that repeat.
+
+    h: the anchor, or what else the contexts of one group share; c: the context's own hash;
+    n: how often it occurs; a: the anchor's place in it.
+    """
+    count = contexts.groupBy("h").agg(F.count("*").alias("different"))
+    merged = save(contexts.join(count, "h"), "merged")
+    hot = merged.where(F.col("different") > MAX_CONTEXTS) if splits else merged.limit(0)
+    few = merged.where(F.col("different") <= MAX_CONTEXTS) if splits else merged
 
     def transform(batches):
         held: list[tuple[int, int, bytes]] = []
@@ -191,7 +189,7 @@ def repeated_windows(docs: DataFrame, size: int, text: str) -> tuple[DataFrame,
 
         def flush(rows):
             masks = _masks([c for _, _, c in rows], size)
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), pa.array(masks, pa.binary())], names=["h", "c", "mask"])
+            return _batch([(h, c, m) for (h, c, _), m in zip(rows, masks, strict=True)], "h c mask", [_LONG, _LONG, _BIN])
 
         for batch in batches:
             for h, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -203,37 +201,81 @@ def repeated_windows(docs: DataFrame, size: int, text: str) -> tuple[DataFrame,
         if held:
             yield flush(held)
 
-    small = merged.where(f"different between 2 and {MAX_CONTEXTS}").select("h", "c", "context")
-    small = small.repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h long, c long, mask binary")
+    met = few.where("different > 1").select("h", "c", "context").repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h long, c long, mask binary")
+    known = few.select("h", "c", "n", (F.length("context") - size + 1).alias("windows")).where("windows > 0").join(save(met, "masks"), ["h", "c"], "left")
+    every = F.unhex(F.expr("repeat('FF', cast(ceil(windows / 8) as int))"))
+    out = known.select("h", "c", F.lit(0).alias("i"), F.when(F.col("n") > 1, every).otherwise(F.col("mask")).alias("mask"), "windows").where("mask is not null")
+    if not splits or not hot.limit(1).count():
+        return out
+    wide = splits[0]
 
-    def windows(batches):
+    def split(batches):
         for batch in batches:
-            for h, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                w = _window_hashes(x, size)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(w), pa.int64()), pa.array([c] * len(w), pa.int64()), pa.array(range(len(w)), pa.int32()), pa.array(w, pa.binary())], names=["h", "c", "i", "w"])
+            rows = []
+            for h, c, n, a, x in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                rows += [(h, c, n, i, h2, _digest(part, a2), a2, part) for i, h2, a2, part in _parts(h, x, a, size, wide)]
+                if len(rows) > 4000:
+                    yield _batch(rows, "h c n i h2 c2 a context", [_LONG, _LONG, _LONG, _INT, _LONG, _LONG, _INT, _BIN])
+                    rows = []
+            yield _batch(rows, "h c n i h2 c2 a context", [_LONG, _LONG, _LONG, _INT, _LONG, _LONG, _INT, _BIN])
 
-    large = merged.where(f"different > {MAX_CONTEXTS}").select("h", "c", "context").mapInArrow(windows, "h long, c long, i int, w binary")
-    twice = large.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w")
-    starts = large.join(twice, "w").groupBy("h", "c").agg(F.collect_set("i").alias("i"))
+    fields = "h long, c long, n long, i int, h2 long, c2 long, a int, context binary"
+    parts = save(hot.select("h", "c", "n", "a", "context").mapInArrow(split, fields), "parts")
+    again = parts.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), F.first("a").alias("a"), F.first("context").alias("context"))
+    inner = window_masks(again, size, splits[1:]).select(F.col("h").alias("h2"), F.col("c").alias("c2"), F.col("i").alias("j"), "mask", "windows")
+    lifted = parts.select("h", "c", "i", "h2", "c2").join(inner, ["h2", "c2"]).select("h", "c", (F.col("i") + F.col("j")).alias("i"), "mask", "windows")
+    return out.unionByName(lifted)
 
-    def to_mask(batches):
+
+def repeated_windows(identified: DataFrame, size: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows with __id: (k, text) of the texts with anchors that repeat, and (k, found: array of (s, mask, windows)): bits of repeated window starts from s on."""
+    keyed = identified.select(F.col("__id").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def mark(batches):
         for batch in batches:
-            masks = []
-            for i in batch.column(2).to_pylist():
-                m = np.zeros(max(i) + 1, bool)
-                m[i] = True
-                masks.append(np.packbits(m).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], names=["h", "c", "mask"])
+            raw, off = text_bytes(batch.column(1))
+            for i, j in slices(off, 2 << 20):
+                own = off[i : j + 1] - off[i]
+                s, e, at, h = anchors(raw[off[i] : off[j]], own, size)
+                d = np.searchsorted(own, s, "right") - 1
+                cols = [(s - own[d]).astype(np.int32), (e - own[d] + size).astype(np.int32), (at - s).astype(np.int32), h]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), *map(pa.array, cols)], names=["k", "s", "e", "a", "h"])
 
-    masks = small.unionByName(starts.select("h", "c", "i").mapInArrow(to_mask, "h long, c long, mask binary"))
-    masks = merged.select("h", "c", "n", (F.length("context") - size + 1).alias("windows")).join(save(masks, "masks"), ["h", "c"], "left")
-    masks = masks.where("windows > 0").select("h", "c", F.when(F.col("n") > 1, F.unhex(F.expr("repeat('FF', cast(ceil(windows / 8) as int))"))).otherwise(F.col("mask")).alias("mask"), "windows")
-    found = carved.select("k", "s", "h", "c").join(masks.where("mask is not null"), ["h", "c"])
-    return texts, found.groupBy("k").agg(F.collect_list(F.struct("s", "mask", "windows")).alias("found"))
+    marked = save(keyed.mapInArrow(mark, "k long, s int, e int, a int, h long"), "anchors")
+    again = marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    places = marked.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("s", "e", "a", "h")).alias("places"))  # no more than a text's anchors
+    places = save(places, "places")
+    texts = save(keyed.join(places.select("k"), "k", "left_semi").dropDuplicates(["k"]), "anchored-texts")
+    kinds = [_LONG, _INT, _LONG, _LONG, _INT, _BIN]
+
+    def carve(batches):
+        for batch in batches:
+            raw, off = text_bytes(batch.column(1))
+            data = raw.tobytes()
+            for d in range(batch.num_rows):
+                k, rows, seen = batch.column(0)[d].as_py(), [], set()
+                for x in batch.column(2)[d].as_py():
+                    part = data[off[d] + x["s"] : off[d] + x["e"]]
+                    c = _digest(part, x["a"])
+                    rows.append((k, x["s"], x["h"], c, x["a"], None if (x["h"], c) in seen else part))  # a text brings equal contexts once
+                    seen.add((x["h"], c))
+                    if len(rows) > 4000:
+                        yield _batch(rows, "k s h c a context", kinds)
+                        rows = []
+                yield _batch(rows, "k s h c a context", kinds)
+
+    carved = texts.join(places, "k").select("k", "text", "places").mapInArrow(carve, "k long, s int, h long, c long, a int, context binary")
+    carved = save(carved, "contexts")
+    contexts = carved.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("context", ignorenulls=True).alias("context"))
+    masks = window_masks(contexts, size)
+    found = carved.select("k", "s", "h", "c").join(masks, ["h", "c"])
+    return texts, found.groupBy("k").agg(F.collect_list(F.struct((F.col("s") + F.col("i")).alias("s"), "mask", "windows")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text", out: str | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with `out`, also a column of the bytes that are left."""
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", out)]
+    docs = with_text_id(docs, text)
     texts, found = repeated_windows(docs, size, text)
 
     def finish(batches):
@@ -261,8 +303,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text", out: st
     done = texts.join(found, "k").select("k", "text", "found").mapInArrow(finish, "k long, r long, sp long, sha string, rest binary")
     done = save(done.where("r > 0"), "removed")
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", out)]
-    rows = docs.select(*names, text_key(F.col(text))[0].alias("__k"), F.length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("__sha"), *([whole.alias("__whole")] if out else []))
+    rows = docs.select(*names, F.col("__id").alias("__k"), F.length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("__sha"), *([whole.alias("__whole")] if out else []))
     copies = rows.where(f"n_bytes >= {size}").groupBy("__k").agg(F.count("*").alias("__n")).where("__n > 1")
     got = copies.join(done.withColumnRenamed("k", "__k"), "__k", "full_outer")
     rows = rows.join(got, "__k", "left")

@@ -169,7 +169,29 @@ def test_components(spark):
     assert {r.id: r.root for r in got} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}
 
 
-@pytest.mark.parametrize("most", [8000, 2])
+def test_places_beyond_256_mebibytes():
+    """Hash and place share 64 bits; places of the longest strings fit, and order equal hashes."""
+    place = np.array([2**28 - 1, 2**28, 2**31 - 1], np.uint64)
+    h = np.uint64(0xABCDEF0123456789)
+    key = (h >> substring_dedup._PLACE << substring_dedup._PLACE) | place
+    assert ((key & np.uint64(2**32 - 1)) == place).all() and (np.diff(key.astype(object)) > 0).all()
+
+
+def test_anchor_parts_cover_each_window_once():
+    rng = random.Random(3)
+    for wide in (8, 1):
+        for _ in range(50):
+            size, n = 60, rng.randint(1, 28)
+            context = bytes(rng.randrange(97, 123) for _ in range(size + n - 1))
+            a = rng.randint(n - 1, 28)
+            seen = []
+            for i, _, a2, part in substring_dedup._parts(7, context, a, size, wide):
+                assert a2 == a - i and context[i : i + len(part)] == part
+                seen += range(i, i + len(part) - size + 1)
+            assert seen == list(range(n))
+
+
+@pytest.mark.parametrize("most", [8000, 2, 0])
 def test_substrings(docs, empty, texts, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MAX_CONTEXTS", most)
     size, data = 60, [(t or "").encode() for _, t in texts]
