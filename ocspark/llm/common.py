@@ -139,14 +139,19 @@ def text_key(column) -> list:
     return [F.xxhash64(text), F.xxhash64(F.lit("b"), text)]
 
 
-def settled(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
+def clashes(df: DataFrame, one: str, two: str) -> DataFrame:
+    """The values of `one` that different values of `two` share, with the least of these. Hardly ever any."""
+    found = df.select(one, two).distinct().groupBy(one).agg(F.min(two).alias("__least"), F.max(two).alias("__most"))
+    return save(found.where("__least <> __most").select(one, "__least"), "clashes")
+
+
+def settled(df: DataFrame, one: str, two: str, out: str, clash: DataFrame | None = None) -> DataFrame:
     """df with `out`, a 64-bit id that stands for the 128 bits of the columns one and two.
 
-    It is `one` itself, but where different values of `two` share it all but the least get
-    another. Those are looked for among all rows; there are hardly ever any, so what is joined is tiny.
+    It is `one` itself, but where different values of `two` share it (clash, by default
+    looked for among all rows of df) all but the least get another.
     """
-    clash = df.select(one, two).distinct().groupBy(one).agg(F.min(two).alias("__least"), F.max(two).alias("__most"))
-    clash = save(clash.where("__least <> __most").select(one, "__least"), "clashes")
+    clash = clashes(df, one, two) if clash is None else clash
     names = [c for c in df.columns if c != out]
     new = F.when(F.col("__least").isNull() | (F.col(two) == F.col("__least")), F.col(one)).otherwise(F.xxhash64(one, two, F.lit("again")))
     return df.join(clash, one, "left").select(*names, new.alias(out))

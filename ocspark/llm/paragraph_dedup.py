@@ -12,8 +12,10 @@ go with probability 3e-4, equal paragraphs never. Paragraphs that collide are ve
 weighted Jaccard and clustered by components; in each class the first occurrence (by
 doc_id, then place) stays and all others are removals.
 
-Null counts as empty. Repeated rows have the same occurrences, of which one stays. Null
-ids come last. Other columns are not read; an empty table gives no rows.
+Paragraphs are equal if 128 bits of their words are. Null counts as empty. Repeated rows
+have the same occurrences, of which one stays (of equal ids and places, all do). Null
+ids come last. Other columns are not read; an empty table gives no rows. Very long texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, save, slices, span_hashes, text_bytes, words
+from .common import NOT_SPACE, clashes, mix, save, settled, slices, span_hashes, text_bytes, words
 from .near_dedup import bag_minhash, band_hashes, link, weighted_shingles
 
 BANDS, ROWS = 8, 2
@@ -64,12 +66,12 @@ def spread(rank: np.ndarray, fixed: np.ndarray, apart: int) -> np.ndarray:
     return out
 
 
-def cut(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends (bytes), texts and key hashes of the paragraphs of min_words words or more."""
+def cut(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends (bytes), texts and two key hashes of the paragraphs of min_words words or more."""
     starts, ends, doc = words(raw, off, NOT_SPACE)
     z = np.zeros(0, np.int64)
     if not len(starts):
-        return z, z, z, z
+        return z, z, z, z, z
     h = span_hashes(raw, starts, ends)
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     next_text = np.ones(len(starts), bool)
@@ -87,9 +89,11 @@ def cut(raw: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, n
     first = np.concatenate([[0], last[:-1] + 1])
     size = last - first + 1
     place = np.arange(len(h)) - np.repeat(first, size)
-    key = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
+    step = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = mix(np.add.reduceat(mix(h + step), first))
+    key2 = mix(np.add.reduceat(mix((h ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(3) + step), first))
     ok = size >= min_words
-    return starts[first[ok]], ends[last[ok]], doc[first[ok]], key[ok].view(np.int64)
+    return starts[first[ok]], ends[last[ok]], doc[first[ok]], key[ok].view(np.int64), key2[ok].view(np.int64)
 
 
 def _each(docs: DataFrame, text: str, fields: str, make, extra: list[str] = []):  # noqa: B006
@@ -103,26 +107,24 @@ def _each(docs: DataFrame, text: str, fields: str, make, extra: list[str] = []):
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
-    """doc_id, start (code points), length, key of each paragraph that may be a repeat."""
+    """doc_id, start (code points), length, key, key2 of each paragraph that may be a repeat."""
 
     def make(batch, i, raw, off):
-        s, e, d, key = cut(raw, off, min_words)
+        s, e, d, key, key2 = cut(raw, off, min_words)
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         at = chars[s] - chars[off[d]]
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(d + i)).cast(pa.int64()), pa.array(at), pa.array(chars[e] - chars[s]), pa.array(key)], names=["doc_id", "start", "length", "key"])
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(d + i)).cast(pa.int64()), pa.array(at), pa.array(chars[e] - chars[s]), pa.array(key), pa.array(key2)], names=["doc_id", "start", "length", "key", "key2"])
 
-    return _each(docs.withColumnRenamed(id_col, "doc_id"), text, "doc_id long, start long, length long, key long", make, ["doc_id"])
+    return _each(docs.withColumnRenamed(id_col, "doc_id"), text, "doc_id long, start long, length long, key long, key2 long", make, ["doc_id"])
 
 
 def paragraph_buckets(docs: DataFrame, text: str = "text", min_words: int = 10, k: int = 5) -> DataFrame:
-    """id (a paragraph's key), b0, b1, ...: a bucket of each band; without repeats."""
+    """key, key2, b0, b1, ...: a bucket of each band of a paragraph; without repeats."""
 
     def make(batch, i, raw, off):
-        s, e, _, key = cut(raw, off, min_words)
-        key, pick = np.unique(key, return_index=True)
-        s, e = s[pick], e[pick]
-        order = np.argsort(s)
-        s, e, key = s[order], e[order], key[order]
+        s, e, _, key, key2 = cut(raw, off, min_words)
+        pick = np.sort(np.unique(np.stack([key, key2]), axis=1, return_index=True)[1]) if len(key) else np.zeros(0, np.int64)
+        s, e, key, key2 = s[pick], e[pick], key[pick], key2[pick]
         # the paragraphs stand side by side, as texts of their own
         inner = np.cumsum(e - s)
         part = raw[np.arange(int(inner[-1]) if len(inner) else 0) - np.repeat(inner - (e - s), e - s) + np.repeat(s, e - s)]
@@ -130,30 +132,33 @@ def paragraph_buckets(docs: DataFrame, text: str = "text", min_words: int = 10,
         d, h, w = weighted_shingles(part, own, k)
         sig = bag_minhash(d, h, w, len(key), BANDS * ROWS)
         found = band_hashes(sig, BANDS, ROWS)
-        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(found[:, b].copy()) for b in range(BANDS))], names=["id", *names])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(key2), *(pa.array(found[:, b].copy()) for b in range(BANDS))], names=names)
 
-    names = [f"b{b}" for b in range(BANDS)]
-    return _each(docs, text, ", ".join(f"{c} long" for c in ["id", *names]), make).distinct()
+    names = ["key", "key2", *(f"b{b}" for b in range(BANDS))]
+    return _each(docs, text, ", ".join(f"{c} long" for c in names), make).dropDuplicates(["key", "key2"])
 
 
 def paragraph_texts(docs: DataFrame, text: str = "text", min_words: int = 10) -> DataFrame:
-    """id (a paragraph's key), text."""
+    """key, key2, text; without repeats."""
 
     def make(batch, i, raw, off):
-        s, e, _, key = cut(raw, off, min_words)
-        key, pick = np.unique(key, return_index=True)
+        s, e, _, key, key2 = cut(raw, off, min_words)
+        pick = np.unique(np.stack([key, key2]), axis=1, return_index=True)[1] if len(key) else np.zeros(0, np.int64)
         data = raw.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array([data[s[p] : e[p]].decode("utf-8", "replace") for p in pick], pa.string())], names=["id", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(key2[pick]), pa.array([data[s[p] : e[p]].decode("utf-8", "replace") for p in pick], pa.string())], names=["key", "key2", "text"])
 
-    return _each(docs, text, "id long, text string", make).dropDuplicates(["id"])
+    return _each(docs, text, "key long, key2 long, text string", make).dropDuplicates(["key", "key2"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 10, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """Occurrences of paragraphs that occur again: doc_id, start, length, class_key, class_doc_id, class_start, removed."""
     found = save(paragraphs(docs, id_col, text, min_words), "paragraphs")
-    buckets = save(paragraph_buckets(docs, text, min_words, k), "paragraph-buckets")
+    clash = clashes(found, "key", "key2")
+    one = lambda df: settled(df, "key", "key2", "id", clash).drop("key", "key2")
+    found = one(found).withColumnRenamed("id", "key")
+    buckets = save(one(paragraph_buckets(docs, text, min_words, k)), "paragraph-buckets")
     buckets = buckets.select("id", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
-    roots = link(paragraph_texts(docs, text, min_words), buckets, "paragraph", similarity, k)
+    roots = link(one(paragraph_texts(docs, text, min_words)), buckets, "paragraph", similarity, k)
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start")).alias("first"))
     keys = keys.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
     classes = keys.groupBy("class_key").agg(F.sum("n").alias("total"), F.min("first").alias("first")).where("total > 1")
