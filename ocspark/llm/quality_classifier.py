@@ -1,8 +1,10 @@
 """A supervised quality classifier on averaged subword embeddings (see text_model).
 
 Null and empty texts have no features; their score is the model's bias. Rows of documents
-with equal ids, or ids that are null, are scored one by one. Other columns are kept.
-Without any usable label every score is 0.5.
+with equal ids, or ids that are null, are scored one by one; an empty table gives no rows.
+Very long texts are read whole. A column of the output's name is replaced; all others are
+kept. Ties between labelled rows are settled by hashes of id and text, so the model doesn't
+depend on the order of files. Without any usable label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each class, in the order of a hash of their ids, of rows that are not held out."""
+    """At most per_class ids of each class that are not held out, in the order of a hash, and their texts.
+
+    Of ids that many rows of documents share the first 4 * per_class texts in all are taken, in the order of hashes of id and text.
+    """
     rows = labels.where(~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").distinct()
     picked = None
     for y in (0, 1):
@@ -33,9 +38,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     ids = [(r.doc_id, r.y) for r in picked.collect()]  # at most 2 * per_class ids
     if not ids:
         return []
-    small = documents.sparkSession.createDataFrame(ids, "doc_id bigint, y int")
-    found = documents.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("text", "y").limit(4 * per_class)
-    return [(r.text or "", r.y) for r in found.collect()]
+    small = documents.sparkSession.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int")
+    found = documents.select("doc_id", "text").join(F.broadcast(small), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "doc_id", "y").limit(4 * per_class)
+    return [(r.text or "", r.y) for r in found.select("text", "y").collect()]
 
 
 def score_texts(documents: DataFrame, table: np.ndarray, bias: float, text: str = "text", out: str = "score") -> DataFrame:

@@ -1,7 +1,7 @@
 """A linear reading of averaged, hashed subword embeddings, trained by stochastic gradient descent in numpy.
 
 A document is the mean of the vectors of its features: hashed words, pairs of neighbouring
-words, and byte n-grams. A softmax layer turns the mean into class probabilities. As both
+words, and character n-grams. A softmax layer turns the mean into class probabilities. As both
 steps are linear, a trained model folds into one number per bucket, so that scoring a
 document is a mean of table entries.
 """
@@ -28,19 +28,20 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out.append(pair[same])
         of.append(doc[1:][same])
     if len(raw):
-        b = raw.astype(np.uint32)
-        where = np.searchsorted(off, np.arange(len(raw)), "right") - 1
+        b = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
+        where = np.searchsorted(at, np.arange(len(b)), "right") - 1
         for n in N_GRAMS:
-            if len(raw) < n:
+            if len(b) < n:
                 continue
-            g = np.zeros(len(raw) - n + 1, np.uint32)
+            g = np.zeros(len(b) - n + 1, np.uint32)
             for i in range(n):
-                g = g * np.uint32(0x01000193) + b[i : len(raw) - n + 1 + i] + np.uint32(n)
+                g = g * np.uint32(0x01000193) + b[i : len(b) - n + 1 + i] + np.uint32(n)
             g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             g ^= g >> np.uint32(13)
-            inside = where[n - 1 :] == where[: len(raw) - n + 1]
+            inside = where[n - 1 :] == where[: len(b) - n + 1]
             out.append(g[inside].astype(np.uint64))
-            of.append(where[: len(raw) - n + 1][inside])
+            of.append(where[: len(b) - n + 1][inside])
     return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(of)
 
 
