@@ -9,8 +9,10 @@ A window of words around each match decides whether it is quoted or reported, wh
 less than abuse in the text's own voice. A logistic model turns the counts into a score.
 
 Null and empty texts have no matches and get the score of a text without any. Rows are
-scored one by one, so repeated rows or null ids make no difference; other columns are kept.
-Without labels of both kinds every score is 0.
+scored one by one, so repeated rows or null ids make no difference; an empty table gives no
+rows; very long texts are read whole. A column of the output's name is replaced; all others
+are kept. Of terms that tie in what they tell all are kept. Without labels of both kinds
+every score is 0.
 """
 
 from __future__ import annotations

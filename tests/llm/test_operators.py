@@ -323,6 +323,43 @@ def test_paragraphs(docs, empty):
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
 
 
+def test_paragraph_classes_are_those_of_brute_force(spark):
+    """All pairs of paragraphs compared: the same classes, first occurrences stay, ids that are null or repeat are last or alike."""
+    rng = random.Random(12)
+    base = [words(rng, 16).split() for _ in range(8)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            w = list(rng.choice(base)) if rng.random() < 0.6 else words(rng, 14).split()
+            if rng.random() < 0.4:
+                w[rng.choice([0, -1])] = words(rng, 1)
+            lines.append(" ".join(w))
+        rows.append((None if i == 39 else i % 38, "\n".join(lines)))
+    rows += [rows[5], (50, None), (51, "")]
+    found, bags = [], []
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        for s, e, *_ in zip(*paragraph_dedup.cut(raw, np.array([0, len(raw)]), 10), strict=True):
+            found.append((i, int(s), t[s:e]))
+            w = t[s:e].split()
+            bags.append(Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    root = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if root[i] != root[j] and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    expected = Counter()
+    for x in set(root):
+        own = [found[k][:2] for k in range(len(found)) if root[k] == x]
+        if len(own) > 1:
+            first = min(own, key=lambda y: (y[0] is None, y))
+            expected.update((y, first, y != first) for y in own)
+    got = Counter(((r.doc_id, r.start), (r.class_doc_id, r.class_start), r.removed) for r in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == expected and len(expected) > 20
+
+
 def test_paragraph_cuts_of_embedded_passages():
     """Passages inside other text, with no line break at their edges, hold whole paragraphs of their own."""
     rng = random.Random(7)
