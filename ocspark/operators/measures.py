@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans import cuts
 from ..registry import add, comparison, operator
 
 SEQ = "over (partition by oid order by us, eid)"
@@ -17,23 +18,27 @@ _SAMPLES = {"min": "1", "p25": "cast(ceil(0.25 * n) as bigint)", "p50": "cast(ce
 
 
 def _chosen(mode: str) -> str:
-    """activity, source, v: the samples of service time, by the rule of medians, lowest part only."""
-    med = lambda rel: f"select activity, v from (select activity, v, row_number() over (partition by activity order by v) as r, count(*) over (partition by activity) as n from {rel}) m where r = floor(n / 2.0) + 1"
+    """activity, source, v, w: the samples of service time, by the rule of medians, lowest part only; w: how many samples have this value."""
+    counted = lambda rel: cuts.cumulated("activity", f"(select activity, v, count(*) as x from {rel} r group by activity, v)", "x")
+    med = lambda rel: f"select activity, v from {counted(rel)} m where c_x - x < floor(n_x / 2.0) + 1 and c_x >= floor(n_x / 2.0) + 1"
     return f"""with t as ({_TIMES}), direct as ({_DIRECT}), pos as (select activity, sojourn as v from t where sojourn > 0), every as (select activity, sojourn as v from t),
       md as ({med('direct')}), mp as ({med('pos')}),
       src as (select a.activity, case when md.v is not null and (mp.v is null or md.v <= mp.v) then 'forward' when mp.v is not null then 'positive_sojourn' else 'zero_or_empty_sojourn' end as source
         from (select distinct activity from t) a left join md on md.activity = a.activity left join mp on mp.activity = a.activity),
-      s as (select d.activity, s.source, d.v from direct d join src s on s.activity = d.activity and s.source = 'forward' union all select p.activity, s.source, p.v from pos p join src s on s.activity = p.activity and s.source = 'positive_sojourn'
-        union all select e.activity, s.source, e.v from every e join src s on s.activity = e.activity and s.source = 'zero_or_empty_sojourn')
-      select activity, source, v from (select activity, source, v, row_number() over (partition by activity order by v) as r, count(*) over (partition by activity) as n from s) w where r <= greatest(1, {_SAMPLES[mode]})"""
+      s as (select d.activity, d.v from direct d join src s on s.activity = d.activity and s.source = 'forward' union all select p.activity, p.v from pos p join src s on s.activity = p.activity and s.source = 'positive_sojourn'
+        union all select e.activity, e.v from every e join src s on s.activity = e.activity and s.source = 'zero_or_empty_sojourn'),
+      o as (select activity, v, x, c_x, greatest(1, {_SAMPLES[mode]}) as most from (select activity, v, x, c_x, n_x as n from {counted('s')} c) w)
+      select o.activity, src.source, o.v, cast(least(o.x, o.most - (o.c_x - o.x)) as bigint) as w from o join src on src.activity = o.activity where o.c_x - o.x < o.most"""
 
 
 @operator("u", mode="p25")
 def service_times(d, mode):
-    return f"select activity, max(source) as source, count(*) as n, round(avg(v), 6) as mean_s, round(stddev_pop(v), 6) as std_s, min(v) as min_s, max(v) as max_s from ({_chosen(mode)}) c group by activity"
+    return f"""with c as ({_chosen(mode)}), m as (select activity, sum(v * w) / sum(w) as mean from c group by activity)
+      select c.activity, max(c.source) as source, cast(sum(c.w) as bigint) as n, round(max(m.mean), 6) as mean_s, round(sqrt(sum(c.w * (c.v - m.mean) * (c.v - m.mean)) / sum(c.w)), 6) as std_s, min(c.v) as min_s, max(c.v) as max_s
+      from c join m on m.activity = c.activity group by c.activity"""
 
 
-add("timing_window", "u", lambda d: f"select activity, count(*) as n, max(v) as highest from ({_chosen('p50')}) c group by activity")
+add("timing_window", "u", lambda d: f"select activity, cast(sum(w) as bigint) as n, max(v) as highest from ({_chosen('p50')}) c group by activity")
 
 
 @operator("u", mode="p25")
@@ -42,12 +47,12 @@ def ocpa_metrics(d, mode):
     return f"""select t.activity, t.n, round(t.flow, 6) as flow_mean, round(t.sojourn, 6) as sojourn_mean, round(t.sojourn_std, 6) as waiting_std, round(t.sync, 6) as sync_mean, round(t.sync, 6) as pooling_mean,
       case when t.sync is null then null else 0.0 end as lagging_mean, round(s.mean_v, 6) as service_mean, round(greatest(0, t.sojourn - s.mean_v), 6) as waiting_mean
       from (select activity, count(*) as n, avg(flow) as flow, avg(sojourn) as sojourn, stddev_pop(sojourn) as sojourn_std, avg(sync) as sync from ({_TIMES}) x group by activity) t
-      left join (select activity, avg(v) as mean_v from ({_chosen(mode)}) c group by activity) s on s.activity = t.activity"""
+      left join (select activity, sum(v * w) / sum(w) as mean_v from ({_chosen(mode)}) c group by activity) s on s.activity = t.activity"""
 
 
 @operator("u")
 def udaf_service_estimate(d):
-    return f"select activity, round(avg(v), 6) as estimate from ({_chosen('p50')}) c group by activity"
+    return f"select activity, round(sum(v * w) / sum(w), 6) as estimate from ({_chosen('p50')}) c group by activity"
 
 
 @operator("u")
@@ -138,7 +143,7 @@ def types_intersect(d):
 
 @comparison("types_except")
 def types_except(d):
-    return "select oid from {ob} except select oid from {z_ob}"
+    return "select otype from {ob} except select otype from {z_ob}"
 
 
 def _z(sql: str) -> str:
@@ -149,8 +154,8 @@ def _z(sql: str) -> str:
 
 def _area(a: str, b: str, out: str) -> str:
     """Area between, and largest difference of, the distribution functions of v for each activity."""
-    return f"""with p as (select activity, v, sum(x) as x, sum(y) as y from (select activity, v, 1 as x, 0 as y from ({a}) a union all select activity, v, 0, 1 from ({b}) b) u group by activity, v),
-      c as (select activity, v, sum(x) over (partition by activity order by v) as cx, sum(y) over (partition by activity order by v) as cy, sum(x) over (partition by activity) as nx, sum(y) over (partition by activity) as ny, lead(v) over (partition by activity order by v) as nv from p)
+    p = f"(select activity, v, sum(x) as x, sum(y) as y from (select activity, v, 1 as x, 0 as y from ({a}) a union all select activity, v, 0, 1 from ({b}) b) u group by activity, v)"
+    return f"""with c as (select activity, v, c_x as cx, c_y as cy, n_x as nx, n_y as ny, nv from {cuts.cumulated('activity', p, 'x', 'y')} w)
       {out}"""
 
 
@@ -177,8 +182,7 @@ def ks_sojourn(d):
 
 @comparison("emd_gaps")
 def emd_gaps(d):
-    gaps = f"select activity, (us - lag(us) over (partition by activity order by us, eid)) / 1e6 as v from {{ev}}"
-    g = f"select activity, v from ({gaps}) g where v is not null"
+    g = f"select activity, gap / 1e6 as v from {cuts.gaps('activity', '{ev}')} g"
     return _area(g, _z(g), "select activity, round(sum(abs(cx * 1.0 / nx - cy * 1.0 / ny) * coalesce(nv - v, 0)), 4) as emd from c where nx > 0 and ny > 0 group by activity")
 
 

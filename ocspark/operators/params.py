@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans import cuts
 from ..registry import add, operator
 
 SEQ = "over (partition by oid order by us, eid)"
@@ -85,9 +86,8 @@ def activity_repeat_stats(d):
 
 @operator("u")
 def interarrival(d):
-    return """select activity, count(gap) as n, round(avg(gap), 6) as mean_s, round(stddev_pop(gap), 6) as std_s, min(gap) as min_s, max(gap) as max_s,
-      case when avg(gap) > 0 then 'exponential' else 'fixed' end as dist
-      from (select activity, (us - lag(us) over (partition by activity order by us, eid)) / 1e6 as gap from {ev}) x where gap is not null group by activity"""
+    return f"""select activity, count(gap) as n, round(avg(gap), 6) as mean_s, round(stddev_pop(gap), 6) as std_s, min(gap) as min_s, max(gap) as max_s,
+      case when avg(gap) > 0 then 'exponential' else 'fixed' end as dist from (select activity, gap / 1e6 as gap from {cuts.gaps('activity', '{ev}')} g) x group by activity"""
 
 
 @operator("u")
@@ -101,22 +101,16 @@ def calendar_slots(d):
       select s.activity, s.slot, round(coalesce(n.k, 0) * 1.0 / w.weeks, 6) as share from s cross join w left join n on n.activity = s.activity and n.slot = s.slot"""
 
 
-def _sweep(spans: str, key: str) -> str:
-    """Peak of overlapping (key, a, b) spans; ends come before starts at equal times."""
-    return f"""select {key}, max(running) as peak from (select {key}, sum(delta) over (partition by {key} order by us, delta rows between unbounded preceding and current row) as running
-      from (select {key}, a as us, 1 as delta from ({spans}) p union all select {key}, b, -1 from ({spans}) q) u) r group by {key}"""
-
-
 @operator("u", safety=1.0)
 def wip_peak(d, safety):
     spans = "select otype, min(us) as a, max(us) as b from {eo} group by otype, oid"
-    return f"select otype, cast(peak as bigint) as peak, cast(greatest(1, ceil(peak * {safety})) as bigint) as cap from ({_sweep(spans, 'otype')}) x where peak > 0"
+    return f"select otype, cast(peak as bigint) as peak, cast(greatest(1, ceil(peak * {safety})) as bigint) as cap from {cuts.peak('otype', spans)} x where peak > 0"
 
 
 @operator("u", service_s=3600.0)
 def activity_concurrency(d, service_s):
     spans = f"select activity, us as a, us + cast({service_s} * 1000000 as bigint) as b from {{ev}}"
-    return f"select activity, cast(greatest(peak, 1) as bigint) as peak from ({_sweep(spans, 'activity')}) x"
+    return f"select activity, cast(greatest(peak, 1) as bigint) as peak from {cuts.peak('activity', spans)} x"
 
 
 def _ends(which: str, threshold: float) -> str:
