@@ -26,6 +26,9 @@ class EventLog:
     e2o: DataFrame
     o2o: DataFrame
     joined: DataFrame | None = None  # eo, where it is stored
+    event_attributes: DataFrame | None = None  # eid, name, value
+    object_attributes: DataFrame | None = None  # oid, name, value, us (null: from the start on)
+    qualifiers: DataFrame | None = None  # eid, oid, qualifier of the links that have one
 
     @property
     def eo(self) -> DataFrame:
@@ -36,7 +39,8 @@ class EventLog:
     def stored(self) -> EventLog:
         """The log written to the shared folder once, eo too, so that its relations aren't made anew in each use."""
         own = {name: save(getattr(self, name), name) for name in ("ev", "ob", "e2o", "o2o")}
-        return EventLog(**own, joined=save(EventLog(**own).eo, "eo"))
+        more = {name: save(df, name) for name in ("event_attributes", "object_attributes", "qualifiers") if (df := getattr(self, name)) is not None}
+        return EventLog(**own, **more, joined=save(EventLog(**own).eo, "eo"))
 
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         known = {r: getattr(self, r) for r in RELATIONS if "{" + r + "}" in text}

@@ -2,5 +2,6 @@
 
 from .operators import arcs, measures, mining, params  # noqa: F401
 from .registry import ORACLE, QUERIES
+from .sources import registered  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

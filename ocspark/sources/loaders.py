@@ -6,16 +6,20 @@ Spark reads. Relations come out as those of EventLog.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog
 
 _REL = "array<struct<objectId:string,qualifier:string>>"
-JSON_2 = f"objects array<struct<id:string,type:string,relationships:{_REL}>>, events array<struct<id:string,type:string,time:string,relationships:{_REL}>>"
+_ATTR = "array<struct<name:string,value:string,time:string>>"
+JSON_2 = (
+    f"objects array<struct<id:string,type:string,attributes:{_ATTR},relationships:{_REL}>>, "
+    f"events array<struct<id:string,type:string,time:string,attributes:{_ATTR},relationships:{_REL}>>"
+)
 JSON_1 = (
-    "`ocel:events` map<string,struct<`ocel:activity`:string,`ocel:timestamp`:string,`ocel:omap`:array<string>>>, "
-    "`ocel:objects` map<string,struct<`ocel:type`:string,`ocel:o2o`:array<struct<objectId:string,qualifier:string>>>>"
+    "`ocel:events` map<string,struct<`ocel:activity`:string,`ocel:timestamp`:string,`ocel:omap`:array<string>,`ocel:vmap`:map<string,string>>>, "
+    "`ocel:objects` map<string,struct<`ocel:type`:string,`ocel:ovmap`:map<string,string>,`ocel:o2o`:array<struct<objectId:string,qualifier:string>>>>"
 )
 
 
@@ -23,15 +27,23 @@ def _us(column) -> F.Column:
     return F.unix_micros(F.to_timestamp(column))
 
 
-def _log(spark: SparkSession, events: DataFrame, objects: DataFrame, links: DataFrame) -> EventLog:
+def _log(events: DataFrame, objects: DataFrame, links: DataFrame, **more: DataFrame) -> EventLog:
     """events (eid, activity, us, oids), objects (oid, otype), links (src, dst, qualifier)."""
     ob = objects.select("oid", "otype").distinct()
     pairs = events.select("eid", F.explode("oids").alias("oid")).distinct()
-    return EventLog(events.select("eid", "activity", "us"), ob, pairs.join(ob, "oid").select("eid", "oid", "otype"), links.distinct())
+    return EventLog(events.select("eid", "activity", "us"), ob, pairs.join(ob, "oid").select("eid", "oid", "otype"), links.distinct(), **more)
+
+
+def _details(e: DataFrame, o: DataFrame, eid: str, oid: str, event_links, event_attributes, object_attributes, name: str, value: str, time: str, link: str, qualifier: str) -> dict[str, DataFrame]:
+    """Attributes and qualifiers out of arrays of structs."""
+    ea = e.select(F.col(eid).alias("eid"), F.explode(event_attributes).alias("a")).select("eid", F.col("a").getField(name).alias("name"), F.col("a").getField(value).alias("value"))
+    oa = o.select(F.col(oid).alias("oid"), F.explode(object_attributes).alias("a")).select("oid", F.col("a").getField(name).alias("name"), F.col("a").getField(value).alias("value"), _us(F.col("a").getField(time)).alias("us"))
+    q = e.select(F.col(eid).alias("eid"), F.explode(event_links).alias("r")).select("eid", F.col("r").getField(link).alias("oid"), F.col("r").getField(qualifier).alias("qualifier"))
+    return {"event_attributes": ea, "object_attributes": oa, "qualifiers": q.where("qualifier is not null").distinct()}
 
 
 def read_json(spark: SparkSession, path: str) -> EventLog:
-    """A log in version 2 (lists) or, where the file has none, version 1 (maps)."""
+    """A log in version 2 (lists) or, where the file has none, version 1 (maps), with attributes and qualifiers."""
     two = spark.read.schema(JSON_2).json(path, multiLine=True)
     if two.where("events is not null").limit(1).count():
         e = two.select(F.explode("events").alias("e")).select("e.*")
@@ -39,7 +51,8 @@ def read_json(spark: SparkSession, path: str) -> EventLog:
         events = e.select(F.col("id").alias("eid"), F.col("type").alias("activity"), _us("time").alias("us"), F.col("relationships.objectId").alias("oids"))
         objects = o.select(F.col("id").alias("oid"), F.col("type").alias("otype"))
         links = o.select(F.col("id").alias("src"), F.explode("relationships").alias("r")).select("src", F.col("r.objectId").alias("dst"), "r.qualifier")
-        return _log(spark, events, objects, links)
+        more = _details(e, o, "id", "id", F.col("relationships"), F.col("attributes"), F.col("attributes"), "name", "value", "time", "objectId", "qualifier")
+        return _log(events, objects, links, **more)
     one = spark.read.schema(JSON_1).json(path, multiLine=True)
     if not one.where("`ocel:events` is not null").limit(1).count():
         raise ValueError(f"{path} holds no event log")
@@ -47,50 +60,94 @@ def read_json(spark: SparkSession, path: str) -> EventLog:
     o = one.select(F.explode("ocel:objects").alias("oid", "o"))
     events = e.select("eid", F.col("e.ocel:activity").alias("activity"), _us("e.ocel:timestamp").alias("us"), F.col("e.ocel:omap").alias("oids"))
     links = o.select(F.col("oid").alias("src"), F.explode("o.ocel:o2o").alias("r")).select("src", F.col("r.objectId").alias("dst"), "r.qualifier")
-    return _log(spark, events, o.select("oid", F.col("o.ocel:type").alias("otype")), links)
+    ea = e.select("eid", F.explode("e.ocel:vmap").alias("name", "value"))
+    oa = o.select("oid", F.explode("o.ocel:ovmap").alias("name", "value")).withColumn("us", F.lit(None).cast("long"))
+    return _log(events, o.select("oid", F.col("o.ocel:type").alias("otype")), links, event_attributes=ea, object_attributes=oa)
 
 
 def read_xml(spark: SparkSession, path: str) -> EventLog:
-    """A log in XML: one read for objects and one for events."""
+    """A log in XML, with attributes and qualifiers: one read for objects and one for events."""
     rel = "array<struct<`_object-id`:string,_qualifier:string>>"
-    o = spark.read.format("xml").option("rowTag", "object").schema(f"_id string, _type string, objects struct<relationship:{rel}>, relationship {rel}").load(path)
-    e = spark.read.format("xml").option("rowTag", "event").schema(f"_id string, _type string, _time string, objects struct<relationship:{rel}>, relationship {rel}").load(path)
+    attr = "attributes struct<attribute:array<struct<_name:string,_time:string,_VALUE:string>>>"
+    o = spark.read.format("xml").option("rowTag", "object").schema(f"_id string, _type string, objects struct<relationship:{rel}>, relationship {rel}, {attr}").load(path)
+    e = spark.read.format("xml").option("rowTag", "event").schema(f"_id string, _type string, _time string, objects struct<relationship:{rel}>, relationship {rel}, {attr}").load(path)
     both = F.coalesce("relationship", "objects.relationship")
-    events = e.where("_id is not null").select(F.col("_id").alias("eid"), F.col("_type").alias("activity"), _us("_time").alias("us"), both.getField("_object-id").alias("oids"))
-    o = o.where("_id is not null")
+    e, o = e.where("_id is not null"), o.where("_id is not null")
+    events = e.select(F.col("_id").alias("eid"), F.col("_type").alias("activity"), _us("_time").alias("us"), both.getField("_object-id").alias("oids"))
     links = o.select(F.col("_id").alias("src"), F.explode(both).alias("r")).select("src", F.col("r._object-id").alias("dst"), F.col("r._qualifier").alias("qualifier"))
-    return _log(spark, events, o.select(F.col("_id").alias("oid"), F.col("_type").alias("otype")), links)
+    inner = F.col("attributes.attribute")
+    more = _details(e, o, "_id", "_id", both, inner, inner, "_name", "_VALUE", "_time", "_object-id", "_qualifier")
+    return _log(events, o.select(F.col("_id").alias("oid"), F.col("_type").alias("otype")), links, **more)
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """rows with `out`: their number from 0 in the order that Spark reads them; one count a partition is joined, no row moves."""
+    placed = rows.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftrightunsigned("__m", 33))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")  # a row a partition
+    return placed.join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__b")
+
+
+def backfill(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """For each key and column the first value, by order, that isn't null or blank: key, name, value."""
+    value = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    first = rows.groupBy(key).agg(*[F.min_by(value(c), F.when(value(c).isNotNull(), F.col(order))).alias(f"__{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"__{i}").alias("value")) for i, c in enumerate(columns)])
+    return first.select(key, F.explode(pairs).alias("x")).select(key, "x.name", "x.value").where("value is not null")
+
+
+#: Columns of the flat log that belong to cases and offers: fixed values of the format.
+CASE_COLUMNS = ["case:LoanGoal", "case:ApplicationType", "case:RequestedAmount"]
+OFFER_COLUMNS = ["FirstWithdrawalAmount", "NumberOfTerms", "Accepted", "MonthlyCost", "Selected", "CreditScore", "OfferedAmount"]
 
 
 def read_csv(spark: SparkSession, path: str) -> EventLog:
-    """A flat log of applications: the case always, a workflow object or an offer by the event's origin. Rows without activity, time or case go."""
-    raw = spark.read.option("header", True).csv(path)
+    """A flat log of applications: the case always, a work item or an offer by the event's origin. Rows without activity, time or case go.
+
+    Events are named by their row in the file. A case has the attributes of its first row, an
+    offer the first value of each attribute that isn't empty.
+    """
+    raw = numbered(spark.read.option("header", True).csv(path), "__row")
     c = lambda n: F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) if n in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(c("concept:name").alias("activity"), c("time:timestamp").alias("t"), c("case:concept:name").alias("case"), c("EventOrigin").alias("origin"), c("EventID").alias("event"), c("OfferID").alias("offer"))
-    rows = rows.where("activity is not null and t is not null and `case` is not null").withColumn("eid", F.concat(F.lit("evt_"), F.monotonically_increasing_id()))
-    offer = F.when(F.col("offer").startswith("Offer_"), F.col("offer")).when(F.col("event").startswith("Offer_"), F.col("event"))
-    own = F.when(F.col("origin") == "Workflow", F.struct(F.concat(F.lit("workflow_"), "case").alias("oid"), F.lit("Workflow").alias("otype"))).when(
-        F.col("origin") == "Offer", F.when(offer.isNotNull(), F.struct(offer.alias("oid"), F.lit("Offer").alias("otype")))
+    wide = [x for x in CASE_COLUMNS + OFFER_COLUMNS if x in raw.columns]
+    rows = raw.select("__row", c("concept:name").alias("activity"), c("time:timestamp").alias("t"), c("case:concept:name").alias("case"), c("EventOrigin").alias("origin"), c("EventID").alias("event"), c("OfferID").alias("offer"), *[F.col(f"`{x}`") for x in wide])
+    rows = rows.where("activity is not null and t is not null and `case` is not null").withColumn("eid", F.concat(F.lit("evt_"), "__row"))
+    offer = F.coalesce("offer", F.when(F.col("event").startswith("Offer_"), F.col("event")))
+    rows = rows.withColumn("offer", F.when(F.col("origin") == "Offer", offer))
+    own = F.when((F.col("origin") == "Workflow") & F.col("event").isNotNull(), F.struct(F.col("event").alias("oid"), F.lit("Workflow").alias("otype"))).when(
+        F.col("offer").isNotNull(), F.struct(F.col("offer").alias("oid"), F.lit("Offer").alias("otype"))
     )
     rows = rows.withColumn("obs", F.array_compact(F.array(F.struct(F.col("case").alias("oid"), F.lit("Application").alias("otype")), own)))
     objects = rows.select(F.explode("obs").alias("o")).select("o.*")
+    of_case = rows.groupBy(F.col("case").alias("oid")).agg(F.min_by(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"`{x}`").alias("value")) for x in CASE_COLUMNS if x in wide]), "__row").alias("x")) if set(wide) & set(CASE_COLUMNS) else None
+    parts = [of_case.select("oid", F.explode("x").alias("y")).select("oid", "y.*").where("value is not null")] if of_case is not None else []
+    if set(wide) & set(OFFER_COLUMNS):
+        parts.append(backfill(rows.where("offer is not null"), "offer", "__row", [x for x in OFFER_COLUMNS if x in wide]).withColumnRenamed("offer", "oid"))
+    attributes = spark.createDataFrame([], "oid string, name string, value string")
+    for part in parts:
+        attributes = attributes.unionByName(part)
     links = spark.createDataFrame([], "src string, dst string, qualifier string")
-    return _log(spark, rows.select("eid", "activity", _us("t").alias("us"), F.col("obs.oid").alias("oids")), objects, links)
+    return _log(rows.select("eid", "activity", _us("t").alias("us"), F.col("obs.oid").alias("oids")), objects, links, object_attributes=attributes.withColumn("us", F.lit(None).cast("long")))
 
 
 def from_traces(traces: DataFrame) -> EventLog:
-    """Rows (case_no, trace array<string>): case i starts i minutes after 2024-01-01, its events follow by seconds."""
+    """Rows (case_no, trace array<string>): events are numbered over all traces in the order of the cases.
+
+    Event k of case i is at 2024-01-01 plus i minutes plus k seconds. The numbering adds up
+    trace lengths in blocks of 4096 cases, then the blocks' totals.
+    """
     spark = traces.sparkSession
-    e = traces.select("case_no", F.posexplode("trace").alias("pos", "activity"))
+    sized = traces.select(F.col("case_no").cast("long").alias("case_no"), "trace", F.size("trace").cast("long").alias("n")).withColumn("block", F.floor(F.col("case_no") / 4096))
+    blocks = sized.groupBy("block").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n")).select("block", "before")
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("case_no")) - F.col("n")
+    e = sized.withColumn("inside", inside).join(blocks, "block").select("case_no", (F.col("before") + F.col("inside")).alias("first"), F.posexplode("trace").alias("pos", "activity"))
+    k = F.col("first") + F.col("pos")
     start = 1_704_067_200_000_000
     events = e.select(
-        F.concat_ws("_", F.lit("e"), "case_no", "pos").alias("eid"),
-        "activity",
-        (F.lit(start) + F.col("case_no").cast("long") * 60_000_000 + F.col("pos").cast("long") * 1_000_000).alias("us"),
-        F.array(F.concat(F.lit("case_"), "case_no")).alias("oids"),
-    )
-    objects = traces.select(F.concat(F.lit("case_"), "case_no").alias("oid"), F.lit("case").alias("otype"))
-    return _log(spark, events, objects, spark.createDataFrame([], "src string, dst string, qualifier string"))
+        F.concat(F.lit("e_"), k).alias("eid"), "activity", (F.lit(start) + F.col("case_no") * 60_000_000 + k * 1_000_000).alias("us"), F.array(F.concat(F.lit("case_"), "case_no")).alias("oids")
+    )
+    objects = traces.select(F.concat(F.lit("case_"), F.col("case_no")).alias("oid"), F.lit("case").alias("otype"))
+    return _log(events, objects, spark.createDataFrame([], "src string, dst string, qualifier string"))
 
 
 def write_json(log: EventLog, path: str) -> None:

@@ -53,10 +53,42 @@ def test_xml(spark, tmp_path):
     assert facts(log) == ([("e1", "A", 1767258000000000)], [("e1", "c1", "C")], [("c1", "c2", "x")])
 
 
+def test_attributes_and_qualifiers(spark, tmp_path):
+    attrs = [{"name": "price", "value": 5, "time": "2026-01-01T00:00:00Z"}, {"name": "price", "value": "6", "time": "2026-01-02T00:00:00Z"}]
+    doc = {"objects": [{"id": "c1", "type": "C", "attributes": attrs}], "events": [{"id": "e1", "type": "A", "time": "2026-01-01T09:00:00Z", "attributes": [{"name": "who", "value": "x"}], "relationships": [{"objectId": "c1", "qualifier": "by"}, {"objectId": "c1"}]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    xml = '<log><object id="c1" type="C"><attributes><attribute name="price" time="2026-01-01T00:00:00Z">5</attribute><attribute name="price" time="2026-01-02T00:00:00Z">6</attribute></attributes></object>'
+    xml += '<event id="e1" type="A" time="2026-01-01T09:00:00Z"><attributes><attribute name="who">x</attribute></attributes><relationship object-id="c1" qualifier="by"/></event></log>'
+    (tmp_path / "a.xml").write_text(xml)
+    for log in (loaders.read_json(spark, str(tmp_path / "a.json")), loaders.read_xml(spark, str(tmp_path / "a.xml"))):
+        assert [tuple(r) for r in log.event_attributes.collect()] == [("e1", "who", "x")]
+        assert [(r.oid, r.name, r.value, r.us) for r in log.object_attributes.orderBy("us").collect()] == [("c1", "price", "5", 1767225600000000), ("c1", "price", "6", 1767312000000000)]
+        assert [tuple(r) for r in log.qualifiers.collect()] == [("e1", "c1", "by")] and log.e2o.count() == 1
+    one = {"ocel:events": {"e1": {"ocel:activity": "A", "ocel:timestamp": "2026-01-01T09:00:00Z", "ocel:omap": ["c1"], "ocel:vmap": {"who": "x"}}}, "ocel:objects": {"c1": {"ocel:type": "C", "ocel:ovmap": {"price": 5}}}}
+    (tmp_path / "b.json").write_text(json.dumps(one))
+    log = loaders.read_json(spark, str(tmp_path / "b.json"))
+    assert [tuple(r) for r in log.object_attributes.collect()] == [("c1", "price", "5", None)] and log.event_attributes.first().value == "x"
+
+
 def test_csv_and_traces(spark, tmp_path):
     (tmp_path / "l.csv").write_text("concept:name,time:timestamp,case:concept:name,EventOrigin,EventID,OfferID\nA,2026-01-01 09:00:00,App1,Application,x,\nO,2026-01-01 10:00:00,App1,Offer,Offer_7,\nW, 2026-01-01 11:00:00,App1,Workflow,w,\n,2026-01-01 12:00:00,App1,Workflow,w,\n")
     log = loaders.read_csv(spark, str(tmp_path / "l.csv"))
     assert log.ev.count() == 3 and {r.otype for r in log.e2o.collect()} == {"Application", "Workflow", "Offer"}
+    assert {r.eid for r in log.ev.collect()} == {"evt_0", "evt_1", "evt_2"} and {(r.oid, r.otype) for r in log.ob.collect()} == {("App1", "Application"), ("Offer_7", "Offer"), ("w", "Workflow")}
+    head = "concept:name,time:timestamp,case:concept:name,EventOrigin,EventID,OfferID,case:LoanGoal,CreditScore,Accepted\n"
+    (tmp_path / "m.csv").write_text(head + "A,,App1,Application,x,,g0,,\nA,2026-01-01 09:00:00,App1,Application,x,,g1,,\nO,2026-01-01 10:00:00,App1,Offer,y,Offer_7,g2, ,\nO,2026-01-01 11:00:00,App1,Offer,y,Offer_7,g3, 9 ,True\nO,2026-01-01 11:00:00,App1,Offer,y,Offer_7,g3,8,False\n")
+    log = loaders.read_csv(spark, str(tmp_path / "m.csv"))
+    assert {tuple(r)[:3] for r in log.object_attributes.collect()} == {("App1", "case:LoanGoal", "g1"), ("Offer_7", "CreditScore", "9"), ("Offer_7", "Accepted", "True")}
+    assert {r.eid for r in log.ev.collect()} == {"evt_1", "evt_2", "evt_3", "evt_4"}
+    rows = loaders.numbered(spark.range(1000, numPartitions=7), "n").collect()
+    assert all(r.n == r.id for r in rows)
+    many = spark.createDataFrame([(i, ["a"] * (i % 3)) for i in range(9000)], "case_no int, trace array<string>").repartition(4)
+    got, k = {(r.eid, r.us) for r in loaders.from_traces(many).ev.collect()}, 0
+    for i in range(9000):
+        for _ in range(i % 3):
+            assert (f"e_{k}", 1_704_067_200_000_000 + i * 60_000_000 + k * 1_000_000) in got
+            k += 1
+    assert len(got) == k
     log = loaders.from_traces(spark.createDataFrame([(0, ["a", "b"]), (1, ["a"])], "case_no int, trace array<string>"))
     assert log.ev.count() == 3 and log.ob.count() == 2
 
