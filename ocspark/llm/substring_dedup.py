@@ -238,14 +238,15 @@ def repeated_windows(identified: DataFrame, size: int, text: str) -> tuple[DataF
                 own = off[i : j + 1] - off[i]
                 s, e, at, h = anchors(raw[off[i] : off[j]], own, size)
                 d = np.searchsorted(own, s, "right") - 1
-                cols = [(s - own[d]).astype(np.int32), (e - own[d] + size).astype(np.int32), (at - s).astype(np.int32), h]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), *map(pa.array, cols)], names=["k", "s", "e", "a", "h"])
+                # w: the context's length and, below size, the anchor's place in it
+                cols = [(s - own[d]).astype(np.int32), ((e - s + size) * size + at - s).astype(np.int32), h]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(d)), *map(pa.array, cols)], names=["k", "s", "w", "h"])
 
-    marked = save(keyed.mapInArrow(mark, "k long, s int, e int, a int, h long"), "anchors")
+    marked = save(keyed.mapInArrow(mark, "k long, s int, w int, h long"), "anchors")
     again = marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = marked.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("s", "e", "a", "h")).alias("places"))  # no more than a text's anchors
-    places = save(places, "places")
-    texts = save(keyed.join(places.select("k"), "k", "left_semi").dropDuplicates(["k"]), "anchored-texts")
+    places = marked.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("s", "w", "h")).alias("places"))  # no more than a text's anchors
+    # each text with its places, so that texts move once before they are carved
+    texts = save(keyed.dropDuplicates(["k"]).join(places, "k"), "anchored-texts")
     kinds = [_LONG, _INT, _LONG, _LONG, _INT, _BIN]
 
     def carve(batches):
@@ -255,21 +256,22 @@ def repeated_windows(identified: DataFrame, size: int, text: str) -> tuple[DataF
             for d in range(batch.num_rows):
                 k, rows, seen = batch.column(0)[d].as_py(), [], set()
                 for x in batch.column(2)[d].as_py():
-                    part = data[off[d] + x["s"] : off[d] + x["e"]]
-                    c = _digest(part, x["a"])
-                    rows.append((k, x["s"], x["h"], c, x["a"], None if (x["h"], c) in seen else part))  # a text brings equal contexts once
+                    at = off[d] + x["s"]
+                    part, a = data[at : at + x["w"] // size], x["w"] % size
+                    c = _digest(part, a)
+                    rows.append((k, x["s"], x["h"], c, a, None if (x["h"], c) in seen else part))  # a text brings equal contexts once
                     seen.add((x["h"], c))
                     if len(rows) > 4000:
                         yield _batch(rows, "k s h c a context", kinds)
                         rows = []
                 yield _batch(rows, "k s h c a context", kinds)
 
-    carved = texts.join(places, "k").select("k", "text", "places").mapInArrow(carve, "k long, s int, h long, c long, a int, context binary")
+    carved = texts.select("k", "text", "places").mapInArrow(carve, "k long, s int, h long, c long, a int, context binary")
     carved = save(carved, "contexts")
     contexts = carved.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("context", ignorenulls=True).alias("context"))
     masks = window_masks(contexts, size)
     found = carved.select("k", "s", "h", "c").join(masks, ["h", "c"])
-    return texts, found.groupBy("k").agg(F.collect_list(F.struct((F.col("s") + F.col("i")).alias("s"), "mask", "windows")).alias("found"))
+    return texts.select("k", "text"), found.groupBy("k").agg(F.collect_list(F.struct((F.col("s") + F.col("i")).alias("s"), "mask", "windows")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text", out: str | None = None) -> DataFrame:
