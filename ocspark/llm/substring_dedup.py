@@ -28,6 +28,7 @@ of which the context is carved once.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -176,36 +177,46 @@ def window_masks(contexts: DataFrame, size: int, splits: tuple[int, ...] = SPLIT
     """(h, c, i, mask, windows) of contexts (h, c, n, a, context): bits of the windows from the i-th on that repeat.
 
     h: the anchor, or what else the contexts of one group share; c: the context's own hash;
-    n: how often it occurs; a: the anchor's place in it.
+    n: how often it occurs in this row (rows of equal contexts are added up, and one of them
+    has its bytes); a: the anchor's place in it. At the last of splits no group is too large.
     """
-    count = contexts.groupBy("h").agg(F.count("*").alias("different"))
-    merged = save(contexts.join(count, "h"), "merged")
-    hot = merged.where(F.col("different") > MAX_CONTEXTS) if splits else merged.limit(0)
-    few = merged.where(F.col("different") <= MAX_CONTEXTS) if splits else merged
+    merged = contexts.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("a").alias("a"), F.first("context", ignorenulls=True).alias("context"))
+    few, hot = merged, None
+    if splits:
+        counts = contexts.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("different"))
+        large = save(counts.where(F.col("different") > MAX_CONTEXTS).select("h"), "hot-anchors")
+        if large.limit(1).count():
+            few, hot = merged.join(large, "h", "left_anti"), contexts.join(large, "h", "left_semi")
 
     def transform(batches):
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         weight = 0
 
         def flush(rows):
-            masks = _masks([c for _, _, c in rows], size)
-            return _batch([(h, c, m) for (h, c, _), m in zip(rows, masks, strict=True)], "h c mask", [_LONG, _LONG, _BIN])
+            met = Counter(h for h, _, _, _ in rows)
+            many = [x for x in rows if met[x[0]] > 1]  # a context without others of its anchor repeats only as a whole
+            masks = {x[:2]: m for x, m in zip(many, _masks([x[3] for x in many], size), strict=True)} if many else {}
+            out = []
+            for h, c, n, x in rows:
+                windows = len(x) - size + 1
+                mask = b"\xff" * -(-windows // 8) if n > 1 else masks.get((h, c))
+                if mask is not None and any(mask):
+                    out.append((h, c, 0, mask, windows))
+            return _batch(out, "h c i mask windows", [_LONG, _LONG, _INT, _BIN, _INT])
 
         for batch in batches:
-            for h, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for h, c, n, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if weight > CHUNK and h != held[-1][0]:
                     yield flush(held)
                     held, weight = [], 0
-                held.append((h, c, x))
+                held.append((h, c, n, x))
                 weight += len(x) + 1
         if held:
             yield flush(held)
 
-    met = few.where("different > 1").select("h", "c", "context").repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h long, c long, mask binary")
-    known = few.select("h", "c", "n", (F.length("context") - size + 1).alias("windows")).where("windows > 0").join(save(met, "masks"), ["h", "c"], "left")
-    every = F.unhex(F.expr("repeat('FF', cast(ceil(windows / 8) as int))"))
-    out = known.select("h", "c", F.lit(0).alias("i"), F.when(F.col("n") > 1, every).otherwise(F.col("mask")).alias("mask"), "windows").where("mask is not null")
-    if not splits or not hot.limit(1).count():
+    few = few.select("h", "c", "n", "context").repartition("h").sortWithinPartitions("h")
+    out = save(few.mapInArrow(transform, "h long, c long, i int, mask binary, windows int"), "masks")
+    if hot is None:
         return out
     wide = splits[0]
 
@@ -220,9 +231,9 @@ def window_masks(contexts: DataFrame, size: int, splits: tuple[int, ...] = SPLIT
             yield _batch(rows, "h c n i h2 c2 a context", [_LONG, _LONG, _LONG, _INT, _LONG, _LONG, _INT, _BIN])
 
     fields = "h long, c long, n long, i int, h2 long, c2 long, a int, context binary"
-    parts = save(hot.select("h", "c", "n", "a", "context").mapInArrow(split, fields), "parts")
-    again = parts.groupBy(F.col("h2").alias("h"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), F.first("a").alias("a"), F.first("context").alias("context"))
-    inner = window_masks(again, size, splits[1:]).select(F.col("h").alias("h2"), F.col("c").alias("c2"), F.col("i").alias("j"), "mask", "windows")
+    whole = hot.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("a").alias("a"), F.first("context", ignorenulls=True).alias("context"))
+    parts = save(whole.select("h", "c", "n", "a", "context").mapInArrow(split, fields), "parts")
+    inner = window_masks(parts.select(F.col("h2").alias("h"), F.col("c2").alias("c"), "n", "a", "context"), size, splits[1:]).select(F.col("h").alias("h2"), F.col("c").alias("c2"), F.col("i").alias("j"), "mask", "windows")
     lifted = parts.select("h", "c", "i", "h2", "c2").join(inner, ["h2", "c2"]).select("h", "c", (F.col("i") + F.col("j")).alias("i"), "mask", "windows")
     return out.unionByName(lifted)
 
@@ -268,8 +279,7 @@ def repeated_windows(identified: DataFrame, size: int, text: str) -> tuple[DataF
 
     carved = texts.select("k", "text", "places").mapInArrow(carve, "k long, s int, h long, c long, a int, context binary")
     carved = save(carved, "contexts")
-    contexts = carved.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("context", ignorenulls=True).alias("context"))
-    masks = window_masks(contexts, size)
+    masks = window_masks(carved.select("h", "c", F.lit(1).cast("long").alias("n"), "a", "context"), size)
     found = carved.select("k", "s", "h", "c").join(masks, ["h", "c"])
     return texts.select("k", "text"), found.groupBy("k").agg(F.collect_list(F.struct((F.col("s") + F.col("i")).alias("s"), "mask", "windows")).alias("found"))
 
