@@ -141,7 +141,7 @@ def text_key(column) -> list:
 
 def clashes(df: DataFrame, one: str, two: str) -> DataFrame:
     """The values of `one` that different values of `two` share, with the least of these. Hardly ever any."""
-    found = df.select(one, two).distinct().groupBy(one).agg(F.min(two).alias("__least"), F.max(two).alias("__most"))
+    found = df.groupBy(one).agg(F.min(two).alias("__least"), F.max(two).alias("__most"))
     return save(found.where("__least <> __most").select(one, "__least"), "clashes")
 
 
