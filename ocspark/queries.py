@@ -2,6 +2,7 @@
 
 from .operators import arcs, measures, mining, params  # noqa: F401
 from .registry import ORACLE, QUERIES
+from .operators import registered as registered_operators  # noqa: F401
 from .sources import registered  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
