@@ -170,18 +170,47 @@ def violation_summary_sql(d, arcs: list[Arc]) -> str:
     return f"select c.cid, c.activations, coalesce(v.n, 0) as incidents, round(coalesce(v.n, 0) * 1.0 / nullif(c.activations, 0), 6) as rate from ({confidence_sql(d, arcs)}) c left join (select cid, count(*) as n from ({violations_sql(d, arcs)}) q group by cid) v on v.cid = c.cid"
 
 
+def confidence_report_sql(d, arcs: list[Arc]) -> str:
+    """A row for each arc with its labels and bounds: activations, satisfied, violating, vacuous, confidence (null without activations), mean count of a binding."""
+    rows = []
+    for i, a in enumerate(arcs):
+        names = ", ".join(f"{_q(', '.join(ts))} as {c}" for c, ts in (("each_types", a.each), ("all_types", a.all_), ("any_types", a.any_)))
+        rows.append(f"""select {i} as constraint_id, {_q(a.arc)} as arc, {_q(a.src)} as activates_on, {_q(a.tgt)} as counts_activity, {names}, {a.nmin} as nmin, {'cast(null as int)' if a.nmax is None else a.nmax} as nmax,
+          e.n as n_activations, e.n - x.bad as n_satisfied, x.bad as n_violating, e.n - x.held as n_vacuous_activations, round((e.n - x.bad) * 1.0 / nullif(e.n, 0), 6) as confidence, round(x.total * 1.0 / nullif(x.bindings, 0), 6) as mean_binding_count
+          from (select count(*) as n from {{ev}} where activity = {_q(a.src)}) e cross join (select cast(coalesce(sum(1 - ok), 0) as bigint) as bad, count(*) as held, sum(total) as total, sum(bindings) as bindings
+          from (select eid, min(case when {_ok(a)} then 1 else 0 end) as ok, sum(n) as total, count(*) as bindings from ({bindings_sql(a)}) w group by eid) v) x""")
+    return " union all ".join(rows)
+
+
+def coverage_details_sql(d, arcs: list[Arc]) -> str:
+    """Of each arc: activations, those with a binding, share of those with an object of every label, of its finite bounds that are seen, whether a target is."""
+    rows = []
+    for i, a in enumerate(arcs):
+        have = f"select eid from {{ev}} where activity = {_q(a.src)}"
+        for t in (*a.each, *a.all_, *a.any_):
+            have = f"select h.eid from ({have}) h join (select distinct eid from {{e2o}} where otype = {_q(t)}) t on h.eid = t.eid"
+        bounds = sorted({a.nmin} | ({a.nmax} if a.nmax is not None else set()))
+        seen = " + ".join(f"max(case when n = {x} then 1 else 0 end)" for x in bounds)
+        rows.append(f"""select {i} as cid, e.n as activations, x.held as with_binding, round(p.n * 1.0 / nullif(e.n, 0), 6) as object_presence, round(x.seen * 1.0 / {len(bounds)}, 6) as finite_boundary,
+          {'coalesce(x.hit, 0) * 1.0' if a.nmin > 0 else 'cast(null as double)'} as matching_event
+          from (select count(*) as n from {{ev}} where activity = {_q(a.src)}) e cross join (select count(*) as n from ({have}) g) p
+          cross join (select count(distinct eid) as held, {seen} as seen, max(case when n > 0 then 1 else 0 end) as hit from ({bindings_sql(a)}) w) x""")
+    return " union all ".join(rows)
+
+
 def coverage_sql(d, arcs: list[Arc]) -> str:
+    """Seven scores of a model: its activities and types in the log; arcs with activations, with bindings; means of the details, nulls left out."""
     acts = sorted({x for a in arcs for x in (a.src, a.tgt)})
     types = sorted({t for a in arcs for t in (*a.each, *a.all_, *a.any_)})
-    srcs = sorted({a.src for a in arcs})
     inside = lambda xs: ", ".join(map(_q, xs))
-    return f"""select 'activity' as score, round(avg(case when activity in ({inside(acts)}) then 1.0 else 0.0 end), 6) as value from (select distinct activity from {{ev}}) a
-      union all select 'object_type', round(avg(case when otype in ({inside(types)}) then 1.0 else 0.0 end), 6) from (select distinct otype from {{ob}}) t
-      union all select 'source_activation', round(avg(case when activity in ({inside(srcs)}) then 1.0 else 0.0 end), 6) from {{ev}}
-      union all select 'non_vacuous', round(1.0 - sum(vacuous) * 1.0 / nullif(sum(activations), 0), 6) from ({confidence_sql(d, arcs)}) c
-      union all select 'object_presence', round(count(distinct case when otype in ({inside(types)}) then oid end) * 1.0 / nullif(count(distinct oid), 0), 6) from {{eo}}
-      union all select 'finite_boundary', round({sum(a.nmax is not None for a in arcs)} * 1.0 / {max(1, len(arcs))}, 6)
-      union all select 'matching_event', round(avg(case when activity in ({inside(acts)}) then 1.0 else 0.0 end), 6) from {{ev}}"""
+    own = [("source_activation", "avg(case when activations > 0 then 1.0 else 0.0 end)"), ("non_vacuous", "avg(case when with_binding > 0 then 1.0 else 0.0 end)")]
+    own += [(c, f"avg({c})") for c in ("object_presence", "finite_boundary", "matching_event")]
+    scores = ", ".join(f"{v} as {c}" for c, v in own)
+    each = " ".join(f"when k.n = {i} then '{c}'" for i, (c, _) in enumerate(own))
+    value = " ".join(f"when k.n = {i} then s.{c}" for i, (c, _) in enumerate(own))
+    return f"""select 'activity' as score, round(count(distinct activity) * 1.0 / {len(acts)}, 6) as value from {{ev}} where activity in ({inside(acts)})
+      union all select 'object_type', round(count(distinct otype) * 1.0 / {len(types)}, 6) from {{ob}} where otype in ({inside(types)})
+      union all select case {each} end, round(case {value} end, 6) from (select {scores} from ({coverage_details_sql(d, arcs)}) c) s cross join {d.numbers('0', str(len(own) - 1))} k"""
 
 
 def apply_bounds(arcs: list[Arc], observed: list[tuple[int | None, int | None]]) -> list[Arc]:
@@ -226,7 +255,7 @@ add("arc_multi", "o", _support(ORDER_MODEL[2]))
 add("arc_mixed", "o", _support(ORDER_MODEL[3]))
 add("arc_direct_any", "o", _support(Arc("Place Order", "Ship Line", "DF", any_=("order",))))
 add("arc_each_each", "u", _support(Arc("purchase", "view", "EF", each=("user", "item"))))
-for _k, _f in (("confidence_table", confidence_sql), ("violation_incidents", violations_sql), ("global_confidence", global_confidence_sql), ("violation_summary", violation_summary_sql), ("coverage_scores", coverage_sql)):
+for _k, _f in (("confidence_table", confidence_sql), ("violation_incidents", violations_sql), ("global_confidence", global_confidence_sql), ("violation_summary", violation_summary_sql), ("coverage_scores", coverage_sql), ("coverage_details", coverage_details_sql), ("confidence_report", confidence_report_sql)):
     add(_k, "u", _of(_f, MODEL))
 add("order_confidence_table", "o", _of(confidence_sql, ORDER_MODEL))
 add("observed_bounds", "o", lambda d: f"select cid, observed_min, observed_max from ({confidence_sql(d, ORDER_MODEL)}) c")

@@ -18,17 +18,19 @@ _SAMPLES = {"min": "1", "p25": "cast(ceil(0.25 * n) as bigint)", "p50": "cast(ce
 
 
 def _chosen(mode: str) -> str:
-    """activity, source, v, w: the samples of service time, by the rule of medians, lowest part only; w: how many samples have this value."""
-    counted = lambda rel: cuts.cumulated("activity", f"(select activity, v, count(*) as x from {rel} r group by activity, v)", "x")
-    med = lambda rel: f"select activity, v from {counted(rel)} m where c_x - x < floor(n_x / 2.0) + 1 and c_x >= floor(n_x / 2.0) + 1"
-    return f"""with t as ({_TIMES}), direct as ({_DIRECT}), pos as (select activity, sojourn as v from t where sojourn > 0), every as (select activity, sojourn as v from t),
-      md as ({med('direct')}), mp as ({med('pos')}),
-      src as (select a.activity, case when md.v is not null and (mp.v is null or md.v <= mp.v) then 'forward' when mp.v is not null then 'positive_sojourn' else 'zero_or_empty_sojourn' end as source
-        from (select distinct activity from t) a left join md on md.activity = a.activity left join mp on mp.activity = a.activity),
-      s as (select d.activity, d.v from direct d join src s on s.activity = d.activity and s.source = 'forward' union all select p.activity, p.v from pos p join src s on s.activity = p.activity and s.source = 'positive_sojourn'
-        union all select e.activity, e.v from every e join src s on s.activity = e.activity and s.source = 'zero_or_empty_sojourn'),
-      o as (select activity, v, x, c_x, greatest(1, {_SAMPLES[mode]}) as most from (select activity, v, x, c_x, n_x as n from {counted('s')} c) w)
-      select o.activity, src.source, o.v, cast(least(o.x, o.most - (o.c_x - o.x)) as bigint) as w from o join src on src.activity = o.activity where o.c_x - o.x < o.most"""
+    """activity, source, v, w: the samples of service time, by the rule of medians, lowest part only; w: how many samples have this value.
+
+    The samples of an activity are of three kinds: to the next event (f), positive sojourns
+    (p), other sojourns (z). All are counted and ordered in one go, and one kind is chosen.
+    """
+    samples = f"select concat('f', activity) as k, v from ({_DIRECT}) direct union all select concat(case when sojourn > 0 then 'p' else 'z' end, activity), sojourn from ({_TIMES}) times"
+    counted = cuts.cumulated("k", f"(select k, v, count(*) as x from ({samples}) r group by k, v)", "x")
+    middle = lambda kind: f"max(case when substr(k, 1, 1) = '{kind}' and c_x - x < floor(n_x / 2.0) + 1 and c_x >= floor(n_x / 2.0) + 1 then v end)"
+    return f"""with c as (select k, v, x, c_x, n_x as n, n_x from {counted} q),
+      m as (select substr(k, 2) as activity, {middle('f')} as f, {middle('p')} as p from c group by substr(k, 2)),
+      s as (select activity, case when f is not null and (p is null or f <= p) then 'f' when p is not null then 'p' else 'z' end as kind from m),
+      o as (select s.activity, s.kind, c.v, c.x, c.c_x - c.x as before, greatest(1, {_SAMPLES[mode]}) as most from c join s on c.k = concat(s.kind, s.activity))
+      select activity, case kind when 'f' then 'forward' when 'p' then 'positive_sojourn' else 'zero_or_empty_sojourn' end as source, v, cast(least(x, most - before) as bigint) as w from o where before < most"""
 
 
 @operator("u", mode="p25")
