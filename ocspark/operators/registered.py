@@ -12,6 +12,7 @@ from ..log import ctes, project
 from ..registry import ORACLE, QUERIES
 from ..sources import exploder, models
 from ..storage import shared_dir
+from ..streaming import monitors
 from . import attributes, audits, evaluate, graph
 from .arcs import MODEL, Arc
 
@@ -176,6 +177,24 @@ def udtf_ocel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploder.exploded(texts, "text")
 
 
+# -- streams: the events table as a stream of files, taken to its end
+
+
+@query("""with e as (select 'user_' || user_id as oid, event_type, epoch_us(ts) as us from events), w as (select max(us) - 7200000000 as mark from e where event_type in ('signup', 'purchase')),
+  a as (select x.oid, x.us, min(y.us) as next from e x left join e y on y.oid = x.oid and y.event_type = 'purchase' and y.us > x.us where x.event_type = 'signup' group by x.oid, x.us)
+  select oid, us as activation_us, case when next - us <= 86400000000 then next end as response_us, case when next - us <= 86400000000 then 'fulfilled' else 'violated' end as verdict from a cross join w
+  where next is not null or us + 86400000000 < mark""")
+def stream_monitor_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and whether a purchase of the user follows within a day; what is still open at the end has no row."""
+    given = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(given).parquet(f"{sf_dir}/events.parque[t]")
+    events = events.select(F.concat(F.lit("user_"), "user_id").alias("oid"), F.col("event_type").alias("activity"), F.col("ts").cast("timestamp").alias("ts"))
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    verdicts = monitors.response_monitor(events.where("activity in ('signup', 'purchase')"), "signup", "purchase")
+    verdicts.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/verdicts").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("oid string, activation_us long, response_us long, verdict string").parquet(f"{at}/verdicts")
+
+
 # -- models
 
 _FILES = {

@@ -23,9 +23,10 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "2 hours") -> Da
 
 
 def response_monitor(events: DataFrame, src: str, tgt: str, horizon: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Each src of an object must be followed by a strictly later tgt: one row when an obligation is fulfilled or its horizon passes.
+    """Each src of an object must be followed by a strictly later tgt within the horizon: one row when that is so, or when it no longer can be.
 
-    State holds the object's open obligations alone; the horizon bounds it.
+    The verdict is by event times, however the events are cut into batches. State holds the
+    object's open obligations alone; the horizon bounds it.
     """
     limit = pd.Timedelta(horizon)
 
@@ -40,7 +41,7 @@ def response_monitor(events: DataFrame, src: str, tgt: str, horizon: str = "1 da
             rows = sorted((int(pd.Timestamp(t).value // 1000), a) for b in batches for t, a in zip(b["ts"], b["activity"], strict=True))
             for us, a in rows:
                 if a == tgt:
-                    out += [(key[0], o, us, "fulfilled") for o in open_ if o < us]
+                    out += [(key[0], o, us, "fulfilled") if us - o <= limit.value // 1000 else (key[0], o, None, "violated") for o in open_ if o < us]
                     open_ = [o for o in open_ if o >= us]
                 if a == src:
                     open_.append(us)
