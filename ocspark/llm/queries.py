@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import decontaminate, html_extract, near_dedup, packing, paragraph_dedup, pii, quality_classifier, quality_rules, secret_scan, spelling_variants, substring_dedup, toxicity, whitening
 from .common import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,23 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_
   coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated, coalesce(ni.n_near, 0) as n_near_items
 from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id left join ni on ni.doc_id = d.doc_id
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word, with the number of words near it, its form and its root."""
+    words = spelling_variants.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling_variants.group_variants(words)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a repository of its source, which is the owner."""
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    n = {f"n_{k}": secret_scan.count(i) for i, k in enumerate(secret_scan.KINDS)} | {f"n_{v}_values": secret_scan.count(verdict=v) for v in ("example", "live", "weak")}
+    return out.select("doc_id", *[v.alias(k) for k, v in n.items()], F.sha2(secret_scan.listing(3), 256).alias("base_sha256"), secret_scan.listing().alias("spans"))
