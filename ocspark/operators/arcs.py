@@ -4,10 +4,11 @@ An arc (AS, EF, EP, DF, DP) counts target events for each binding of an activati
 takes all of them, EF and EP those strictly later or earlier, DF and DP those among the
 nearest strictly later or earlier events of the scope, ties together, whatever their
 activity. A binding holds one object of every Each type; its events must share all of the
-binding's objects, all objects of All types, and one of every Any type.
+binding's objects, all objects of All types, and one of every Any type. An arc without
+types has one binding for each activation, whose scope is the whole log.
 
-One Each label is counted with windows over the object's timeline, without a self-join, so
-an object with very many events costs no more than its sort. Several labels are joined.
+One Each label is counted with windows over the object's days, whose totals are carried on,
+without a self-join, so no task sorts an object's whole timeline. Several labels are joined.
 """
 
 from __future__ import annotations
@@ -17,14 +18,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..log import EventLog
+from ..plans import cuts
 from ..plans.dialect import SPARK
 from ..registry import add, doubles, operator
 
-AHEAD = "range between 1 following and unbounded following"
-BEHIND = "range between unbounded preceding and 1 preceding"
-FRAMES = {"EF": AHEAD, "EP": BEHIND, "DF": AHEAD, "DP": BEHIND}
-
-
 @dataclass(frozen=True)
 class Arc:
     src: str
@@ -39,8 +36,6 @@ class Arc:
     def __post_init__(self) -> None:
         if self.arc not in ("AS", "EF", "EP", "DF", "DP"):
             raise ValueError(f"unknown arc {self.arc}")
-        if not (self.each or self.all_ or self.any_):
-            raise ValueError("an arc needs an object type; without one a binding would range over the whole log")
         if any(c in t for t in (*self.each, *self.all_, *self.any_) for c in "<>"):
             raise NotImplementedError("indirect labels")
 
@@ -50,23 +45,36 @@ def _q(x: str) -> str:
 
 
 def _single(a: Arc) -> str:
-    """eid, bid, n of a single Each label, by windows over each object's timeline."""
+    """eid, bid, n of a single Each label, by windows over each object's days."""
     hit = f"case when activity = {_q(a.tgt)} then 1 else 0 end"
     rows = f"(select oid, eid, activity, us from {{eo}} where otype = {_q(a.each[0])})"
+    mine = f"activity = {_q(a.src)}"
     if a.arc == "AS":
-        n = f"sum({hit}) over (partition by oid)"
-    elif a.arc in ("EF", "EP"):
-        n = f"sum({hit}) over (partition by oid order by us {FRAMES[a.arc]})"
-    else:
-        near = "min" if a.arc == "DF" else "max"
-        timed = f"select oid, eid, activity, us, {near}(us) over (partition by oid order by us {FRAMES[a.arc]}) as near_us from {rows} t"
-        at = f"select oid, us, sum({hit}) as n from {rows} t group by oid, us"
-        return f"select x.eid, x.oid as bid, cast(coalesce(y.n, 0) as bigint) as n from ({timed}) x left join ({at}) y on x.oid = y.oid and x.near_us = y.us where x.activity = {_q(a.src)}"
-    return f"select eid, oid as bid, n from (select eid, oid, activity, cast(coalesce({n}, 0) as bigint) as n from {rows} t) x where activity = {_q(a.src)}"
+        return f"select x.eid, x.oid as bid, cast(coalesce(y.n, 0) as bigint) as n from {rows} x left join (select oid, sum({hit}) as n from {rows} t group by oid) y on y.oid = x.oid where x.{mine}"
+    if a.arc in ("EF", "EP"):
+        return f"select eid, oid as bid, cast(n as bigint) as n from {cuts.beyond('oid', rows, hit, a.arc == 'EF', 'eid, activity')} t where {mine}"
+    at = f"select oid, us, sum({hit}) as n from {rows} t group by oid, us"
+    return f"select x.eid, x.oid as bid, cast(coalesce(y.n, 0) as bigint) as n from {cuts.nearest('oid', rows, a.arc == 'DF', 'eid, activity')} x left join ({at}) y on x.oid = y.oid and x.near_us = y.us where x.{mine}"
+
+
+def _whole(a: Arc) -> str:
+    """eid, bid, n of an arc without types. The log's times, one row each, are ordered within minutes, which carry totals on."""
+    mine = f"activity = {_q(a.src)}"
+    hit = f"activity = {_q(a.tgt)}"
+    if a.arc == "AS":
+        return f"select eid, eid as bid, (select count(*) from {{ev}} where {hit}) as n from {{ev}} where {mine}"
+    times = f"(select 1 as k, us, sum(case when {hit} then 1 else 0 end) as hits from {{ev}} group by us)"
+    ahead = a.arc in ("EF", "DF")
+    if a.arc in ("EF", "EP"):
+        return f"select x.eid, x.eid as bid, cast(y.n as bigint) as n from {{ev}} x join {cuts.beyond('k', times, 'hits', ahead, 'hits', cuts.MINUTE)} y on y.us = x.us where x.{mine}"
+    return f"""select x.eid, x.eid as bid, cast(coalesce(z.hits, 0) as bigint) as n from {{ev}} x join {cuts.nearest('k', times, ahead, 'hits', cuts.MINUTE)} y on y.us = x.us
+      left join {times} z on z.us = y.near_us where x.{mine}"""
 
 
 def bindings_sql(a: Arc) -> str:
     """SQL for eid, bid, n: how many target events each binding of each activation has."""
+    if not (a.each or a.all_ or a.any_):
+        return _whole(a)
     if len(a.each) == 1 and not a.all_ and not a.any_:
         return _single(a)
     cols = [f"o{i}" for i in range(len(a.each))]
@@ -161,6 +169,36 @@ def violations_sql(d, arcs: list[Arc]) -> str:
     return " union all ".join(f"select {i} as cid, eid, lo, hi from ({activations_sql(a)}) v where ok = 0" for i, a in enumerate(arcs))
 
 
+def violation_report_sql(d, arcs: list[Arc]) -> str:
+    """A row for each failed activation: its arc and bounds, time, how many bindings were evaluated and failed, least and greatest count."""
+    rows = []
+    for i, a in enumerate(arcs):
+        nmax = "cast(null as bigint)" if a.nmax is None else f"cast({a.nmax} as bigint)"
+        rows.append(f"""select {i} as constraint_id, {_q(a.arc)} as arc, {_q(a.src)} as activation_activity, {_q(a.tgt)} as counted_activity, e.eid, e.us, {a.nmin} as nmin, {nmax} as nmax,
+          v.evaluated as n_evaluated_bindings, v.failed as n_failed_bindings, v.lo as minimum_observed_count, v.hi as maximum_observed_count
+          from {{ev}} e join (select eid, count(*) as evaluated, cast(sum(case when {_ok(a)} then 0 else 1 end) as bigint) as failed, min(n) as lo, max(n) as hi from ({bindings_sql(a)}) w group by eid) v on v.eid = e.eid where v.failed > 0""")
+    return " union all ".join(rows)
+
+
+def violation_totals_sql(d, arcs: list[Arc]) -> str:
+    """One row on all arcs: activations, violations, vacuous ones, rates, affected arcs and events; and whether the incidents agree with the confidence table and the global confidence."""
+    return f"""with c as ({confidence_sql(d, arcs)}), i as ({violation_report_sql(d, arcs)}), g as ({global_confidence_sql(d, arcs)}),
+      s as (select count(*) as n_constraints, cast(sum(case when activations = 0 then 1 else 0 end) as bigint) as n_inactive_constraints, cast(sum(activations) as bigint) as n_activations, cast(sum(violated) as bigint) as n_violating_activations,
+        cast(sum(vacuous) as bigint) as n_vacuous_activations, cast(sum(case when violated > 0 then 1 else 0 end) as bigint) as n_constraints_affected from c),
+      t as (select count(*) as incidents, count(distinct eid) as n_events_affected from i)
+      select g.events as n_events, s.*, round(s.n_violating_activations * 1.0 / nullif(s.n_activations, 0), 6) as activation_violation_rate, t.n_events_affected, round(t.n_events_affected * 1.0 / nullif(g.events, 0), 6) as event_violation_rate,
+        t.incidents = s.n_violating_activations as incidents_agree, t.n_events_affected = g.violating_events as events_agree from s cross join t cross join g"""
+
+
+def violation_report(log: EventLog, arcs: list[Arc]) -> tuple[DataFrame, DataFrame]:
+    """Incidents and the row of totals; an error if the incidents differ from the evaluators'."""
+    totals = log.sql(doubles(violation_totals_sql(SPARK, arcs)))
+    row = totals.first()
+    if not (row.incidents_agree and row.events_agree):
+        raise RuntimeError("incidents differ from the confidence evaluators")
+    return log.sql(doubles(violation_report_sql(SPARK, arcs))), totals
+
+
 def global_confidence_sql(d, arcs: list[Arc]) -> str:
     return f"""select round(1.0 - v.n * 1.0 / nullif(e.n, 0), 6) as global_confidence, v.n as violating_events, e.n as events
       from (select count(distinct eid) as n from ({violations_sql(d, arcs)}) q) v cross join (select count(*) as n from {{ev}}) e"""
@@ -209,7 +247,7 @@ def coverage_sql(d, arcs: list[Arc]) -> str:
     each = " ".join(f"when k.n = {i} then '{c}'" for i, (c, _) in enumerate(own))
     value = " ".join(f"when k.n = {i} then s.{c}" for i, (c, _) in enumerate(own))
     return f"""select 'activity' as score, round(count(distinct activity) * 1.0 / {len(acts)}, 6) as value from {{ev}} where activity in ({inside(acts)})
-      union all select 'object_type', round(count(distinct otype) * 1.0 / {len(types)}, 6) from {{ob}} where otype in ({inside(types)})
+      union all select 'object_type', {f"round(count(distinct otype) * 1.0 / {len(types)}, 6) from {{ob}} where otype in ({inside(types)})" if types else "cast(null as double)"}
       union all select case {each} end, round(case {value} end, 6) from (select {scores} from ({coverage_details_sql(d, arcs)}) c) s cross join {d.numbers('0', str(len(own) - 1))} k"""
 
 
@@ -290,26 +328,67 @@ def trace_templates(d, src, tgt, otype, nmin, nmax):
     return f"with f as ({f}) select template, checked, violated, round(1.0 - violated * 1.0 / nullif(checked, 0), 4) as fitness from ({case}) r"
 
 
-@operator("u", "prefix_templates", src="view", tgt="purchase", otype="user", nmin=1, nmax=10)
-def prefix_templates(d, src, tgt, otype, nmin, nmax):
-    """How many events an eager monitor of each template would refuse, looking only at what came before on the object."""
+def prefix_rules(src: str, tgt: str, nmin: int, nmax: int) -> dict[str, str]:
+    """When a monitor of each template refuses an event, of columns activity, prev, b_ns and b_nt (source and target events before)."""
     s, t = f"activity = {_q(src)}", f"activity = {_q(tgt)}"
-    w = "over (partition by oid order by us, eid rows between unbounded preceding and 1 preceding)"
-    c = lambda x: f"coalesce(sum(case when {x} then 1 else 0 end) {w}, 0)"
-    f = f"select oid, activity, lag(activity) over (partition by oid order by us, eid) as prev, {c(s)} as ns, {c(t)} as nt from (select * from {{eo}} where otype = {_q(otype)}) q"
     rules = {
-        "precedence": f"{t} and ns < {nmin}",
-        "response_cap": f"{t} and nt >= {nmax}",
+        "precedence": f"{t} and b_ns < {nmin}",
+        "response_cap": f"{t} and b_nt >= {nmax}",
         "chain_precedence": f"{t} and coalesce(prev, '') <> {_q(src)}",
         "chain_response": f"prev = {_q(src)} and not ({t})",
-        "not_coexistence": f"({t} and ns > 0) or ({s} and nt > 0)",
-        "not_succession": f"{t} and ns > 0",
+        "not_coexistence": f"({t} and b_ns > 0) or ({s} and b_nt > 0)",
+        "not_succession": f"{t} and b_ns > 0",
+        "not_precedence": f"{t} and b_ns > 0",
         "not_chain_succession": f"{t} and prev = {_q(src)}",
-        "absence": f"{s} and ns >= {nmax}",
-        "exactly": f"{s} and ns >= {nmin}",
-        "init": f"not ({t}) and nt = 0",
-        "exclusive_choice": f"({s} and nt > 0) or ({t} and ns > 0)",
-        "alternate_response": f"{s} and ns > nt",
-        "alternate_precedence": f"{t} and nt >= ns",
+        "absence": f"{s} and b_ns >= {nmax}",
+        "exactly": f"{s} and b_ns >= {nmin}",
+        "init": f"not ({t}) and b_nt = 0",
+        "exclusive_choice": f"({s} and b_nt > 0) or ({t} and b_ns > 0)",
+        "alternate_response": f"{s} and b_ns > b_nt",
+        "alternate_precedence": f"{t} and b_nt >= b_ns",
     }
+    for whole, parts in {"succession": ("precedence", "response_cap"), "chain_succession": ("chain_precedence", "chain_response"), "alternate_succession": ("alternate_response", "alternate_precedence")}.items():
+        rules[whole] = " or ".join(f"({rules[p]})" for p in parts)
+    return rules
+
+
+#: Templates that count events of all labels' objects together; the others hold if they hold for each label alone.
+JOINT = ("precedence", "response_cap", "chain_precedence", "chain_response", "chain_succession")
+
+
+def _prefixes(source: str, src: str, tgt: str, rest: str) -> str:
+    """source (oid, us, eid, activity, rest) with b_ns, b_nt and prev."""
+    rows = f"(select oid, us, eid, activity, case when activity = {_q(src)} then 1 else 0 end as ns, case when activity = {_q(tgt)} then 1 else 0 end as nt{rest and ', ' + rest} from {source} q)"
+    return cuts.before("oid", rows, "ns", "nt", rest="activity" + (rest and ", " + rest), last="activity")
+
+
+@operator("u", "prefix_templates", src="view", tgt="purchase", otype="user", nmin=1, nmax=10)
+def prefix_templates(d, src, tgt, otype, nmin, nmax):
+    """How many events an eager monitor of each template would refuse, looking only at what came before on the object."""
+    f = f"select * from {_prefixes(f'(select * from {{eo}} where otype = {_q(otype)})', src, tgt, '')} b"
+    rules = prefix_rules(src, tgt, nmin, nmax)
     return f"with f as ({f}) " + " union all ".join(f"select '{k}' as template, cast(sum(case when {r} then 1 else 0 end) as bigint) as refused, count(*) as events from f" for k, r in rules.items())
+
+
+def assignments(types: tuple[str, ...]) -> str:
+    """oid, us, eid, activity: events under each assignment of one of their objects of each type."""
+    joins = " ".join(f"join {{e2o}} y{i} on y{i}.eid = v.eid and y{i}.otype = {_q(t)}" for i, t in enumerate(types))
+    return f"(select concat_ws('|', {', '.join(f'y{i}.oid' for i in range(len(types)))}) as oid, v.us, v.eid, v.activity from {{ev}} v {joins})"
+
+
+@operator("o", "prefix_joint", src="Place Order", tgt="Ship Line", types=("order", "supplier"), nmin=1, nmax=3)
+def prefix_joint(d, src, tgt, types, nmin, nmax):
+    """How many events each template refuses with several Each labels.
+
+    A template of JOINT refuses an event if it does for one assignment of objects, by the events
+    before that have all of the assignment; the others if they do for an object of any one type.
+    Events count that have an object of each type (JOINT), or of some type.
+    """
+    rules = prefix_rules(src, tgt, nmin, nmax)
+    out = []
+    for names, source, part in ((JOINT, assignments(types), ""), ([k for k in rules if k not in JOINT], f"(select oid, us, eid, activity from {{eo}} where otype in ({', '.join(map(_q, types))}))", "")):
+        flags = ", ".join(f"max(case when {rules[k]} then 1 else 0 end) as {k}" for k in names)
+        each = f"select eid, {flags} from {_prefixes(source, src, tgt, part)} b group by eid"
+        sums = ", ".join(f"cast(coalesce(sum({k}), 0) as bigint) as {k}" for k in names)
+        out += [f"select {d.pick(names)} as template, {d.pick(names, quoted=False)} as refused, events from (select count(*) as events, {sums} from ({each}) e) s cross join {d.numbers('0', str(len(names) - 1))} k"]
+    return " union all ".join(out)

@@ -40,3 +40,58 @@ def peak(key: str, spans: str) -> str:
       p as (select {key}, hr, sum(net) over (partition by {key} order by hr) - net as base from t),
       r as (select n.{key}, p.base + sum(n.net) over (partition by n.{key}, n.hr order by n.us) as running from n join p on p.{key} = n.{key} and p.hr = n.hr)
       select {key}, max(running) as peak from r group by {key})"""
+
+
+DAY, MINUTE = 86_400_000_000, 60_000_000
+
+
+def _part(width: int) -> str:
+    return f"cast(floor(us / {width}.0) as bigint)"
+
+
+def before(key: str, source: str, *counts: str, rest: str = "", last: str | None = None, width: int = DAY) -> str:
+    """Rows of source (key, us, eid, counts, rest) with b_<count>: totals over the key's rows before them in the order (us, eid).
+
+    last: a column whose value in the row before is returned as prev. A key's rows are ordered
+    within days; its days, one row each, carry the totals on.
+    """
+    w = f"over (partition by {key}, dy order by us, eid rows between unbounded preceding and 1 preceding)"
+    own = "".join(f", coalesce(sum({c}) {w}, 0) as i_{c}" for c in counts)
+    sums = "".join(f", sum({c}) as {c}" for c in counts)
+    carried = "".join(f", coalesce(sum({c}) over (partition by {key} order by dy rows between unbounded preceding and 1 preceding), 0) as o_{c}" for c in counts)
+    out = "".join(f", w.i_{c} + p.o_{c} as b_{c}" for c in counts)
+    if last:
+        own += f", lag({last}) over (partition by {key}, dy order by us, eid) as i_prev"
+        sums += f", max(case when r = 1 then {last} end) as last_one"
+        carried += f", lag(last_one) over (partition by {key} order by dy) as o_prev"
+        out += ", coalesce(w.i_prev, p.o_prev) as prev"
+        own += f", row_number() over (partition by {key}, dy order by us desc, eid desc) as r"
+    more = f", {rest}" if rest else ""
+    picked = f", {', '.join('w.' + c.strip() for c in rest.split(','))}" if rest else ""
+    return f"""(with h as (select {key}, us, eid, {_part(width)} as dy{"".join(", " + c for c in counts)}{more} from {source} s0),
+      w as (select h.*{own} from h), t as (select {key}, dy{sums} from w group by {key}, dy), p as (select {key}, dy{carried} from t)
+      select w.{key}, w.us, w.eid{picked}{out} from w join p on p.{key} = w.{key} and p.dy = w.dy)"""
+
+
+def beyond(key: str, source: str, hit: str, ahead: bool, rest: str, width: int = DAY) -> str:
+    """Rows of source (key, us, hit, rest) with n: the sum of hit over the key's rows strictly later (ahead) or earlier than them.
+
+    As before() a key's rows are ordered within days (or another width), which carry totals; rows at one time count alike.
+    """
+    frame = "between 1 following and unbounded following" if ahead else "between unbounded preceding and 1 preceding"
+    picked = ", ".join("w." + c.strip() for c in rest.split(","))
+    return f"""(with h as (select {key}, us, {_part(width)} as dy, {hit} as hit, {rest} from {source} s0),
+      w as (select h.*, coalesce(sum(hit) over (partition by {key}, dy order by us range {frame}), 0) as i_n from h), t as (select {key}, dy, sum(hit) as hit from h group by {key}, dy),
+      p as (select {key}, dy, coalesce(sum(hit) over (partition by {key} order by dy rows {frame}), 0) as o_n from t)
+      select w.{key}, w.us, {picked}, w.i_n + p.o_n as n from w join p on p.{key} = w.{key} and p.dy = w.dy)"""
+
+
+def nearest(key: str, source: str, ahead: bool, rest: str, width: int = DAY) -> str:
+    """Rows of source (key, us, rest) with near_us: the key's nearest strictly later (ahead) or earlier time."""
+    near, frame = ("min", "range between 1 following and unbounded following") if ahead else ("max", "range between unbounded preceding and 1 preceding")
+    step = "lead(lo)" if ahead else "lag(hi)"
+    picked = ", ".join("w." + c.strip() for c in rest.split(","))
+    return f"""(with h as (select {key}, us, {_part(width)} as dy, {rest} from {source} s0),
+      w as (select h.*, {near}(us) over (partition by {key}, dy order by us {frame}) as i_us from h), t as (select {key}, dy, min(us) as lo, max(us) as hi from h group by {key}, dy),
+      p as (select {key}, dy, {step} over (partition by {key} order by dy) as o_us from t)
+      select w.{key}, w.us, {picked}, coalesce(w.i_us, p.o_us) as near_us from w join p on p.{key} = w.{key} and p.dy = w.dy)"""

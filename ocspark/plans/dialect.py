@@ -26,6 +26,11 @@ class Spark:
     def join_distinct(value: str, sep: str) -> str:
         return f"array_join(array_sort(collect_set({value})), '{sep}')"
 
+    @staticmethod
+    def pick(names, quoted: bool = True) -> str:
+        """The n-th of names, as texts or as columns."""
+        return "case " + " ".join(f"when n = {i} then " + (f"'{k}'" if quoted else k) for i, k in enumerate(names)) + " end"
+
     @staticmethod
     def numbers(a: str, b: str) -> str:
         return f"(select explode(sequence({a}, {b})) as n)"

@@ -6,6 +6,8 @@ Spark reads. Relations come out as those of EventLog.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +164,102 @@ def write_json(log: EventLog, path: str) -> None:
     objects.select(F.to_json("x").alias("value")).write.mode("errorifexists").text(f"{path}/objects")
 
 
+_ENTITY = f"id string, type string, time string, attributes {_ATTR}, relationships {_REL}"
+
+
+def _types_of(log: EventLog, attributes: DataFrame | None, entities: DataFrame, key: str, kind: str) -> list[dict]:
+    """Types, by name, with the names of their entities' attributes. One row a type and name reaches the driver."""
+    names = entities.select(F.col(kind).alias("type")).distinct().withColumn("name", F.lit(None).cast("string"))
+    if attributes is not None:
+        names = names.unionByName(entities.join(attributes, key).select(F.col(kind).alias("type"), "name").distinct())
+    found: dict[str, list] = {}
+    for r in sorted(map(tuple, names.collect()), key=repr):
+        found.setdefault(r[0], []).extend([{"name": r[1], "type": "string"}] if r[1] is not None else [])
+    return [{"name": t, "attributes": a} for t, a in sorted(found.items())]
+
+
+def _iso(us: str) -> F.Column:
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def write_document(log: EventLog, path: str, joined: str | None = None) -> None:
+    """The log as one document of version 2, in parts that are written in parallel and follow each other by name.
+
+    <path>/<section>/part-*: events by time and name, objects by name with the history of their
+    attributes, an entity a line; the sections' parts, one after another, are the document. Lines
+    start with the comma that parts them from the entity before, so parts don't depend on each other.
+    joined: a file into which the parts' bytes are copied in that order, a buffer at a time; it is never
+    held whole. A null time is refused.
+    """
+    spark = log.ev.sparkSession
+    if log.ev.where("us is null").limit(1).count():
+        raise ValueError("an event has no time")
+    none = lambda key, rest: spark.createDataFrame([], f"{key} string, {rest}")
+    eattr = log.event_attributes if log.event_attributes is not None else none("eid", "name string, value string")
+    oattr = log.object_attributes if log.object_attributes is not None else none("oid", "name string, value string, us long")
+    named = log.qualifiers if log.qualifiers is not None else none("eid", "oid string, qualifier string")
+    start = log.ev.agg(F.min("us")).first()[0]
+    together = lambda df, key, x, out: df.groupBy(key).agg(F.array_sort(F.collect_list(x)).alias(out))
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t))
+    e_rel = together(log.e2o.join(named, ["eid", "oid"], "left"), "eid", F.struct(F.col("oid").alias("objectId"), F.coalesce("qualifier", F.lit("")).alias("qualifier")), "relationships")
+    e_att = together(eattr, "eid", F.struct("name", "value"), "attributes")
+    events = log.ev.join(e_rel, "eid", "left").join(e_att, "eid", "left").select(
+        "us", "eid", F.struct(F.col("eid").alias("id"), F.col("activity").alias("type"), _iso("us").alias("time"), empty(F.col("relationships"), "array<struct<objectId:string,qualifier:string>>").alias("relationships"), empty(F.col("attributes"), "array<struct<name:string,value:string>>").alias("attributes")).alias("x")
+    )
+    o_rel = together(log.o2o, F.col("src").alias("oid"), F.struct(F.col("dst").alias("objectId"), F.coalesce("qualifier", F.lit("")).alias("qualifier")), "relationships")
+    o_att = together(oattr.withColumn("at", F.coalesce("us", F.lit(start))), "oid", F.struct("name", "at", _iso("at").alias("time"), "value"), "attributes")
+    o_att = o_att.withColumn("attributes", F.transform("attributes", lambda a: F.struct(a["name"].alias("name"), a["time"].alias("time"), a["value"].alias("value"))))
+    objects = log.ob.join(o_rel, "oid", "left").join(o_att, "oid", "left").select(
+        "oid", F.struct(F.col("oid").alias("id"), F.col("otype").alias("type"), empty(F.col("attributes"), "array<struct<name:string,time:string,value:string>>").alias("attributes"), empty(F.col("relationships"), "array<struct<objectId:string,qualifier:string>>").alias("relationships")).alias("x")
+    )
+    head = {"version": "2.0", "ordering": "timestamp", "objectTypes": _types_of(log, log.object_attributes, log.ob, "oid", "otype"), "eventTypes": _types_of(log, log.event_attributes, log.ev, "eid", "activity")}
+    line = lambda text: spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+
+    def section(df: DataFrame, *order: str) -> DataFrame:
+        first = df.agg(F.min(F.struct(*order)).alias("k"))
+        comma = F.when(F.struct(*order) == F.col("k"), "").otherwise(",")
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        return ranged.join(F.broadcast(first)).select(F.concat(comma, F.to_json("x", {"ignoreNullFields": "false"})).alias("value"))  # first: one row
+
+    sections = [
+        ("0-head", line(json.dumps(head, ensure_ascii=False)[:-1] + ', "objects": [')), ("1-objects", section(objects, "oid")), ("2-between", line('], "events": [')), ("3-events", section(events, "us", "eid")), ("4-end", line("]}")),
+    ]
+    for name, df in sections:
+        df.write.mode("errorifexists").text(f"{path}/{name}")
+    if joined:
+        _copied(spark, [f"{path}/{name}" for name, _ in sections], joined)
+
+
+def _copied(spark: SparkSession, folders: list[str], target: str) -> None:
+    """The part files of folders, by name, copied one after another into target, in any store that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    out = at(target).getFileSystem(conf).create(at(target), False)
+    try:
+        for folder in folders:
+            store = at(folder).getFileSystem(conf)
+            for p in sorted(str(s.getPath()) for s in store.listStatus(at(folder)) if s.getPath().getName().startswith("part-")):
+                part = store.open(at(p))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+
+
+def read_document(spark: SparkSession, path: str) -> EventLog:
+    """A document as write_document writes it, its parts or the joined file: entities are lines, so tasks share even one file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(r"value rlike '^,?[{]\"id\"'")
+    x = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), _ENTITY).alias("x")).select("x.*")
+    e, o = x.where("time is not null"), x.where("time is null")
+    events = e.select(F.col("id").alias("eid"), F.col("type").alias("activity"), _us("time").alias("us"), F.col("relationships.objectId").alias("oids"))
+    links = o.select(F.col("id").alias("src"), F.explode("relationships").alias("r")).select("src", F.col("r.objectId").alias("dst"), "r.qualifier")
+    more = _details(e, o, "id", "id", F.col("relationships"), F.col("attributes"), F.col("attributes"), "name", "value", "time", "objectId", "qualifier")
+    return _log(events, o.select(F.col("id").alias("oid"), F.col("type").alias("otype")), links, **more)
+
+
 def write_tables(log: EventLog, path: str) -> None:
     """The relations as Parquet, the form to keep a large log in."""
     for name in ("ev", "ob", "e2o", "o2o"):
