@@ -145,7 +145,8 @@ def test_discovery_scopes_and_resources(spark):
                 arc = mining.replace(mining.scoped("A", tgt, "C", scope), arc=t)
                 assert rows["C", "A", tgt][f"{t}_{scope}"] == support(log, arc).first().satisfied, arc
     got = {(a.src, a.tgt, a.arc, a.any_, a.each, a.all_) for a, _ in mining.discover(log)}
-    assert ("A", "B", "EF", ("C",), (), ()) in got and ("A", "D", "EF", (), ("C",), ()) in got and ("A", "E", "EF", (), (), ("C",)) in got
-    # r0 meets 33 D events: a resource to arcs that lead there, not to those to B, E
-    assert not any(tgt == "D" and "R" in each for _, tgt, _, _, each, _ in got)
+    # labels are joined: r0 meets 33 D events, but one with each of A's objects
+    assert ("A", "B", "EF", ("C",), ("R",), ()) in got and ("A", "D", "EF", (), ("C", "R"), ()) in got and ("A", "E", "EF", (), ("R",), ("C",)) in got
+    alone = mining.label_supports(log, 0.2)["A", "D"][(("R", "each"),)]
+    assert alone["AS"] == alone["total"] and alone["few"] == 0
     assert any(tgt == "D" and "R" in a.each for a, _ in mining.discover(log, most_events=None) for tgt in a.tgt)
