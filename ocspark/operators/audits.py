@@ -175,3 +175,15 @@ def run_values(log: EventLog, run: Column, arcs: list[Arc]) -> DataFrame:
         rate = bindings(log, a).join(ev.select("eid", "run"), "eid").groupBy("run").agg((F.count_if(ok) / F.count("*")).alias("value"))
         out = out.union(rate.select("run", F.lit(f"arc_{i}"), "value"))
     return out
+
+
+def lifecycle_from_arcs(arcs: DataFrame) -> DataFrame:
+    """otype, activity, role of arcs (src, tgt, arc, types array): a type's entries are activities that its arcs only leave, its exits those that they only reach.
+
+    EP and DP arcs point back in time; an AS arc leaves and reaches both its ends.
+    """
+    back, both = F.col("arc").isin("EP", "DP"), F.col("arc") == "AS"
+    ends = F.array(F.struct(F.col("src").alias("activity"), (~back | both).alias("leaves"), (back | both).alias("reached")), F.struct(F.col("tgt").alias("activity"), (back | both).alias("leaves"), (~back | both).alias("reached")))
+    each = arcs.select(F.explode("types").alias("otype"), ends.alias("ends")).select("otype", F.explode("ends").alias("e")).select("otype", "e.*")
+    told = each.groupBy("otype", "activity").agg(F.max("leaves").alias("leaves"), F.max("reached").alias("reached")).where("leaves <> reached")
+    return told.select("otype", "activity", F.when(F.col("leaves"), "creates").otherwise("deactivates").alias("role"))

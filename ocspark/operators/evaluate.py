@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..log import EventLog
+from ..storage import save
 from . import arcs as arc_sql
 from . import measures
 from ..registry import doubles
 from ..plans.dialect import SPARK
 from .arcs import Arc
 
+WASSERSTEIN = ("n_reference", "n_simulated", "w1")
 #: Section, the measure's frame, what it is measured of ('' for the whole log), the measured columns.
 SECTIONS: list[tuple[str, str, str, tuple[str, ...]]] = [
     ("kl.activities", "kl_activity", "", ("kl_forward", "kl_backward")),
     ("kl.objects", "kl_objects", "", ("kl_forward", "kl_backward")),
     ("timing.wmape", "wmape", "", ("wmape_mean", "wmape_std")),
-    ("timing.wasserstein", "wasserstein", "activity", ()),
+    ("timing.wasserstein", "wasserstein", "activity", WASSERSTEIN),
     ("ngd.2", "ngd_2", "otype", ("ngd",)),
     ("ngd.3", "ngd_3", "otype", ("ngd",)),
 ]
@@ -44,17 +47,17 @@ def evaluate_logs(log: EventLog, other: EventLog | None, model: list[Arc] | None
     """(section, item, measure, value) of all sections, and of each section 'ok' or why it is unavailable.
 
     Conformance is of both logs to the model, the rest compares them. A measure that is not a
-    number is null. One section's failure to be planned leaves the others be.
+    number is null. Each section is run and stored by itself, so a failure, in planning or at run time, leaves the others be.
     """
     status: dict[str, str] = {}
     out: list[DataFrame] = []
 
     def attempt(section: str, make: Callable[[], DataFrame]) -> None:
         try:
-            out.append(make())
+            out.append(save(make(), section))
             status[section] = "ok"
-        except (ValueError, KeyError, TypeError, NotImplementedError) as why:
-            status[section] = str(why)
+        except (ValueError, KeyError, TypeError, NotImplementedError, PySparkException) as why:
+            status[section] = str(why).partition("\n")[0]
 
     roles = {"input": log} if other is None else {"input": log, "simulated": other}
     for role, one in roles.items():
@@ -75,7 +78,7 @@ def evaluate_logs(log: EventLog, other: EventLog | None, model: list[Arc] | None
             status[section] = "no log to compare with"
             continue
         attempt(section, lambda section=section, name=name, of=of, columns=columns: tall(_measured(log, other, name), section, of, columns))
-    result = out[0]
+    result = out[0] if out else log.ev.sparkSession.createDataFrame([], "section string, item string, measure string, value double")
     for frame in out[1:]:
         result = result.union(frame)
     return result.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), status

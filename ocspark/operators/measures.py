@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..log import EventLog, project
 from ..plans import cuts
-from ..registry import add, comparison, operator
+from ..registry import ORACLE, QUERIES, add, comparison, doubles, duck_sql, operator
 
 SEQ = "over (partition by oid order by us, eid)"
 
@@ -17,7 +22,7 @@ _DIRECT = f"select activity, greatest(0, (nxt - us) / 1e6) as v from (select act
 _SAMPLES = {"min": "1", "p25": "cast(ceil(0.25 * n) as bigint)", "p50": "cast(ceil(0.5 * n) as bigint)", "all": "n"}
 
 
-def _chosen(mode: str) -> str:
+def chosen_samples(mode: str) -> str:
     """activity, source, v, w: the samples of service time, by the rule of medians, lowest part only; w: how many samples have this value.
 
     The samples of an activity are of three kinds: to the next event (f), positive sojourns
@@ -35,12 +40,12 @@ def _chosen(mode: str) -> str:
 
 @operator("u", mode="p25")
 def service_times(d, mode):
-    return f"""with c as ({_chosen(mode)}), m as (select activity, sum(v * w) / sum(w) as mean from c group by activity)
+    return f"""with c as ({chosen_samples(mode)}), m as (select activity, sum(v * w) / sum(w) as mean from c group by activity)
       select c.activity, max(c.source) as source, cast(sum(c.w) as bigint) as n, round(max(m.mean), 6) as mean_s, round(sqrt(sum(c.w * (c.v - m.mean) * (c.v - m.mean)) / sum(c.w)), 6) as std_s, min(c.v) as min_s, max(c.v) as max_s
       from c join m on m.activity = c.activity group by c.activity"""
 
 
-add("timing_window", "u", lambda d: f"select activity, cast(sum(w) as bigint) as n, max(v) as highest from ({_chosen('p50')}) c group by activity")
+add("timing_window", "u", lambda d: f"select activity, cast(sum(w) as bigint) as n, max(v) as highest from ({chosen_samples('p50')}) c group by activity")
 
 
 @operator("u", mode="p25")
@@ -49,12 +54,41 @@ def ocpa_metrics(d, mode):
     return f"""select t.activity, t.n, round(t.flow, 6) as flow_mean, round(t.sojourn, 6) as sojourn_mean, round(t.sojourn_std, 6) as waiting_std, round(t.sync, 6) as sync_mean, round(t.sync, 6) as pooling_mean,
       case when t.sync is null then null else 0.0 end as lagging_mean, round(s.mean_v, 6) as service_mean, round(greatest(0, t.sojourn - s.mean_v), 6) as waiting_mean
       from (select activity, count(*) as n, avg(flow) as flow, avg(sojourn) as sojourn, stddev_pop(sojourn) as sojourn_std, avg(sync) as sync from ({_TIMES}) x group by activity) t
-      left join (select activity, sum(v * w) / sum(w) as mean_v from ({_chosen(mode)}) c group by activity) s on s.activity = t.activity"""
+      left join (select activity, sum(v * w) / sum(w) as mean_v from ({chosen_samples(mode)}) c group by activity) s on s.activity = t.activity"""
 
 
-@operator("u")
-def udaf_service_estimate(d):
-    return f"select activity, round(sum(v * w) / sum(w), 6) as estimate from ({_chosen('p50')}) c group by activity"
+@operator("u", "service_anchors", mode="p25", anchors=(("view", 120.0, 30.0, 10.0, None), ("refund", 60.0, 5.0, 0.0, 90.0)))
+def service_anchors(d, mode, anchors):
+    """Service times where some activities have given ones (activity, mean, std, min, max): these replace the measured ones of activities in the log, with no samples."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    given = " union all ".join(f"select {q(a)} as activity, 'anchor' as source, cast(0 as bigint) as n, cast({m} as double) as mean_s, cast({s} as double) as std_s, cast({lo} as double) as min_s, cast({'null' if hi is None else hi} as double) as max_s" for a, m, s, lo, hi in anchors)
+    measured = f"select activity, source, n, mean_s, std_s, min_s, max_s from ({service_times.write(d, mode)}) m where activity not in ({', '.join(q(x[0]) for x in anchors)})"
+    return f"select * from ({measured}) m union all select g.* from ({given}) g where g.activity in (select distinct activity from {{ev}})"
+
+
+def service_estimate(log: EventLog, mode: str = "p50") -> DataFrame:
+    """activity, estimate: the mean service time, by an aggregate in Python over ranges of values.
+
+    A range's state is two numbers; a range holds distinct values with their counts, and salts split it
+    further, so no group of the aggregate grows with an activity's events.
+    """
+
+    @F.pandas_udf("array<double>")
+    def weighted_sums(v: pd.Series, w: pd.Series) -> list:
+        return [float((v * w).sum()), float(w.sum())]
+
+    samples = log.sql(doubles(chosen_samples(mode)))
+    part = F.pmod(F.xxhash64("v"), F.lit(64))
+    partial = samples.groupBy("activity", part.alias("part")).agg(weighted_sums("v", F.col("w").cast("double")).alias("s"))
+    return partial.groupBy("activity").agg(F.round(F.sum(F.get("s", F.lit(0))) / F.sum(F.get("s", F.lit(1))), 6).alias("estimate"))
+
+
+def udaf_service_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service_estimate(project(spark, sf_dir, "u"))
+
+
+QUERIES["udaf_service_estimate"] = udaf_service_estimate
+ORACLE["udaf_service_estimate"] = duck_sql(doubles(f"select activity, round(sum(v * w) / sum(w), 6) as estimate from ({chosen_samples('p50')}) c group by activity"), "u")
 
 
 @operator("u")
@@ -95,8 +129,10 @@ def o2o_audit(d, src, dst, lo, hi, examples):
     """Objects with fewer or more partners than a rule allows, with the first examples by name."""
     return f"""with n as (select o.oid, count(distinct l.dst) as k from {{ob}} o left join (select l.src, l.dst from {{o2o}} l join {{ob}} b on l.dst = b.oid and b.otype = '{dst}') l on l.src = o.oid where o.otype = '{src}' group by o.oid),
       v as (select oid, case when k < {lo} then 'below' else 'above' end as fault from n where k < {lo} or k > {hi}),
-      r as (select oid, fault, row_number() over (partition by fault order by oid) as r, count(*) over (partition by fault) as n from v)
-      select fault, max(n) as n, {d.join('oid', ',', 'oid')} as examples from r where r <= {examples} group by fault"""
+      c as (select fault, count(*) as n from v group by fault),
+      f as (select oid, fault from (select oid, fault, row_number() over (partition by fault, substr(md5(oid), 1, 2) order by oid) as r from v) x where r <= {examples}),
+      e as (select fault, oid from (select fault, oid, row_number() over (partition by fault order by oid) as r from f) x where r <= {examples})
+      select c.fault, max(c.n) as n, {d.join('e.oid', ',', 'e.oid')} as examples from c join e on e.fault = c.fault group by c.fault"""
 
 
 _KEYS = "(select activity, sum(a) as a, sum(b) as b from (select activity, count(*) as a, 0 as b from {ev} group by activity union all select activity, 0, count(*) from {z_ev} group by activity) u group by activity)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans import cuts
+from .measures import chosen_samples
 from ..registry import add, operator
 
 SEQ = "over (partition by oid order by us, eid)"
@@ -45,8 +46,9 @@ def log_time_range(d):
 
 @operator("u")
 def traces_global(d):
-    """One trace of all activities by time, as rows (a trace of the whole log is no single value at scale)."""
-    return "select activity, eid, us, lag(activity) over (partition by cast(floor(us / 86400000000.0) as bigint) order by us, eid) as before_in_day from {ev}"
+    """One trace of all activities by time, as rows with the activity before (a trace of the whole log is no single value at scale). Ordered within minutes."""
+    rows = cuts.before("k", "(select 1 as k, us, eid, activity from {ev})", rest="activity", last="activity", width=cuts.MINUTE)
+    return f"select activity, eid, us, prev as previous from {rows} b"
 
 
 @operator("c", otype="conversation")
@@ -107,10 +109,12 @@ def wip_peak(d, safety):
     return f"select otype, cast(peak as bigint) as peak, cast(greatest(1, ceil(peak * {safety})) as bigint) as cap from {cuts.peak('otype', spans)} x where peak > 0"
 
 
-@operator("u", service_s=3600.0)
-def activity_concurrency(d, service_s):
-    spans = f"select activity, us as a, us + cast({service_s} * 1000000 as bigint) as b from {{ev}}"
-    return f"select activity, cast(greatest(peak, 1) as bigint) as peak from {cuts.peak('activity', spans)} x"
+@operator("u", mode="p25", safety=1.0)
+def activity_concurrency(d, mode, safety):
+    """Peak of instances at work, each from its event on for the activity's measured mean service; 1 where that is 0 or unknown."""
+    mean = f"select activity, sum(v * w) / sum(w) as mean from ({chosen_samples(mode)}) c group by activity"
+    spans = f"select e.activity, e.us as a, e.us + cast(round(m.mean * 1000000.0) as bigint) as b from {{ev}} e join ({mean}) m on m.activity = e.activity where m.mean > 0"
+    return f"select a.activity, cast(greatest(1, ceil(coalesce(x.peak, 1) * {safety})) as bigint) as peak from (select distinct activity from {{ev}}) a left join {cuts.peak('activity', spans)} x on x.activity = a.activity"
 
 
 def _ends(which: str, threshold: float) -> str:
@@ -303,20 +307,25 @@ def validate_orphans(d):
 
 @operator("o")
 def log_diagnostics(d):
+    """Counts of what a strict reader of a log would want to know. Times are one zone's microseconds, so no mixed zones can occur here."""
     return """select 'events' as what, count(*) as n from {ev} union all select 'objects', count(*) from {ob}
       union all select 'unattached_events', count(*) from {ev} e left join {e2o} x on e.eid = x.eid where x.eid is null
       union all select 'unused_objects', count(*) from {ob} o left join {e2o} x on o.oid = x.oid where x.oid is null
+      union all select 'repeated_attachments', cast(coalesce(sum(n - 1), 0) as bigint) from (select eid, oid, count(*) as n from {e2o} group by eid, oid) x
       union all select 'tied_timelines', count(*) from (select oid from {eo} group by oid having count(*) > count(distinct us)) x"""
 
 
 @operator("u", op=">", value="50", attr="us")
 def guard_filter(d, op, value, attr):
-    """Objects whose last event passes a guard; both sides as numbers if both are, else as text; a missing value never passes."""
+    """Objects whose last event's time, activity or name passes a guard; both sides as numbers if both are, else as text; a missing value never passes."""
+    if attr not in ("us", "activity", "eid"):
+        raise ValueError(f"events have no {attr}")
     ops = {"==": "=", "!=": "<>", ">": ">", "<": "<", ">=": ">=", "<=": "<="}
+    last = f"select oid, cast({d.latest(attr, 'us', 'eid')} as varchar(30)) as v from {{eo}} group by oid"
     if op not in ops:
-        return "select oid, v from (select oid, cast(max(us) as varchar(30)) as v from {eo} group by oid) x where 1 = 0"
+        return f"select oid, v from ({last}) x where 1 = 0"
     c = ops[op]
-    return f"""select oid, v from (select oid, cast(max(us) as varchar(30)) as v from {{eo}} group by oid) x where v is not null and
+    return f"""select oid, v from ({last}) x where v is not null and
       case when try_cast(v as double) is not null and try_cast('{value}' as double) is not null then try_cast(v as double) {c} try_cast('{value}' as double) else v {c} '{value}' end"""
 
 
@@ -333,14 +342,6 @@ def case_tracker(d):
       select f.activity, f.otype, count(*) as n, round(avg((l.last_us - f.us) / 1e6), 3) as mean_s, min((l.last_us - f.us) / 1e6) as min_s, max((l.last_us - f.us) / 1e6) as max_s from f join l on f.oid = l.oid where r = 1 group by f.activity, f.otype"""
 
 
-@operator("o")
-def lifecycle_from_arcs(d):
-    """Types that an activity's arcs enter but never leave, and the reverse, over the log's directly-follows pairs."""
-    return f"""with t as (select distinct otype, activity as a, nxt as b from (select otype, activity, lead(activity) {SEQ} as nxt from {{eo}}) x where nxt is not null and nxt <> activity)
-      select otype, act as activity, role from (select s.otype, s.a as act, 'creates' as role from (select distinct otype, a from t) s left join (select distinct otype, b from t) e on s.otype = e.otype and s.a = e.b where e.b is null
-      union all select e.otype, e.b, 'deactivates' from (select distinct otype, b from t) e left join (select distinct otype, a from t) s on s.otype = e.otype and s.a = e.b where s.a is null) q"""
-
-
 @operator("u")
 def tumbling_activity_counts(d):
     return "select activity, cast(floor(us / 3600000000.0) as bigint) as hour_no, count(*) as n from {ev} group by activity, cast(floor(us / 3600000000.0) as bigint)"

@@ -260,7 +260,38 @@ EVALUATED = MODEL[:2]
 
 
 def evaluate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluate_logs(project(spark, sf_dir, "u_reference"), project(spark, sf_dir, "u_simulated"), EVALUATED)[0].where("section not like 'conformance%' and section <> 'timing.wasserstein'")
+    return evaluate.evaluate_logs(project(spark, sf_dir, "u_reference"), project(spark, sf_dir, "u_simulated"), EVALUATED)[0]
+
+
+def _followed(a: Arc) -> str:
+    """eid, lo, hi of an arc's activations, by pairs of a user's events; {0} is the log's prefix."""
+    when = {"EF": "y.us > x.us", "EP": "y.us < x.us"}[a.arc]
+    return f"""select eid, min(n) as lo, max(n) as hi from (select x.eid, x.oid, count(y.eid) as n from {{0}}eo x left join {{0}}eo y on y.oid = x.oid and y.activity = '{a.tgt}' and {when}
+      where x.activity = '{a.src}' and x.otype = '{a.each[0]}' group by x.eid, x.oid) b group by eid"""
+
+
+def _conformance(role: str, z: str) -> list[str]:
+    section = f"'conformance.{role}'"
+    act = lambda a: f"(select count(*) from {z}ev where activity = '{a.src}')"
+    out, bad = [], []
+    scores = {c: [] for c in ("source_activation", "non_vacuous", "object_presence", "finite_boundary", "matching_event")}
+    for i, a in enumerate(EVALUATED):
+        f = f"({_followed(a).format(z)})"
+        n = f"(select count(*) from {f} f where lo < {a.nmin})"
+        bad.append(f"select eid from {f} f where lo < {a.nmin}")
+        out += [f"select {section}, '{i}', 'activations', {act(a)}::double", f"select {section}, '{i}', 'violated', {n}::double", f"select {section}, '{i}', 'confidence', round(1 - {n} / {act(a)}, 6)"]
+        counts = f"(select count(y.eid) as n from {z}eo x left join {z}eo y on y.oid = x.oid and y.activity = '{a.tgt}' and {'y.us > x.us' if a.arc == 'EF' else 'y.us < x.us'} where x.activity = '{a.src}' and x.otype = '{a.each[0]}' group by x.eid, x.oid)"
+        scores["source_activation"].append(f"case when {act(a)} > 0 then 1.0 else 0 end")
+        scores["non_vacuous"].append(f"case when (select count(*) from {f} f) > 0 then 1.0 else 0 end")
+        scores["object_presence"].append(f"(select count(*) from {f} f) / {act(a)}")
+        scores["finite_boundary"].append(f"(select count(*) filter (n = {a.nmin}) > 0 from {counts} c)::int::double")
+        scores["matching_event"].append(f"(select count(*) filter (n > 0) > 0 from {counts} c)::int::double")
+    out.append(f"select {section}, '', 'global_confidence', round(1 - (select count(distinct eid) from ({' union '.join(bad)}) b) / (select count(*) from {z}ev), 6)")
+    acts = sorted({x for a in EVALUATED for x in (a.src, a.tgt)})
+    out.append(f"select {section}, '', 'coverage_activity', round((select count(distinct activity) from {z}ev where activity in ({', '.join(map(repr, acts))})) / {len(acts)}, 6)")
+    out.append(f"select {section}, '', 'coverage_object_type', (select count(distinct otype) from {z}ob where otype = 'user')::double")
+    out += [f"select {section}, '', 'coverage_{c}', round(({' + '.join(xs)}) / {len(xs)}, 6)" for c, xs in scores.items()]
+    return out
 
 
 def _evaluated() -> str:
@@ -268,7 +299,8 @@ def _evaluated() -> str:
              for what, rel in (("events", f"select 1 from events where ts {op} timestamp '2024-01-16'"), ("objects", f"select distinct user_id, 0 from events where ts {op} timestamp '2024-01-16' union all select distinct 0, cast(props->>'$.k' as bigint) from events where ts {op} timestamp '2024-01-16'"))]
     for section, name, of, columns in evaluate.SECTIONS:
         parts += [f"select '{section}', {of or chr(39) * 2}, '{c}', cast({c} as double) from ({ORACLE[name]}) q" for c in columns]
-    return " union all ".join(parts)
+    parts += _conformance("input", "") + _conformance("simulated", "z_")
+    return f"with {ctes('u_reference')}, {ctes('u_simulated', 'z_')} " + " union all ".join(parts)
 
 
 QUERIES["evaluate_logs"] = evaluate_logs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans import cuts
 from ..registry import comparison, operator
-from .measures import _DIRECT, _TIMES, _area, _chosen, _z
+from .measures import _DIRECT, _TIMES, _area, chosen_samples, _z
 
 #: The compared times of an activity.
 FIELDS = ("service_mean", "service_min", "service_max", "waiting_mean", "sojourn_mean", "sync_mean", "flow_mean", "pooling_mean", "lagging_mean")
@@ -17,7 +17,7 @@ def _statistics(mode: str) -> str:
       from (select activity, count(*) as sample_count, avg(sojourn) as sojourn_mean, stddev_pop(sojourn) as sojourn_std, min(sojourn) as sojourn_min, max(sojourn) as sojourn_max, coalesce(avg(sync), 0.0) as sync_mean,
         coalesce(stddev_pop(sync), 0.0) as sync_std, avg(flow) as flow_mean, stddev_pop(flow) as flow_std from ({_TIMES}) x group by activity) t
       join (select activity, max(source) as service_source, cast(sum(w) as bigint) as service_count, sum(v * w) / sum(w) as service_mean, sqrt(greatest(0, sum(w * v * v) / sum(w) - (sum(v * w) / sum(w)) * (sum(v * w) / sum(w)))) as service_std,
-        min(v) as service_min, max(v) as service_max from ({_chosen(mode)}) c group by activity) s on s.activity = t.activity"""
+        min(v) as service_min, max(v) as service_max from ({chosen_samples(mode)}) c group by activity) s on s.activity = t.activity"""
 
 
 @operator("u", mode="p25")
@@ -58,7 +58,7 @@ def ocpa_wmape(d, mode):
 @comparison("wasserstein_summary", mode="p25")
 def wasserstein_summary(d, mode):
     """Distances of the selected service samples (hours): weighted by the first log's samples, mean, median, and the share of samples that were scored."""
-    hours = f"select activity, v / 3600.0 as v, w from ({_chosen(mode)}) s"
+    hours = f"select activity, v / 3600.0 as v, w from ({chosen_samples(mode)}) s"
     each = f"""(select activity, max(nx) as n, max(ny) as m, sum(abs(cx * 1.0 / nx - cy * 1.0 / ny) * coalesce(nv - v, 0)) as w1 from ({_area(hours, _z(hours), "select * from c").replace("1 as x, 0 as y", "w as x, 0 as y").replace("0, 1 from", "0, w from")}) c group by activity)"""
     return f"""select cast(sum(case when n > 0 and m > 0 then 1 else 0 end) as bigint) as activities_scored, count(*) as activities_total, round(sum(case when n > 0 and m > 0 then w1 * n end) / sum(case when n > 0 and m > 0 then n end), 6) as w1_weighted,
       round(avg(case when n > 0 and m > 0 then w1 end), 6) as w1_mean, round(median(case when n > 0 and m > 0 then w1 end), 6) as w1_median,

@@ -22,6 +22,11 @@ class Spark:
         keys = ", ".join(f"{o} as k{i}" for i, o in enumerate(order))
         return f"array_join(transform(array_sort(collect_list(struct({keys}, {value} as v))), s -> s.v), '{sep}')"
 
+    @staticmethod
+    def latest(value: str, *order: str) -> str:
+        """The value of the row that comes last in an order."""
+        return f"max_by({value}, struct({', '.join(order)}))"
+
     @staticmethod
     def join_distinct(value: str, sep: str) -> str:
         return f"array_join(array_sort(collect_set({value})), '{sep}')"
@@ -57,6 +62,10 @@ class Duck(Spark):
     def join(value: str, sep: str, *order: str) -> str:
         return f"string_agg({value}, '{sep}' order by {', '.join(order)})"
 
+    @staticmethod
+    def latest(value: str, *order: str) -> str:
+        return f"arg_max({value}, ({', '.join(order)}))"
+
     @staticmethod
     def join_distinct(value: str, sep: str) -> str:
         return f"string_agg(distinct {value}, '{sep}' order by {value})"

@@ -44,8 +44,37 @@ def _details(e: DataFrame, o: DataFrame, eid: str, oid: str, event_links, event_
     return {"event_attributes": ea, "object_attributes": oa, "qualifiers": q.where("qualifier is not null").distinct()}
 
 
+#: Events and objects by name, in the plain keys that a loaded log is handed on with.
+JSON_NAMED = (
+    "events map<string,struct<activity:string,timestamp:string,omap:array<string>>>, "
+    "objects map<string,struct<type:string,relationships:array<struct<objectId:string,qualifier:string>>>>"
+)
+
+
+def _read_named(spark: SparkSession, path: str) -> EventLog | None:
+    """A log whose events and objects are maps; None if the file has none."""
+    raw = spark.read.schema(JSON_NAMED).json(path, multiLine=True)
+    if not raw.where("events is not null").limit(1).count():
+        return None
+    e = raw.select(F.explode("events").alias("eid", "e")).select("eid", F.col("e.activity").alias("activity"), _us("e.timestamp").alias("us"), F.col("e.omap").alias("oids"))
+    o = raw.select(F.explode("objects").alias("oid", "o"))
+    links = o.select(F.col("oid").alias("src"), F.explode("o.relationships").alias("r")).select("src", F.col("r.objectId").alias("dst"), "r.qualifier")
+    return _log(e, o.select("oid", F.col("o.type").alias("otype")), links)
+
+
+def _read_traces(spark: SparkSession, path: str) -> EventLog | None:
+    """A file that is a list of traces, each a list of activities; None if it isn't one."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("x")).where("x is not null and size(x) > 0 and exists(x, t -> t is not null)")
+    if not text.limit(1).count():
+        return None
+    return from_traces(text.select(F.posexplode("x").alias("case_no", "trace")))
+
+
 def read_json(spark: SparkSession, path: str) -> EventLog:
-    """A log in version 2 (lists) or, where the file has none, version 1 (maps), with attributes and qualifiers."""
+    """A log in version 2 (lists), version 1 (maps), with attributes and qualifiers; as maps of plain keys; or as a list of traces.
+
+    These forms are one document, so one task reads it; read_document shares a document of one entity a line.
+    """
     two = spark.read.schema(JSON_2).json(path, multiLine=True)
     if two.where("events is not null").limit(1).count():
         e = two.select(F.explode("events").alias("e")).select("e.*")
@@ -57,7 +86,10 @@ def read_json(spark: SparkSession, path: str) -> EventLog:
         return _log(events, objects, links, **more)
     one = spark.read.schema(JSON_1).json(path, multiLine=True)
     if not one.where("`ocel:events` is not null").limit(1).count():
-        raise ValueError(f"{path} holds no event log")
+        found = _read_named(spark, path) or _read_traces(spark, path)
+        if found is None:
+            raise ValueError(f"{path} holds no event log")
+        return found
     e = one.select(F.explode("ocel:events").alias("eid", "e"))
     o = one.select(F.explode("ocel:objects").alias("oid", "o"))
     events = e.select("eid", F.col("e.ocel:activity").alias("activity"), _us("e.ocel:timestamp").alias("us"), F.col("e.ocel:omap").alias("oids"))
@@ -218,8 +250,8 @@ def write_document(log: EventLog, path: str, joined: str | None = None) -> None:
     def section(df: DataFrame, *order: str) -> DataFrame:
         first = df.agg(F.min(F.struct(*order)).alias("k"))
         comma = F.when(F.struct(*order) == F.col("k"), "").otherwise(",")
-        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        return ranged.join(F.broadcast(first)).select(F.concat(comma, F.to_json("x", {"ignoreNullFields": "false"})).alias("value"))  # first: one row
+        lines = df.join(F.broadcast(first)).select(*order, F.concat(comma, F.to_json("x", {"ignoreNullFields": "false"})).alias("value"))  # first: one row
+        return lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
 
     sections = [
         ("0-head", line(json.dumps(head, ensure_ascii=False)[:-1] + ', "objects": [')), ("1-objects", section(objects, "oid")), ("2-between", line('], "events": [')), ("3-events", section(events, "us", "eid")), ("4-end", line("]}")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..log import EventLog, ctes, project
 from ..operators import mining
 from ..operators.arcs import Arc, bindings
 from ..registry import ORACLE, QUERIES
+from ..storage import shared_dir
 from . import loaders
 
 
@@ -51,6 +54,22 @@ ORACLE["pair_supports"] = f"""with {ctes('u')}, acts as (select distinct activit
   from e group by otype, src, tgt"""
 
 
+def ocel_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of users as one document, written in parts and read back: each event with how many objects it has."""
+    log = project(spark, sf_dir, "u")
+    values = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("eid"), F.lit("value").alias("name"), F.format_string("%.2f", "value").alias("value"))
+    log.event_attributes = values
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    loaders.write_document(log, f"{at}/parts", f"{at}/log.json")
+    back = loaders.read_document(spark, f"{at}/log.json")
+    n = back.e2o.groupBy("eid").agg(F.count("*").alias("n_objects"))
+    return back.ev.join(n, "eid", "left").join(back.event_attributes.select("eid", "value"), "eid", "left").select("eid", "activity", "us", "n_objects", "value")
+
+
+QUERIES["ocel_document"] = ocel_document
+ORACLE["ocel_document"] = f"""with {ctes('u')}, n as (select eid, count(distinct oid) as n_objects from e2o group by eid) select ev.*, n.n_objects, printf('%.2f', e.value) as value from ev left join n on n.eid = ev.eid join events e on cast(e.event_id as varchar) = ev.eid"""
+
+
 #: Case, arc, events (name, activity, time, objects; c is of type C, v of V), and how many targets each binding has.
 CASES = [
     ("each_each", Arc("A", "B", "EF", each=("C", "V")), "a,A,1,c1 c2 v1 v2; b1,B,2,c1 v1; b2,B,3,c2 v2", "0,0,1,1"),

@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.arcs import prefix_templates
-from ..plans.dialect import DUCK
-from ..registry import ORACLE, QUERIES, doubles
+from ..operators.registered_discovery import templates_sql
+from ..registry import ORACLE, QUERIES
 from ..storage import shared_dir
 from . import monitors, state
 
@@ -64,8 +63,7 @@ def stream_prefix_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_prefix_templates"] = stream_prefix_templates
-_PREFIX = prefix_templates.write(DUCK, src="view", tgt="purchase", otype="user", nmin=1, nmax=10).format(eo="eo")
-ORACLE["stream_prefix_templates"] = f"with {_KEPT}, eo as (select *, 'user' as otype from kept) select * from ({doubles(_PREFIX)}) q"
+ORACLE["stream_prefix_templates"] = f"with {_KEPT} {templates_sql('kept')}"
 
 
 def stream_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
