@@ -146,3 +146,24 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     n = {f"n_{k}": secret_scan.count(i) for i, k in enumerate(secret_scan.KINDS)} | {f"n_{v}_values": secret_scan.count(verdict=v) for v in ("example", "live", "weak")}
     return out.select("doc_id", *[v.alias(k) for k, v in n.items()], F.sha2(secret_scan.listing(3), 256).alias("base_sha256"), secret_scan.listing().alias("spans"))
+
+
+def _matches(kind: int, pattern: str, group: int) -> str:
+    """Matches of a pattern with places, from what lies between them; v: the whole match or its group."""
+    return f"""select r, doc_id, source, {kind} as kind, s, s + len(m) as e, v from (select r, doc_id, source, w[i] as m, g[i] as v, list_sum(list_transform(p[1:i], lambda x : len(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x : len(x))), 0) as s
+      from (select r, doc_id, source, w, g, p, unnest(range(1, len(w) + 1)) as i from (select r, doc_id, source, regexp_extract_all(t, '{pattern}') as w, regexp_extract_all(t, '{pattern}', {group}) as g, string_split_regex(t, '{pattern}') as p from d where regexp_matches(t, '{pattern}')) x) y) z"""
+
+
+_ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api") + "_?[Kk][Ee][Yy]"
+_ASSIGN = rf"""(?:{_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ORACLE["op13_secret_scan"] = rf"""with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+b as (select * from ({_matches(0, _ASSIGN, 1)}) a where len(v) >= 6 union all {_matches(1, 'AKIA[A-Z0-9]{16,}', 0)} union all {_matches(2, '[0-9a-f]{24,}', 0)}),
+c as (select *, len(list_distinct(string_split(v, ''))) >= 8 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') as varied
+  from (select * from b union all select o.* from ({_matches(3, '[A-Za-z0-9+/_=-]{20,}', 0)}) o where not exists (select 1 from b where b.r = o.r and b.s < o.e and o.s < b.e)) q),
+k as (select * from c where kind < 3 or varied),
+n as (select v, count(distinct coalesce(source, chr(1))) as owners from k group by v),
+j as (select k.*, case when n.owners >= 3 then 'example' when varied then 'live' else 'weak' end as verdict, concat(['assign', 'access', 'hex', 'live'][kind + 1], ':', s, ':', e) as span from k join n on n.v = k.v),
+f as (select * from j where kind < 3 or verdict = 'live')
+select d.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind = 3) as n_live, count(*) filter (verdict = 'example') as n_example_values,
+  count(*) filter (verdict = 'live') as n_live_values, count(*) filter (verdict = 'weak') as n_weak_values, sha256(coalesce(string_agg(span, ',' order by s, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by s, kind), '') as spans
+from d left join f on f.r = d.r group by d.r, d.doc_id"""
