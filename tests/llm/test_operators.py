@@ -64,7 +64,7 @@ def test_html_layout_names_and_open_head():
     for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class=content-no-sidebar><article>{body}</article></div>"):
         assert html_extract.main_text(f'<body><div id=page class="no-sidebar">{inner}{side}</div>') == text
         assert html_extract.main_text(f"<body>{inner}{side}") == text
-    assert html_extract.main_text(f'<body><div id=page class="no-sidebar"><div>{body}</div><div class=ad>buy</div></div>') == text[5:]  # no article: from the first line that reaches the threshold
+    assert html_extract.main_text(f'<body><div id=page class="no-sidebar"><div>{body}</div><div class=ad>buy</div></div>') == text  # no article: from the heading of the first line that reaches the threshold
     assert html_extract.main_text(f"<article>{body}<article class=comment><p>nice</article></article>") == text
     assert html_extract.main_text(f"<html><head><title>T</title><meta charset=utf-8><body><article>{body}</article>") == text
     assert html_extract.main_text(f"<html><head><title>T</title><script>x()</script><article>{body}</article>") == text
@@ -94,6 +94,30 @@ def test_html_names_hidden_and_nesting():
     assert time.time() - began < 20
 
 
+def test_html_names_of_parts_of_an_article():
+    para, text = "<p>" + "plain text " * 30 + "</p>", ("plain text " * 30).strip()
+    for inner in ('<div class="search-method">', '<div class="comments-open">', '<div class="related">', "<div id=form><div class=sidebar-left>"):
+        assert html_extract.main_text(f"<body><main>{inner}{para}{para}</div></main>") == f"{text} {text}", inner
+    for part in ('<section class="related-work">', '<div class="alert">', '<section id="search-results-discussion-of-method">', '<div class="notice">'):
+        assert html_extract.main_text(f"<body><article>{para}{part}{para}</section></div></article>") == f"{text} {text}", part
+    links = "".join(f"<li><a href=#>more {i}</a></li>" for i in range(9))
+    for part in ('<div class="related-posts">', '<div class="alert">', '<section class="user-feedback"><h3>Comments</h3>', '<div class="newsletter-box">'):
+        assert html_extract.main_text(f"<body><article>{para * 2}{part}<ul>{links}</ul></section></div></article>") == f"{text} {text}", part
+    assert html_extract.main_text(f"<body><article>{para}<table>{'<tr><td>1</td><td>2</td></tr>' * 3}</table><ul><li>one</li><li>two</li></ul></article>").endswith("1 2 1 2 1 2 one two")
+    assert html_extract.main_text(f"<body><div><h1>Title</h1><p>By me</p>{para}</div>") == f"Title By me {text}"
+    assert html_extract.main_text(f"<body><div><p>x</p><h2>Title</h2>{para}</div>") == f"Title {text}"
+
+
+def test_html_is_read_in_time():
+    for make in (
+        lambda n: "<div class=ad>" * n + "text", lambda n: "<main>" + "<div class=ad>" * n + "text", lambda n: "<i><article>" + "<div>" * n + "</i>" * n, lambda n: "<section>" * n + "</p></section><p>" * n, lambda n: "<p>" + "<b>" * n + "<li></li>" * n,
+        lambda n: "<div class=sidebar></div>" * n + "<article>text</article>", lambda n: "<article>" * n + "text",
+    ):
+        began = time.time()
+        html_extract.main_text(make(8000))
+        assert time.time() - began < 1.5, make(1)
+
+
 def test_html_table(spark):
     rows = [(1, "<p>one two", "x"), (1, "<p>one two", "x"), (None, None, "y"), (2, "", None), (3, "<p>é &lt; \n ü", "z"), (4, "<p>" + "long words " * 200_000, "w")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
