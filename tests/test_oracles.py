@@ -56,7 +56,7 @@ def test_trace_templates(spark, seed):
 
 def test_prefix_templates(spark):
     log, _, traces = make(spark, random.Random(5))
-    want = dict.fromkeys("precedence response_cap chain_precedence chain_response not_coexistence not_succession not_chain_succession absence exactly init exclusive_choice alternate_response alternate_precedence".split(), 0)
+    want = dict.fromkeys("precedence response_cap chain_precedence chain_response not_coexistence not_succession not_chain_succession absence exactly init exclusive_choice alternate_response alternate_precedence not_precedence succession chain_succession alternate_succession".split(), 0)
     for (t, _), rows in traces.items():
         if t != "u":
             continue
@@ -69,6 +69,7 @@ def test_prefix_templates(spark):
                 "not_succession": g and ns > 0, "not_chain_succession": g and prev == "A", "absence": s and ns >= 3, "exactly": s and ns >= 1, "init": not g and nt == 0,
                 "exclusive_choice": s and nt > 0 or g and ns > 0, "alternate_response": s and ns > nt, "alternate_precedence": g and nt >= ns,
             }
+            faults |= {"not_precedence": g and ns > 0, "succession": g and (ns < 1 or nt >= 3), "chain_succession": faults["chain_precedence"] or faults["chain_response"], "alternate_succession": faults["alternate_response"] or faults["alternate_precedence"]}
             for k, bad in faults.items():
                 want[k] += bad
             ns, nt, prev = ns + s, nt + g, a
