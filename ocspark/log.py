@@ -3,6 +3,7 @@
 ev(eid, activity, us), ob(oid, otype), e2o(eid, oid, otype), o2o(src, dst, qualifier) and
 eo(oid, otype, eid, activity, us): the join that most operators start from. Times are
 microseconds. Links are sets; equal times are simultaneous, and sequences order by (us, eid).
+seq is eo with each object's event before (prev_eid, prev_activity, prev_us) and after (next_...).
 """
 
 from __future__ import annotations
@@ -11,10 +12,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.cuts import DAY
 from .plans.dialect import DUCK, SPARK, Spark
 from .storage import save
 
-RELATIONS = ("ev", "ob", "e2o", "o2o", "eo")
+RELATIONS = ("ev", "ob", "e2o", "o2o", "eo", "seq")
+
+
+#: Neighbours in an object's sequence: within days, whose first and last events, a row a day, are joined to the days around.
+NEIGHBOURS = f"""with h as (select oid, otype, eid, activity, us, cast(floor(us / {DAY}.0) as bigint) as dy from {{eo}}),
+  w as (select h.*, lag(struct(us, eid, activity)) over (partition by oid, dy order by us, eid) as b, lead(struct(us, eid, activity)) over (partition by oid, dy order by us, eid) as n from h),
+  t as (select oid, dy, min(struct(us, eid, activity)) as first, max(struct(us, eid, activity)) as last from h group by oid, dy),
+  p as (select oid, dy, lag(last) over (partition by oid order by dy) as b, lead(first) over (partition by oid order by dy) as n from t),
+  j as (select w.oid, w.otype, w.eid, w.activity, w.us, coalesce(w.b, p.b) as b, coalesce(w.n, p.n) as n from w join p on p.oid = w.oid and p.dy = w.dy)
+  select oid, otype, eid, activity, us, b.eid as prev_eid, b.activity as prev_activity, b.us as prev_us, n.eid as next_eid, n.activity as next_activity, n.us as next_us from j"""
 
 
 @dataclass
@@ -36,6 +47,10 @@ class EventLog:
             return self.joined
         return self.e2o.join(self.ev, "eid").select("oid", "otype", "eid", "activity", "us")
 
+    @property
+    def seq(self) -> DataFrame:
+        return self.ev.sparkSession.sql(NEIGHBOURS, eo=self.eo)
+
     def stored(self) -> EventLog:
         """The log written to the shared folder once, eo too, so that its relations aren't made anew in each use."""
         own = {name: save(getattr(self, name), name) for name in ("ev", "ob", "e2o", "o2o")}
@@ -133,4 +148,5 @@ def ctes(kind: str, prefix: str = "") -> str:
     tables, make = PROJECTIONS[kind]
     made = {k: text.format(**{t: t for t in tables}) for k, text in make(DUCK).items()}
     made["eo"] = f"select x.oid, x.otype, x.eid, e.activity, e.us from {prefix}e2o x join {prefix}ev e on x.eid = e.eid"
+    made["seq"] = ", ".join(["select *", *(f"{f}({c}) over w as {p}_{c}" for p, f in (("prev", "lag"), ("next", "lead")) for c in ("eid", "activity", "us"))]) + f" from {prefix}eo window w as (partition by oid order by us, eid)"
     return ", ".join(f"{prefix}{k} as ({text})" for k, text in made.items())

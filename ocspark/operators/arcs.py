@@ -300,15 +300,13 @@ add("observed_bounds", "o", lambda d: f"select cid, observed_min, observed_max f
 add("apply_bounds", "u", lambda d: f"select c.cid, coalesce(c.observed_min, m.nmin) as nmin, case when c.observed_min is null and c.observed_max is null then m.nmax else c.observed_max end as nmax from ({confidence_sql(d, MODEL)}) c join ({' union all '.join(f'select {i} as cid, {a.nmin} as nmin, cast({a.nmax if a.nmax is not None else chr(110) + chr(117) + chr(108) + chr(108)} as bigint) as nmax' for i, a in enumerate(MODEL))}) m on m.cid = c.cid")
 
 
-_SEQ = "select otype, oid, activity, row_number() over (partition by oid order by us, eid) as pos from {eo}"
-
-
 @operator("u", "trace_templates", src="view", tgt="purchase", otype="user", nmin=1, nmax=10)
 def trace_templates(d, src, tgt, otype, nmin, nmax):
     """Fitness of whole traces to each template: how many were checked and how many broke it."""
     s, t = _q(src), _q(tgt)
+    placed = "(select otype, oid, activity, row_number() over (partition by oid order by us, eid) as pos from {eo})" if d.name == "duck" else f"(select otype, oid, activity, b_one + 1 as pos from {cuts.before('oid', '(select oid, us, eid, otype, activity, 1 as one from {eo})', 'one', rest='otype, activity')} b)"
     f = f"""select oid, sum(case when activity = {s} then 1 else 0 end) as ns, sum(case when activity = {t} then 1 else 0 end) as nt,
-      min(case when activity = {s} then pos end) as s1, max(case when activity = {t} then pos end) as t9, min(case when activity = {t} then pos end) as t1 from ({_SEQ}) q where otype = {_q(otype)} group by oid"""
+      min(case when activity = {s} then pos end) as s1, max(case when activity = {t} then pos end) as t9, min(case when activity = {t} then pos end) as t1 from {placed} q where otype = {_q(otype)} group by oid"""
     rules = {
         "response": ("ns > 0", "t9 is null or t9 < s1"),
         "responded_existence": ("ns > 0", "nt = 0"),

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..log import EventLog
+from ..log import RELATIONS, EventLog
 from ..storage import save
 from . import arcs as arc_sql
 from . import measures
@@ -31,7 +31,7 @@ SECTIONS: list[tuple[str, str, str, tuple[str, ...]]] = [
 def _measured(log: EventLog, other: EventLog, name: str) -> DataFrame:
     if name.startswith("ngd_"):
         text = doubles(measures.ngd(SPARK, int(name[-1])))
-        return log.sql(text, **{f"z_{r}": getattr(other, r) for r in ("ev", "ob", "e2o", "o2o", "eo") if "{z_" + r + "}" in text})
+        return log.sql(text, **{f"z_{r}": getattr(other, r) for r in RELATIONS if "{z_" + r + "}" in text})
     return getattr(measures, name)(log, other)
 
 

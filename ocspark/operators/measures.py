@@ -10,15 +10,13 @@ from ..log import EventLog, project
 from ..plans import cuts
 from ..registry import ORACLE, QUERIES, add, comparison, doubles, duck_sql, operator
 
-SEQ = "over (partition by oid order by us, eid)"
-
 #: eid, activity, flow, sojourn, sync (seconds, null where undefined), direct service samples aside.
-_TIMES = f"""select eid, activity, max(us) as us,
+_TIMES = """select eid, activity, max(us) as us,
   case when max(prev) is null then 0.0 else greatest(0, (max(us) - max(prev)) / 1e6) end as sojourn,
   case when max(prev) is null then 0.0 else greatest(0, (max(us) - min(prev)) / 1e6) end as flow,
   case when max(prev) is null then null else greatest(0, (max(prev) - min(prev)) / 1e6) end as sync
-  from (select eid, activity, us, lag(us) {SEQ} as prev from {{eo}}) x group by eid, activity"""
-_DIRECT = f"select activity, greatest(0, (nxt - us) / 1e6) as v from (select activity, us, lead(us) {SEQ} as nxt from {{eo}}) x where nxt is not null"
+  from (select eid, activity, us, prev_us as prev from {seq}) x group by eid, activity"""
+_DIRECT = "select activity, greatest(0, (next_us - us) / 1e6) as v from {seq} x where next_us is not null"
 _SAMPLES = {"min": "1", "p25": "cast(ceil(0.25 * n) as bigint)", "p50": "cast(ceil(0.5 * n) as bigint)", "all": "n"}
 
 
@@ -94,7 +92,7 @@ ORACLE["udaf_service_estimate"] = duck_sql(doubles(f"select activity, round(sum(
 @operator("u")
 def ocpq_measures(d):
     """For consecutive events of one object with different activities: distinct event pairs and their shares, throughput, class of types."""
-    return f"""with c as (select otype, oid, eid as e1, activity as s, us as u1, lead(eid) {SEQ} as e2, lead(activity) {SEQ} as t, lead(us) {SEQ} as u2 from {{eo}}),
+    return f"""with c as (select otype, oid, eid as e1, activity as s, us as u1, next_eid as e2, next_activity as t, next_us as u2 from {{seq}}),
       p as (select * from c where t is not null and t <> s),
       n as (select activity, count(*) as n from {{ev}} group by activity),
       m as (select s, t, count(distinct concat(e1, '>', e2)) as support, count(distinct e1) as n_src, count(distinct e2) as n_tgt, avg((u2 - u1) / 1e6) as thr, {d.join_distinct('otype', '|')} as types from p group by s, t),
@@ -200,7 +198,7 @@ def _area(a: str, b: str, out: str) -> str:
 _W1 = "select activity, max(nx) as n_reference, max(ny) as n_simulated, round(sum(abs(cx * 1.0 / nx - cy * 1.0 / ny) * coalesce(nv - v, 0)), 6) as w1 from c where nx > 0 and ny > 0 group by activity"
 _KS = "select activity, round(max(abs(cx * 1.0 / nx - cy * 1.0 / ny)), 4) as ks from c where nx > 0 and ny > 0 group by activity"
 _HOURS = f"select activity, v / 3600.0 as v from ({_DIRECT}) h"
-_BACK = f"select activity, gap as v from (select activity, eid, (us - max(prev)) / 1e6 as gap from (select activity, eid, us, lag(us) {SEQ} as prev from {{eo}}) x group by activity, eid, us) y where gap >= 0 and gap < 365 * 86400.0"
+_BACK = "select activity, gap as v from (select activity, eid, (us - max(prev)) / 1e6 as gap from (select activity, eid, us, prev_us as prev from {seq}) x group by activity, eid, us) y where gap >= 0 and gap < 365 * 86400.0"
 
 
 @comparison("wasserstein")

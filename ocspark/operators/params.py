@@ -6,7 +6,12 @@ from ..plans import cuts
 from .measures import chosen_samples
 from ..registry import add, operator
 
-SEQ = "over (partition by oid order by us, eid)"
+
+def sums_before(d, source: str, count: str, rest: str) -> str:
+    """Rows of source with b_<count>, the sum over the object's rows before; cut by days in Spark, one plain window for comparison."""
+    if d.name == "duck":
+        return f"(select oid, us, eid, {rest}, coalesce(sum({count}) over (partition by oid order by us, eid rows between unbounded preceding and 1 preceding), 0) as b_{count} from {source} s0)"
+    return cuts.before("oid", source, count, rest=rest)
 
 
 @operator("o")
@@ -118,9 +123,9 @@ def activity_concurrency(d, mode, safety):
 
 
 def _ends(which: str, threshold: float) -> str:
-    order = "us, eid" if which == "creates" else "us desc, eid desc"
+    edge = "prev_eid" if which == "creates" else "next_eid"
     return f"""select f.otype, f.activity, f.n, round(f.n * 1.0 / t.n, 6) as share from
-      (select otype, activity, count(*) as n from (select otype, activity, row_number() over (partition by oid order by {order}) as r from {{eo}}) x where r = 1 group by otype, activity) f
+      (select otype, activity, count(*) as n from {{seq}} x where {edge} is null group by otype, activity) f
       join (select otype, count(*) as n from {{ob}} group by otype) t on f.otype = t.otype where f.n >= {threshold} * t.n"""
 
 
@@ -154,7 +159,7 @@ def permanent_threshold(d, ratio=3.0):
 @operator("o")
 def creation_counts(d):
     """For each activity and type: in how many events how many objects appear for the first time; pairs that never create are left out."""
-    return """with f as (select eid, otype, count(*) as k from (select eid, otype, row_number() over (partition by oid order by us, eid) as r from {eo}) x where r = 1 group by eid, otype),
+    return """with f as (select eid, otype, count(*) as k from {seq} x where prev_eid is null group by eid, otype),
       p as (select distinct e.activity, f.otype from f join {ev} e on f.eid = e.eid),
       h as (select p.activity, p.otype, e.eid, coalesce(f.k, 0) as created from p join {ev} e on p.activity = e.activity left join f on f.eid = e.eid and f.otype = p.otype)
       select activity, otype, cast(created as bigint) as created, count(*) as n_events from h group by activity, otype, created"""
@@ -163,43 +168,44 @@ def creation_counts(d):
 @operator("c")
 def transition_global(d):
     """Bigram shares over all traces."""
-    return """with b as (select activity as a, lead(activity) over (partition by oid order by us, eid) as b from {eo})
+    return """with b as (select activity as a, next_activity as b from {seq})
       select a, b, n, round(n * 1.0 / sum(n) over (partition by a), 6) as p from (select a, b, count(*) as n from b where b is not null group by a, b) x"""
 
 
 @operator("u")
 def transition_oc(d):
     """a to another activity b on an object's trace, as a share of all firings of a."""
-    return f"""with b as (select activity as a, lead(activity) {SEQ} as b from {{eo}}), t as (select a, count(*) as total from b group by a)
+    return f"""with b as (select activity as a, next_activity as b from {{seq}}), t as (select a, count(*) as total from b group by a)
       select b.a, b.b, count(*) as n, round(count(*) * 1.0 / max(t.total), 6) as p from b join t on b.a = t.a where b.b is not null and b.b <> b.a group by b.a, b.b"""
 
 
 @operator("u")
 def trace_end_prob(d):
-    return f"select activity, round(avg(case when nxt is null then 1.0 else 0.0 end), 6) as p_end from (select activity, lead(activity) {SEQ} as nxt from {{eo}}) x group by activity"
+    return f"select activity, round(avg(case when nxt is null then 1.0 else 0.0 end), 6) as p_end from (select activity, next_activity as nxt from {{seq}}) x group by activity"
 
 
 @operator("u")
 def start_end_counts(d):
     return f"""select activity, cast(sum(case when before is null then 1 else 0 end) as bigint) as n_start, cast(sum(case when nxt is null then 1 else 0 end) as bigint) as n_end
-      from (select activity, lag(activity) {SEQ} as before, lead(activity) {SEQ} as nxt from {{eo}}) x group by activity"""
+      from (select activity, prev_activity as before, next_activity as nxt from {{seq}}) x group by activity"""
 
 
 @operator("u")
 def trace_position(d):
-    return f"select activity, round(avg(pos), 4) as position from (select activity, percent_rank() {SEQ} as pos from {{eo}}) x group by activity"
+    placed = sums_before(d, "(select oid, us, eid, activity, 1 as one from {eo})", "one", "activity")
+    return f"""select x.activity, round(avg(case when t.n = 1 then 0.0 else x.b_one / (t.n - 1.0) end), 4) as position from {placed} x join (select oid, count(*) as n from {{eo}} group by oid) t on t.oid = x.oid group by x.activity"""
 
 
 @operator("u")
 def transition_by_type(d):
     return f"""select otype, prev, activity as next, n, round(n * 1.0 / sum(n) over (partition by otype, prev), 6) as p from
-      (select otype, prev, activity, count(*) as n from (select otype, activity, coalesce(lag(activity) {SEQ}, '<START>') as prev from {{eo}}) x group by otype, prev, activity) y"""
+      (select otype, prev, activity, count(*) as n from (select otype, activity, coalesce(prev_activity, '<START>') as prev from {{seq}}) x group by otype, prev, activity) y"""
 
 
 @operator("u", min_pct=1.0)
 def start_activities(d, min_pct):
     return f"""select activity, n, pct from (select activity, n, round(100.0 * n / sum(n) over (), 1) as pct from
-      (select activity, count(*) as n from (select activity, row_number() {SEQ} as r from {{eo}}) x where r = 1 group by activity) y) z where pct >= {min_pct}"""
+      (select activity, count(*) as n from {{seq}} x where prev_eid is null group by activity) y) z where pct >= {min_pct}"""
 
 
 @operator("o", share=0.95)
@@ -230,8 +236,9 @@ def participation(d):
 @operator("c")
 def streaks(d):
     """Longest run of one activity on an object."""
-    return """select otype, activity, max(n) as longest from (select otype, oid, activity, grp, count(*) as n from (select otype, oid, activity, sum(changed) over (partition by oid order by us, eid rows unbounded preceding) as grp from
-      (select otype, oid, activity, us, eid, case when lag(activity) over (partition by oid order by us, eid) = activity then 0 else 1 end as changed from {eo}) x) y group by otype, oid, activity, grp) z group by otype, activity"""
+    marked = "(select oid, us, eid, otype, activity, case when prev_activity = activity then 0 else 1 end as changed, case when prev_activity = activity then 0 else 1 end as own from {seq})"
+    runs = sums_before(d, marked, "changed", "otype, activity, own")
+    return f"""select otype, activity, max(n) as longest from (select otype, oid, activity, b_changed + own as grp, count(*) as n from {runs} y group by otype, oid, activity, b_changed + own) z group by otype, activity"""
 
 
 def ngrams(d, n):
@@ -251,7 +258,7 @@ add("ngrams_3", "c", ngrams, n=3)
 
 @operator("u")
 def object_gaps(d):
-    return f"select otype, count(gap) as n, round(avg(gap), 6) as mean_s, round(max(gap), 6) as max_s from (select otype, (us - lag(us) {SEQ}) / 1e6 as gap from {{eo}}) x group by otype"
+    return f"select otype, count(gap) as n, round(avg(gap), 6) as mean_s, round(max(gap), 6) as max_s from (select otype, (us - prev_us) / 1e6 as gap from {{seq}}) x group by otype"
 
 
 @operator("u")
@@ -267,17 +274,17 @@ def inter_event_gaps(d):
 @operator("u")
 def backward_sojourn(d):
     """Time since the latest earlier event on any of an event's objects."""
-    return f"""select activity, count(gap) as n, round(avg(gap), 6) as mean_s from (select activity, eid, (us - max(prev)) / 1e6 as gap from (select activity, eid, us, lag(us) {SEQ} as prev from {{eo}}) x group by activity, eid, us) y group by activity"""
+    return f"""select activity, count(gap) as n, round(avg(gap), 6) as mean_s from (select activity, eid, (us - max(prev)) / 1e6 as gap from (select activity, eid, us, prev_us as prev from {{seq}}) x group by activity, eid, us) y group by activity"""
 
 
 @operator("u")
 def dfg(d):
-    return f"select a, b, count(*) as n from (select activity as a, lead(activity) {SEQ} as b from {{eo}}) x where b is not null group by a, b"
+    return f"select a, b, count(*) as n from (select activity as a, next_activity as b from {{seq}}) x where b is not null group by a, b"
 
 
 @operator("u", k=10)
 def top_transitions(d, k):
-    return f"select a, b, n from (select a, b, n, row_number() over (order by n desc, a, b) as r from (select a, b, count(*) as n from (select activity as a, lead(activity) {SEQ} as b from {{eo}}) x where b is not null group by a, b) y) z where r <= {k}"
+    return f"select a, b, n from (select a, b, n, row_number() over (order by n desc, a, b) as r from (select a, b, count(*) as n from (select activity as a, next_activity as b from {{seq}}) x where b is not null group by a, b) y) z where r <= {k}"
 
 
 @operator("u", k=10)
@@ -287,7 +294,7 @@ def last_events(d, k):
 
 @operator("u", digits=4)
 def normalize_rows(d, digits):
-    return f"select a, b, round(n * 1.0 / sum(n) over (partition by a), {digits}) as p from (select a, b, count(*) as n from (select activity as a, lead(activity) {SEQ} as b from {{eo}}) x where b is not null group by a, b) y"
+    return f"select a, b, round(n * 1.0 / sum(n) over (partition by a), {digits}) as p from (select a, b, count(*) as n from (select activity as a, next_activity as b from {{seq}}) x where b is not null group by a, b) y"
 
 
 @operator("o")
@@ -338,8 +345,8 @@ def cooccurrence_pairs(d):
 @operator("o")
 def case_tracker(d):
     """Objects first seen at each activity, and how long after it their last event is."""
-    return """with f as (select oid, otype, activity, us, row_number() over (partition by oid order by us, eid) as r from {eo}), l as (select oid, max(us) as last_us from {eo} group by oid)
-      select f.activity, f.otype, count(*) as n, round(avg((l.last_us - f.us) / 1e6), 3) as mean_s, min((l.last_us - f.us) / 1e6) as min_s, max((l.last_us - f.us) / 1e6) as max_s from f join l on f.oid = l.oid where r = 1 group by f.activity, f.otype"""
+    return """with f as (select oid, otype, activity, us from {seq} where prev_eid is null), l as (select oid, max(us) as last_us from {eo} group by oid)
+      select f.activity, f.otype, count(*) as n, round(avg((l.last_us - f.us) / 1e6), 3) as mean_s, min((l.last_us - f.us) / 1e6) as min_s, max((l.last_us - f.us) / 1e6) as max_s from f join l on f.oid = l.oid group by f.activity, f.otype"""
 
 
 @operator("u")
@@ -354,5 +361,6 @@ def sliding_activity_counts(d, width_h):
 
 @operator("u", gap_s=86400)
 def session_windows(d, gap_s):
-    return f"""select otype, count(*) as n_sessions, max(n) as longest from (select otype, oid, grp, count(*) as n from (select otype, oid, sum(fresh) over (partition by oid order by us, eid rows unbounded preceding) as grp from
-      (select otype, oid, us, eid, case when us - lag(us) {SEQ} <= {gap_s * 1000000} then 0 else 1 end as fresh from {{eo}}) x) y group by otype, oid, grp) z group by otype"""
+    fresh = f"case when us - prev_us <= {gap_s * 1000000} then 0 else 1 end"
+    rows = sums_before(d, f"(select oid, us, eid, otype, {fresh} as fresh, {fresh} as own from {{seq}})", "fresh", "otype, own")
+    return f"""select otype, count(*) as n_sessions, max(n) as longest from (select otype, oid, b_fresh + own as grp, count(*) as n from {rows} y group by otype, oid, b_fresh + own) z group by otype"""
