@@ -7,8 +7,9 @@ activity. A binding holds one object of every Each type; its events must share a
 binding's objects, all objects of All types, and one of every Any type. An arc without
 types has one binding for each activation, whose scope is the whole log.
 
-One Each label is counted with windows over the object's days, whose totals are carried on,
-without a self-join, so no task sorts an object's whole timeline. Several labels are joined.
+Each labels alone are counted with windows over the days of an object, or of a tuple of objects of
+all labels, whose totals are carried on, without a self-join, so no task sorts a whole timeline.
+With All and Any labels bindings and events are joined by the binding's rarest object.
 """
 
 from __future__ import annotations
@@ -44,10 +45,18 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
 
 
+def assignments(types: tuple[str, ...]) -> str:
+    """oid, us, eid, activity: events under each assignment of one of their objects of each type."""
+    if len(types) == 1:
+        return f"(select oid, eid, activity, us from {{eo}} where otype = {_q(types[0])})"
+    joins = " ".join(f"join {{e2o}} y{i} on y{i}.eid = v.eid and y{i}.otype = {_q(t)}" for i, t in enumerate(types))
+    return f"(select concat_ws(chr(31), {', '.join(f'y{i}.oid' for i in range(len(types)))}) as oid, v.us, v.eid, v.activity from {{ev}} v {joins})"
+
+
 def _single(a: Arc) -> str:
-    """eid, bid, n of a single Each label, by windows over each object's days."""
+    """eid, bid, n of Each labels alone, by windows over the days of each assignment of objects."""
     hit = f"case when activity = {_q(a.tgt)} then 1 else 0 end"
-    rows = f"(select oid, eid, activity, us from {{eo}} where otype = {_q(a.each[0])})"
+    rows = assignments(a.each)
     mine = f"activity = {_q(a.src)}"
     if a.arc == "AS":
         return f"select x.eid, x.oid as bid, cast(coalesce(y.n, 0) as bigint) as n from {rows} x left join (select oid, sum({hit}) as n from {rows} t group by oid) y on y.oid = x.oid where x.{mine}"
@@ -75,7 +84,7 @@ def bindings_sql(a: Arc) -> str:
     """SQL for eid, bid, n: how many target events each binding of each activation has."""
     if not (a.each or a.all_ or a.any_):
         return _whole(a)
-    if len(a.each) == 1 and not a.all_ and not a.any_:
+    if a.each and not a.all_ and not a.any_:
         return _single(a)
     cols = [f"o{i}" for i in range(len(a.each))]
     joins = " ".join(f"join {{e2o}} e{i} on e{i}.eid = a.eid and e{i}.otype = {_q(t)}" for i, t in enumerate(a.each))
@@ -368,12 +377,6 @@ def prefix_templates(d, src, tgt, otype, nmin, nmax):
     return f"with f as ({f}) " + " union all ".join(f"select '{k}' as template, cast(sum(case when {r} then 1 else 0 end) as bigint) as refused, count(*) as events from f" for k, r in rules.items())
 
 
-def assignments(types: tuple[str, ...]) -> str:
-    """oid, us, eid, activity: events under each assignment of one of their objects of each type."""
-    joins = " ".join(f"join {{e2o}} y{i} on y{i}.eid = v.eid and y{i}.otype = {_q(t)}" for i, t in enumerate(types))
-    return f"(select concat_ws('|', {', '.join(f'y{i}.oid' for i in range(len(types)))}) as oid, v.us, v.eid, v.activity from {{ev}} v {joins})"
-
-
 @operator("o", "prefix_joint", src="Place Order", tgt="Ship Line", types=("order", "supplier"), nmin=1, nmax=3)
 def prefix_joint(d, src, tgt, types, nmin, nmax):
     """How many events each template refuses with several Each labels.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..plans import cuts
-from .measures import chosen_samples
 from ..registry import add, operator
 
 
@@ -114,29 +113,21 @@ def wip_peak(d, safety):
     return f"select otype, cast(peak as bigint) as peak, cast(greatest(1, ceil(peak * {safety})) as bigint) as cap from {cuts.peak('otype', spans)} x where peak > 0"
 
 
-@operator("u", mode="p25", safety=1.0)
-def activity_concurrency(d, mode, safety):
-    """Peak of instances at work, each from its event on for the activity's measured mean service; 1 where that is 0 or unknown."""
-    mean = f"select activity, sum(v * w) / sum(w) as mean from ({chosen_samples(mode)}) c group by activity"
-    spans = f"select e.activity, e.us as a, e.us + cast(round(m.mean * 1000000.0) as bigint) as b from {{ev}} e join ({mean}) m on m.activity = e.activity where m.mean > 0"
-    return f"select a.activity, cast(greatest(1, ceil(coalesce(x.peak, 1) * {safety})) as bigint) as peak from (select distinct activity from {{ev}}) a left join {cuts.peak('activity', spans)} x on x.activity = a.activity"
-
-
-def _ends(which: str, threshold: float) -> str:
-    edge = "prev_eid" if which == "creates" else "next_eid"
+def _ends(d, which: str, threshold: float) -> str:
+    edge = d.earliest if which == "creates" else d.latest
     return f"""select f.otype, f.activity, f.n, round(f.n * 1.0 / t.n, 6) as share from
-      (select otype, activity, count(*) as n from {{seq}} x where {edge} is null group by otype, activity) f
+      (select otype, activity, count(*) as n from (select otype, oid, {edge('activity', 'us', 'eid')} as activity from {{eo}} group by otype, oid) x group by otype, activity) f
       join (select otype, count(*) as n from {{ob}} group by otype) t on f.otype = t.otype where f.n >= {threshold} * t.n"""
 
 
 @operator("o", threshold=0.5)
 def lifecycle_creates(d, threshold):
-    return _ends("creates", threshold)
+    return _ends(d, "creates", threshold)
 
 
 @operator("o", threshold=0.5)
 def lifecycle_deactivates(d, threshold):
-    return _ends("deactivates", threshold)
+    return _ends(d, "deactivates", threshold)
 
 
 _REUSE = """select o.otype, avg(coalesce(m.n, 0)) as score from {ob} o left join (select oid, max(n) as n from (select oid, activity, count(*) as n from {eo} group by oid, activity) x group by oid) m on o.oid = m.oid group by o.otype"""
@@ -159,9 +150,9 @@ def permanent_threshold(d, ratio=3.0):
 @operator("o")
 def creation_counts(d):
     """For each activity and type: in how many events how many objects appear for the first time; pairs that never create are left out."""
-    return """with f as (select eid, otype, count(*) as k from {seq} x where prev_eid is null group by eid, otype),
-      p as (select distinct e.activity, f.otype from f join {ev} e on f.eid = e.eid),
-      h as (select p.activity, p.otype, e.eid, coalesce(f.k, 0) as created from p join {ev} e on p.activity = e.activity left join f on f.eid = e.eid and f.otype = p.otype)
+    return f"""with f as (select eid, otype, count(*) as k from (select oid, otype, {d.earliest('eid', 'us', 'eid')} as eid from {{eo}} group by oid, otype) x group by eid, otype),
+      p as (select distinct e.activity, f.otype from f join {{ev}} e on f.eid = e.eid),
+      h as (select p.activity, p.otype, e.eid, coalesce(f.k, 0) as created from p join {{ev}} e on p.activity = e.activity left join f on f.eid = e.eid and f.otype = p.otype)
       select activity, otype, cast(created as bigint) as created, count(*) as n_events from h group by activity, otype, created"""
 
 
@@ -205,7 +196,7 @@ def transition_by_type(d):
 @operator("u", min_pct=1.0)
 def start_activities(d, min_pct):
     return f"""select activity, n, pct from (select activity, n, round(100.0 * n / sum(n) over (), 1) as pct from
-      (select activity, count(*) as n from {{seq}} x where prev_eid is null group by activity) y) z where pct >= {min_pct}"""
+      (select activity, count(*) as n from (select {d.earliest('activity', 'us', 'eid')} as activity from {{eo}} group by oid) x group by activity) y) z where pct >= {min_pct}"""
 
 
 @operator("o", share=0.95)
@@ -345,8 +336,8 @@ def cooccurrence_pairs(d):
 @operator("o")
 def case_tracker(d):
     """Objects first seen at each activity, and how long after it their last event is."""
-    return """with f as (select oid, otype, activity, us from {seq} where prev_eid is null), l as (select oid, max(us) as last_us from {eo} group by oid)
-      select f.activity, f.otype, count(*) as n, round(avg((l.last_us - f.us) / 1e6), 3) as mean_s, min((l.last_us - f.us) / 1e6) as min_s, max((l.last_us - f.us) / 1e6) as max_s from f join l on f.oid = l.oid group by f.activity, f.otype"""
+    return f"""with f as (select oid, otype, {d.earliest('activity', 'us', 'eid')} as activity, min(us) as us, max(us) as last_us from {{eo}} group by oid, otype)
+      select activity, otype, count(*) as n, round(avg((last_us - us) / 1e6), 3) as mean_s, min((last_us - us) / 1e6) as min_s, max((last_us - us) / 1e6) as max_s from f group by activity, otype"""
 
 
 @operator("u")

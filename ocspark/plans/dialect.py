@@ -27,6 +27,10 @@ class Spark:
         """The value of the row that comes last in an order."""
         return f"max_by({value}, struct({', '.join(order)}))"
 
+    @staticmethod
+    def earliest(value: str, *order: str) -> str:
+        return f"min_by({value}, struct({', '.join(order)}))"
+
     @staticmethod
     def join_distinct(value: str, sep: str) -> str:
         return f"array_join(array_sort(collect_set({value})), '{sep}')"
@@ -66,6 +70,10 @@ class Duck(Spark):
     def latest(value: str, *order: str) -> str:
         return f"arg_max({value}, ({', '.join(order)}))"
 
+    @staticmethod
+    def earliest(value: str, *order: str) -> str:
+        return f"arg_min({value}, ({', '.join(order)}))"
+
     @staticmethod
     def join_distinct(value: str, sep: str) -> str:
         return f"string_agg(distinct {value}, '{sep}' order by {value})"
