@@ -3,8 +3,9 @@
 Terms and stems are words and word beginnings that labelled toxic texts have and other
 labelled texts lack, by a significance test. The trie of them is intersected with
 Levenshtein automata (insertions, deletions, substitutions, swaps of neighbours) and made
-deterministic once; each worker then walks all words of a batch through it, one character
-at a time. Inexact matches are dropped when the word is known from texts that aren't toxic.
+deterministic as words need it: each worker walks all words of a batch through it, one
+character at a time, and works out a move when a word first takes it. What it keeps of moves is
+bounded, whatever the lexicon; the broadcast is the trie. Inexact matches are dropped when the word is known from texts that aren't toxic.
 A window of words around each match decides whether it is quoted or reported, which counts
 less than abuse in the text's own voice. A logistic model turns the counts into a score.
 
@@ -94,13 +95,19 @@ def stem_edits(stem: str) -> int:
     return int(len(stem) >= 6)
 
 
+#: Entries of the table of moves that a worker keeps.
+MOVES = 1 << 24
+_NONE: frozenset = frozenset()
+
+
 class Automaton:
-    """The intersection of the lexicon's trie with Levenshtein automata, made deterministic: a table of moves and what each state accepts.
+    """The intersection of the lexicon's trie with Levenshtein automata, made deterministic move by move.
 
-    free: the first letter may be edited, and so may stems.
+    A state is a set of (node of the trie, edits so far, letter that must follow after half a swap);
+    node -1 is a stem that was met. free: the first letter may be edited, and so may stems.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], free: bool = False) -> None:
+    def __init__(self, terms: list[str], stems: list[str], free: bool = False, moves: int = MOVES) -> None:
         child: list[dict[str, int]] = [{}]
         end: list[list[tuple[int, int]]] = [[]]  # kind, edits allowed
         for kind, group in ((TERM, terms), (STEM, stems)):
@@ -116,98 +123,141 @@ class Automaton:
         room = [0] * len(child)
         for at in range(len(child) - 1, -1, -1):
             room[at] = max([e for _, e in end[at]] + [room[k] for k in child[at].values()], default=0)
-        symbols = sorted({c for x in child for c in x})
-        self.symbol = np.zeros(max((ord(v) for c in symbols for v in (c, c.upper()) if len(v) == 1), default=0) + 2, np.int32)  # the last is of all beyond
-        for k, c in enumerate(symbols, 1):
+        self.child, self.end, self.room, self.free, self.moves = child, end, room, free, moves
+        self.symbols = sorted({c for x in child for c in x})
+        self.symbol = np.zeros(max((ord(v) for c in self.symbols for v in (c, c.upper()) if len(v) == 1), default=0) + 2, np.int32)  # the last is of all beyond
+        for k, c in enumerate(self.symbols, 1):
             for v in {c, c.upper()}:
                 if len(v) == 1:
                     self.symbol[ord(v)] = k
-        n_symbols = len(symbols) + 1
-
-        def close(states: set) -> frozenset:
-            """With the states reached by leaving characters of the trie out, and stems done."""
-            todo, found = list(states), set(states)
-            while todo:
-                s = todo.pop()
-                if s[0] < 0 or s[2]:
-                    continue
-                at, e, _ = s
-                more = [(-1, e, "") for kind, most in end[at] if kind == STEM and e <= most]
-                if at or free:
-                    more += [(k, e + 1, "") for k in child[at].values() if e + 1 <= room[k]]
-                for x in more:
-                    if x not in found:
-                        found.add(x)
-                        todo.append(x)
-            least: dict = {}
-            for at, e, wait in found:
-                least[at, wait] = min(e, least.get((at, wait), 9))
-            return frozenset((at, e, wait) for (at, wait), e in least.items())
-
-        def move(states: frozenset, c: str) -> frozenset:
-            out = set()
-            for at, e, wait in states:
-                if at < 0:
-                    out.add((at, e, ""))
-                    continue
-                if wait:
-                    if c == wait:
-                        out.add((at, e, ""))
-                    continue
-                for x, k in child[at].items():
-                    if x == c:
-                        out.add((k, e, ""))
-                    elif (at or free) and e + 1 <= room[k]:
-                        out.add((k, e + 1, ""))
-                    if c in child[k] and e + 1 <= room[child[k][c]] and x != c:
-                        out.add((child[k][c], e + 1, x))  # a swap: x must follow
-                if (at or free) and e + 1 <= room[at]:
-                    out.add((at, e + 1, ""))
-            return close(out)
-
-        start, none = close({(0, 0, "")}), frozenset()
-        number, todo, rows = {none: 0, start: 1}, [start], {0: [0] * n_symbols}
-        while todo:
-            s = todo.pop()
-            row = []
-            # letters that no next edge has all lead where the unknown one does
-            told = {x for at, _, wait in s if at >= 0 for x in (wait, *child[at], *(y for k in child[at].values() for y in child[k]))}
-            for c in ["\0", *symbols]:
-                t = move(s, c) if c in told or not row else other
-                if not row:
-                    other = t
-                if t not in number:
-                    number[t] = len(number)
-                    todo.append(t)
-                row.append(number[t])
-            rows[number[s]] = row
-        self.table = np.array([rows[k] for k in range(len(number))], np.int32)
-        self.accept = np.zeros(len(number), np.int8)
-        for states, k in number.items():
+        self.forget()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "states", "table", "accept", "settled", "told")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the dead state, 0, and the start, 1, are known."""
+        width = len(self.symbols) + 1
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.told: dict[int, set[str]] = {}
+        self.table = np.full((256, width), -1, np.int32)
+        self.accept, self.settled = np.zeros(256, np.int8), np.zeros(256, bool)
+        self.name(_NONE)
+        self.table[0] = 0
+        self.name(self.close({(0, 0, "")}))
+
+    def name(self, states: frozenset) -> int:
+        """The state's number, a new one if it is new."""
+        k = self.number.get(states)
+        if k is None:
+            k = self.number[states] = len(self.states)
+            self.states.append(states)
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.accept, self.settled = (np.concatenate([x, np.zeros_like(x)]) for x in (self.accept, self.settled))
             kinds = set()
             for at, e, wait in states:
                 if at < 0:
                     kinds.add(STEM if e == 0 else NEAR)
                 elif not wait:
-                    kinds |= {TERM if e == 0 else NEAR for kind, most in end[at] if kind == TERM and e <= most}
+                    kinds |= {TERM if e == 0 else NEAR for kind, most in self.end[at] if kind == TERM and e <= most}
             self.accept[k] = min(kinds, default=0)
+            self.settled[k] = all(at < 0 for at, _, _ in states)  # no letter changes it any more
+        return k
+
+    def close(self, states: set) -> frozenset:
+        """With the states reached by leaving characters of the trie out, and stems done."""
+        todo, found = list(states), set(states)
+        while todo:
+            s = todo.pop()
+            if s[0] < 0 or s[2]:
+                continue
+            at, e, _ = s
+            more = [(-1, e, "") for kind, most in self.end[at] if kind == STEM and e <= most]
+            if at or self.free:
+                more += [(k, e + 1, "") for k in self.child[at].values() if e + 1 <= self.room[k]]
+            for x in more:
+                if x not in found:
+                    found.add(x)
+                    todo.append(x)
+        least: dict = {}
+        for at, e, wait in found:
+            least[at, wait] = min(e, least.get((at, wait), 9))
+        return frozenset((at, e, wait) for (at, wait), e in least.items())
+
+    def move(self, states: frozenset, c: str) -> frozenset:
+        child, room, out = self.child, self.room, set()
+        for at, e, wait in states:
+            if at < 0:
+                out.add((at, e, ""))
+                continue
+            if wait:
+                if c == wait:
+                    out.add((at, e, ""))
+                continue
+            for x, k in child[at].items():
+                if x == c:
+                    out.add((k, e, ""))
+                elif (at or self.free) and e + 1 <= room[k]:
+                    out.add((k, e + 1, ""))
+                if c in child[k] and e + 1 <= room[child[k][c]] and x != c:
+                    out.add((child[k][c], e + 1, x))  # a swap: x must follow
+            if (at or self.free) and e + 1 <= room[at]:
+                out.add((at, e + 1, ""))
+        return self.close(out)
+
+    def learn(self, state: int, symbol: int) -> None:
+        """Works out a move. Letters that no next edge has all lead where the unknown one does."""
+        states = self.states[state]
+        if state not in self.told:
+            self.told[state] = {x for at, _, wait in states if at >= 0 for x in (wait, *self.child[at], *(y for k in self.child[at].values() for y in self.child[k]))}
+        if symbol and self.symbols[symbol - 1] in self.told[state]:
+            to = self.name(self.move(states, self.symbols[symbol - 1]))
+        else:
+            if self.table[state, 0] < 0:
+                to = self.name(self.move(states, "\0"))
+                self.table[state, 0] = to
+            to = self.table[state, 0]
+        self.table[state, symbol] = to
+
+    def step(self, live: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states after one more symbol of each word."""
+        if len(self.states) * self.table.shape[1] > self.moves:  # of all that is known keep where the words are
+            kept, back = np.unique(live, return_inverse=True)
+            sets = [self.states[k] for k in kept]
+            self.forget()
+            live = np.array([self.name(x) for x in sets], np.int32)[back]
+        to = self.table[live, symbols]
+        new = to < 0
+        if new.any():
+            width = self.table.shape[1]
+            for pair in np.unique(live[new].astype(np.int64) * width + symbols[new]):
+                self.learn(int(pair // width), int(pair % width))
+            to = self.table[live, symbols]
+        return to
 
     def walk(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What is accepted of each word, all walked at once, a character each step."""
         sym = self.symbol[np.minimum(chars, len(self.symbol) - 1)]
-        state = np.ones(len(starts), np.int32)
         order = np.argsort(starts - ends, kind="stable")  # longest first
-        s, length, live = starts[order], (ends - starts)[order], np.ones(len(starts), np.int32)
-        live = state[order]
-        n, k = len(s), 0
+        s, length = starts[order], (ends - starts)[order]
+        found = np.zeros(len(starts), np.int8)
+        live, n, k = np.ones(len(starts), np.int32), len(starts), 0
         while n:
-            n = int(np.searchsorted(-length[:n], -k, "left"))  # words of more than k characters
-            live[:n] = self.table[live[:n], sym[s[:n] + k]]
-            k += 1
-            if n and k > 3 and not live[:n].any():
+            more = int(np.searchsorted(-length[:n], -k, "left"))  # words of more than k characters
+            found[order[more:n]] = self.accept[live[more:n]]
+            live, n = live[:more], more
+            if not n or k > 3 and self.settled[live].all():
                 break
-        state[order] = live
-        return self.accept[state]
+            live = self.step(live, sym[s[:n] + k])
+            k += 1
+        found[order[:n]] = self.accept[live[:n]]
+        return found
 
 
 def text_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

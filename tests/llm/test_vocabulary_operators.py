@@ -1,8 +1,10 @@
 """Spelling variants, whitening and secrets against brute force, on odd rows too."""
 
 import hashlib
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ocspark.llm import secret_scan, spelling_variants, whitening
+from ocspark.llm import secret_scan, spelling_variants, toxicity, whitening
 from ocspark.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -176,6 +178,33 @@ def test_exact_deviations_of_large_sums():
     assert basis.deviation(x) == [None] * 3 or all(v is None for v in basis.deviation(x)[:2])
 
 
+# -- the lexicon's automaton
+
+def test_automaton_of_a_large_lexicon():
+    """Built at once whatever the lexicon, sent as its trie alone; what it keeps of moves is bounded and makes no difference."""
+    rng = random.Random(8)
+    spell = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    terms = [spell(10, "abcdefghijklmnopqrst") for _ in range(2000)]
+    began = time.time()
+    automaton = toxicity.Automaton(terms, [], free=True)
+    assert time.time() - began < 2 and len(pickle.dumps(automaton)) < 1_000_000
+    words = terms[:50] + [t[:3] + t[4:] for t in terms[50:100]] + [t[1] + t[0] + t[2:] for t in terms[100:120] if t[0] != t[1]] + [spell(6, "uvwxyz") for _ in range(50)]
+
+    def walked(a):
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(w) for w in words])
+        return a.walk(chars, ends - [len(w) for w in words], ends).tolist()
+
+    got = walked(automaton)
+    assert got[:50] == [toxicity.TERM] * 50 and set(got[50:-50]) == {toxicity.NEAR} and set(got[-50:]) == {0}
+    small = toxicity.Automaton(terms, [], free=True, moves=2000)
+    assert walked(small) == got == walked(pickle.loads(pickle.dumps(small))) and len(small.states) < len(automaton.states)
+    stem = toxicity.Automaton([], ["abcd"], free=True)
+    began = time.time()
+    text = np.frombuffer(("abcd" + "x" * 1_000_000).encode("utf-32-le"), np.uint32)
+    assert stem.walk(text, np.array([0]), np.array([len(text)])).tolist() == [toxicity.STEM] and time.time() - began < 2
+
+
 # -- secrets
 
 def brute_base(text):
