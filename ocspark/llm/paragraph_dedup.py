@@ -8,7 +8,8 @@ is nearer than min_words. So a paragraph has at least min_words and, where place
 run out, at most 2 min_words - 1 words, and a passage of 50 words that stands inside other
 text holds whole paragraphs. Fewer words than min_words between fixed cuts are never a
 repeat (their meeting again is chance). 8 bands of 2 registers let a pair of similarity 0.8
-go with probability 3e-4, equal paragraphs never. Paragraphs that collide are verified by exact
+go with probability 3e-4, equal paragraphs never. Paragraphs that share none of the shingles
+that an exact prefix filter looks at can't be similar to any other and get no bands. Paragraphs that collide are verified by exact
 weighted Jaccard and clustered by components; in each class the first occurrence (by
 doc_id, then place) stays and all others are removals.
 
@@ -22,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, clashes, mix, save, settled, slices, span_hashes, text_bytes, words
-from .near_dedup import bag_minhash, band_hashes, link, weighted_shingles
+from .common import NOT_SPACE, mix, save, slices, span_hashes, text_bytes, words
+from .near_dedup import _GOLD, bands_of, link, weighted_shingles
 
 BANDS, ROWS = 8, 2
 _END = np.isin(np.arange(256), list(b".!?"))
@@ -106,63 +107,80 @@ def _each(docs: DataFrame, text: str, fields: str, make, extra: list[str] = []):
     return docs.select(text, *extra).mapInArrow(run, fields)
 
 
+def _side_by_side(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the spans and n + 1 offsets into them, as texts of their own."""
+    own = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)
+    return raw[np.arange(int(own[-1])) + np.repeat(s - own[:-1], e - s)], own
+
+
+def _first_ones(key: np.ndarray, key2: np.ndarray) -> np.ndarray:
+    """Places of the first of each pair of keys."""
+    order = np.lexsort((key2, key))
+    a, b = key[order], key2[order]
+    return np.sort(order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]) if len(key) else order
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
-    """doc_id, start (code points), length, key, key2 of each paragraph that may be a repeat."""
+    """doc_id, start (code points), length, key, key2 of each paragraph that may be a repeat, and its text, which copies near by need not have."""
 
     def make(batch, i, raw, off):
         s, e, d, key, key2 = cut(raw, off, min_words)
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         at = chars[s] - chars[off[d]]
-        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(d + i)).cast(pa.int64()), pa.array(at), pa.array(chars[e] - chars[s]), pa.array(key), pa.array(key2)], names=["doc_id", "start", "length", "key", "key2"])
-
-    return _each(docs.withColumnRenamed(id_col, "doc_id"), text, "doc_id long, start long, length long, key long, key2 long", make, ["doc_id"])
+        copy = np.ones(len(key), bool)
+        copy[_first_ones(key, key2)] = False
+        size = np.where(copy, 0, e - s)
+        part, own = _side_by_side(raw, s, s + size)
+        texts = pa.Array.from_buffers(pa.string(), len(key), [pa.py_buffer(np.packbits(~copy, bitorder="little")), pa.py_buffer(own.astype(np.int32)), pa.py_buffer(part)])
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(d + i)).cast(pa.int64()), pa.array(at), pa.array(chars[e] - chars[s]), pa.array(key), pa.array(key2), texts], names=["doc_id", "start", "length", "key", "key2", "text"])
 
+    return _each(docs.withColumnRenamed(id_col, "doc_id"), text, "doc_id long, start long, length long, key long, key2 long, text string", make, ["doc_id"])
 
-def paragraph_buckets(docs: DataFrame, text: str = "text", min_words: int = 10, k: int = 5) -> DataFrame:
-    """key, key2, b0, b1, ...: a bucket of each band of a paragraph; without repeats."""
 
-    def make(batch, i, raw, off):
-        s, e, _, key, key2 = cut(raw, off, min_words)
-        pick = np.sort(np.unique(np.stack([key, key2]), axis=1, return_index=True)[1]) if len(key) else np.zeros(0, np.int64)
-        s, e, key, key2 = s[pick], e[pick], key[pick], key2[pick]
-        # the paragraphs stand side by side, as texts of their own
-        inner = np.cumsum(e - s)
-        part = raw[np.arange(int(inner[-1]) if len(inner) else 0) - np.repeat(inner - (e - s), e - s) + np.repeat(s, e - s)]
-        own = np.concatenate([[0], inner]).astype(np.int64)
-        d, h, w = weighted_shingles(part, own, k)
-        sig = bag_minhash(d, h, w, len(key), BANDS * ROWS)
-        found = band_hashes(sig, BANDS, ROWS)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(key2), *(pa.array(found[:, b].copy()) for b in range(BANDS))], names=names)
-
-    names = ["key", "key2", *(f"b{b}" for b in range(BANDS))]
-    return _each(docs, text, ", ".join(f"{c} long" for c in names), make).dropDuplicates(["key", "key2"])
+def may_be_similar(docs: DataFrame, text: str = "text", min_words: int = 10, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """The keys of paragraphs that another one may reach the similarity with; no such paragraph is left out.
 
-
-def paragraph_texts(docs: DataFrame, text: str = "text", min_words: int = 10) -> DataFrame:
-    """key, key2, text; without repeats."""
+    Of n shingles, in the order of their hashes, a paragraph that reaches it shares at least
+    ceil(similarity * n), so one of the first n - ceil(similarity * n) + 1 of both is the
+    same. Paragraphs of which none of these recurs, nearly all, need no signature.
+    """
 
     def make(batch, i, raw, off):
         s, e, _, key, key2 = cut(raw, off, min_words)
-        pick = np.unique(np.stack([key, key2]), axis=1, return_index=True)[1] if len(key) else np.zeros(0, np.int64)
-        data = raw.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(key2[pick]), pa.array([data[s[p] : e[p]].decode("utf-8", "replace") for p in pick], pa.string())], names=["key", "key2", "text"])
-
-    return _each(docs, text, "key long, key2 long, text string", make).dropDuplicates(["key", "key2"])
+        pick = _first_ones(key, key2)
+        d, h, w = weighted_shingles(*_side_by_side(raw, s[pick], e[pick]), k)
+        # copies of a shingle are shingles of their own
+        copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        d, h = np.repeat(d, w), np.where(copy, mix(np.repeat(h, w) + copy.astype(np.uint64) * _GOLD), np.repeat(h, w))
+        order = np.lexsort((h, d)) if copy.any() else slice(None)  # they are in order without copies
+        d, h = d[order], h[order]
+        n = np.bincount(d, minlength=len(pick))
+        first = np.arange(len(d)) - (np.cumsum(n) - n)[d] <= (n - np.ceil(similarity * n - 1e-9))[d]
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(key[pick][d[first]])], names=["e", "key"])
+
+    each = _each(docs, text, "e long, key long", make)
+    one = Window.partitionBy("e")
+    met = each.withColumns({"a": F.min("key").over(one), "b": F.max("key").over(one)})
+    return save(met.where("a <> b").select("key").distinct(), "paragraph-keys")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 10, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """Occurrences of paragraphs that occur again: doc_id, start, length, class_key, class_doc_id, class_start, removed."""
-    found = save(paragraphs(docs, id_col, text, min_words), "paragraphs")
-    clash = clashes(found, "key", "key2")
-    one = lambda df: settled(df, "key", "key2", "id", clash).drop("key", "key2")
-    found = one(found).withColumnRenamed("id", "key")
-    buckets = save(one(paragraph_buckets(docs, text, min_words, k)), "paragraph-buckets")
-    buckets = buckets.select("id", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
-    roots = link(one(paragraph_texts(docs, text, min_words)), buckets, "paragraph", similarity, k)
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start")).alias("first"))
-    keys = keys.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
-    classes = keys.groupBy("class_key").agg(F.sum("n").alias("total"), F.min("first").alias("first")).where("total > 1")
-    wanted = save(keys.select("key", "class_key").join(classes, "class_key").select("key", "class_key", "first"), "paragraph-classes")
-    out = found.join(wanted, "key")
+    near = may_be_similar(docs, text, min_words, similarity, k).withColumn("near", F.lit(True))
+    # all occurrences of a paragraph meet once; what neither recurs nor may be similar ends there
+    same, equal = Window.partitionBy("key"), Window.partitionBy("key", "key2")
+    found = paragraphs(docs, id_col, text, min_words).repartition("key").sortWithinPartitions("key", "key2")
+    found = found.withColumns({"least": F.min("key2").over(same), "most": F.max("key2").over(same)})
+    found = found.withColumns({"n": F.count("*").over(equal), "first": F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start")).over(equal)})
+    found = found.join(near, "key", "left").withColumn("near", F.col("near").isNotNull() | (F.col("least") != F.col("most")))
+    own = F.when(F.col("key2") == F.col("least"), F.col("key")).otherwise(F.xxhash64("key", "key2", F.lit("again")))  # different paragraphs of one key, hardly ever any
+    found = save(found.where("n > 1 or near").select("doc_id", "start", "length", own.alias("id"), "n", "first", "near", F.when(F.col("near"), F.col("text")).alias("text")), "paragraphs")
+    texts = save(found.where("text is not null").select("id", "text").dropDuplicates(["id"]), "paragraph-texts")
+    roots = link(texts, save(bands_of(texts, BANDS, ROWS, k), "paragraph-buckets"), "paragraph", similarity, k)
+    found = found.drop("text")
+    linked = found.where("near").join(roots, "id", "left").where("n > 1 or root is not null").withColumn("class_key", F.coalesce("root", "id")).drop("root")
+    least = linked.groupBy("class_key").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "class_key").withColumn("first", F.col("least")).drop("least")
+    out = found.where("not near").withColumn("class_key", F.col("id")).unionByName(linked)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
     return out.select("doc_id", "start", "length", "class_key", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"), (~stays).alias("removed"))

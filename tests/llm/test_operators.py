@@ -384,6 +384,23 @@ def test_paragraph_classes_are_those_of_brute_force(spark):
     assert got == expected and len(expected) > 20
 
 
+def test_paragraphs_without_similar_ones_get_no_bands(spark, monkeypatch):
+    """Signatures are made of those alone that an exact filter cannot rule out, and of all of these."""
+    rng = random.Random(21)
+    lines = [words(rng, 15).split() for _ in range(60)]
+    near = [[*x[:-1], "other"] for x in lines[:5]] + [lines[5][:-2]] + [lines[6]]  # 10 of 12 shingles, 9 of 11, equal
+    rows, seen = list(enumerate(map(" ".join, lines + near))), []
+
+    def link(texts, buckets, *args):
+        seen.append((Counter(r.text for r in texts.collect()), buckets.count()))
+        return near_dedup.link(texts, buckets, *args)
+
+    monkeypatch.setattr(paragraph_dedup, "link", link)
+    got = {r.doc_id: r.class_doc_id for r in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(7)} | {60 + i: i for i in range(7)}
+    assert seen == [(Counter(t for i, t in rows if i < 6 or 60 <= i < 66), 12 * paragraph_dedup.BANDS)]
+
+
 def test_paragraph_cuts_of_embedded_passages():
     """Passages inside other text, with no line break at their edges, hold whole paragraphs of their own."""
     rng = random.Random(7)
