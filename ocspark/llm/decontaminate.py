@@ -32,8 +32,6 @@ from .common import ALNUM, LOWER, save, slices, span_hashes, text_bytes, text_ke
 
 #: Distinct benchmark terms that are sent to every task (8 bytes each); beyond that the index keeps all terms and joins pick.
 MAX_SENT_TERMS = 2_000_000
-#: A word, as Spark's regular expressions have it.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULTS = ("n_words", "n_hit", "items", "near_items", "contaminated")
 
 
@@ -42,6 +40,21 @@ def _terms(raw: np.ndarray, off: np.ndarray):
     return span_hashes(LOWER[raw] if len(raw) else raw, starts, ends).view(np.int64), doc
 
 
+def _count_words(column: pa.Array) -> pa.Array:
+    """Words of each text: a letter's byte begins one if none is before it in the text."""
+    raw, off = text_bytes(column)
+    n = np.zeros(len(off) - 1, np.int64)
+    for i, j in slices(off):
+        inside = ALNUM[raw[off[i] : off[j]]]
+        own = off[i : j + 1] - off[i]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = own[:-1][own[1:] > own[:-1]]
+        begins[first] = inside[first]
+        n[i:j] = np.diff(np.searchsorted(np.flatnonzero(begins), own))
+    return pa.array(n)
+
+
 def item_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
     """item_id (string), phrase (128 bits of the window's words) and terms of each window of the items."""
 
@@ -214,8 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, anchors
     facts = found.join(named, ["k1", "k2"], "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("n_hit").alias("__h"), F.col("items").alias("__i"), F.col("near_items").alias("__j"))
     names = [c for c in docs.columns if c not in RESULTS or c == text]
     k1, k2 = text_key(F.col(text))
-    n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    out = docs.select(*names, k1.alias("__k1"), k2.alias("__k2"), n.alias("__n")).join(save(facts, "facts"), ["__k1", "__k2"], "left")
+    out = docs.select(*names, k1.alias("__k1"), k2.alias("__k2"), F.arrow_udf(_count_words, "long")(text).alias("__n")).join(save(facts, "facts"), ["__k1", "__k2"], "left")
     none = F.array().cast("array<string>")
     out = out.select(*names, F.col("__n").alias("n_words"), F.coalesce("__h", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("__i", none).alias("items"), F.array_except(F.coalesce("__j", none), F.coalesce("__i", none)).alias("near_items"))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))

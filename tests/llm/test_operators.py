@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,19 @@ def test_decontamination(spark, docs, empty, texts):
     assert not decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count()
 
 
+def test_words_are_counted_in_batches(spark):
+    """By bytes, as the pattern has them: at the edges of texts and slices, beyond ASCII, null and empty."""
+    texts = ["ab", "cd e", None, "", "-", "é ü\u3000x", "a_b@c[d{e`f\x7fg", "9:9", "tail ", " head", "x" * 5_000_000, "y z" * 2_000_000, "end"]
+    expected = [len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")) for t in texts]
+    column = pa.array(["skipped", *texts])
+    assert decontaminate._count_words(column.slice(1)).to_pylist() == expected
+    assert decontaminate._count_words(column.slice(0, 0)).to_pylist() == []
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:10])], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, "cd e")], "item_id long, text string"))
+    assert [r.n_words for r in got.orderBy("doc_id").collect()] == expected[:10]
+    assert "regexp_count" not in got._jdf.queryExecution().toString()
+
+
 def test_pii(docs, empty):
     found = pii.find(docs)
     r = next(x for x in found.collect() if x.doc_id == 12)
