@@ -170,6 +170,12 @@ def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names.split())
 
 
+def _flat(lists: pa.ListArray) -> tuple[pa.StructArray, list[int]]:
+    """The structs of all lists in one array, and where each list begins and the last ends in it."""
+    cut = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    return lists.flatten(), cut.tolist()
+
+
 _LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
 
 
@@ -264,14 +270,16 @@ def repeated_windows(identified: DataFrame, size: int, text: str) -> tuple[DataF
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             data = raw.tobytes()
-            for d in range(batch.num_rows):
-                k, rows, seen = batch.column(0)[d].as_py(), [], set()
-                for x in batch.column(2)[d].as_py():
-                    at = off[d] + x["s"]
-                    part, a = data[at : at + x["w"] // size], x["w"] % size
+            flat, cut = _flat(batch.column(2))
+            place, wide, anchor = (flat.field(x).to_pylist() for x in ("s", "w", "h"))
+            for d, (k, begin) in enumerate(zip(batch.column(0).to_pylist(), off[:-1].tolist(), strict=True)):
+                rows, seen = [], set()
+                for x in range(cut[d], cut[d + 1]):
+                    s, h, (n, a) = place[x], anchor[x], divmod(wide[x], size)
+                    part = data[begin + s : begin + s + n]
                     c = _digest(part, a)
-                    rows.append((k, x["s"], x["h"], c, a, None if (x["h"], c) in seen else part))  # a text brings equal contexts once
-                    seen.add((x["h"], c))
+                    rows.append((k, s, h, c, a, None if (h, c) in seen else part))  # a text brings equal contexts once
+                    seen.add((h, c))
                     if len(rows) > 4000:
                         yield _batch(rows, "k s h c a context", kinds)
                         rows = []
@@ -294,11 +302,13 @@ def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text", out: st
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             removed, spans, sha, rest = [], [], [], []
-            for d, rows in enumerate(batch.column(2).to_pylist()):
+            flat, cut = _flat(batch.column(2))
+            place, masks, windows = (flat.field(x).to_pylist() for x in ("s", "mask", "windows"))
+            for d in range(batch.num_rows):
                 own = raw[off[d] : off[d + 1]]
                 step = np.zeros(len(own) + 1, np.int32)
-                for r in rows:
-                    bits = np.flatnonzero(np.unpackbits(np.frombuffer(r["mask"], np.uint8))[: r["windows"]]) + r["s"]
+                for x in range(cut[d], cut[d + 1]):
+                    bits = np.flatnonzero(np.unpackbits(np.frombuffer(masks[x], np.uint8))[: windows[x]]) + place[x]
                     step[bits] = 1
                 starts = np.flatnonzero(step)
                 level = np.zeros(len(own) + 1, np.int32)

@@ -216,6 +216,13 @@ def test_anchor_parts_cover_each_window_once():
             assert seen == list(range(n))
 
 
+def test_lists_of_structs_are_read_as_arrays():
+    """Also of a part of a batch, and with empty lists."""
+    lists = [[{"s": 9}], [{"s": 1}, {"s": 2}], [], [{"s": 3}], [{"s": 8}]]
+    flat, cut = substring_dedup._flat(pa.array(lists, pa.list_(pa.struct([("s", pa.int32())]))).slice(1, 3))
+    assert cut == [0, 2, 2, 3] and flat.field("s").to_pylist() == [1, 2, 3]
+
+
 @pytest.mark.parametrize("most", [8000, 2, 0])
 def test_substrings(docs, empty, texts, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MAX_CONTEXTS", most)
