@@ -17,9 +17,40 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None
 
 
 def sessions(events: DataFrame, gap: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Sessions of each object (oid, ts): runs of events with no gap of the given length."""
-    w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w, "oid").agg(F.count("*").alias("n")).select("oid", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    """Sessions of each object (oid, ts): runs of events with no gap of the given length.
+
+    An event counts while its own window (its time and the gap) ends ahead of the watermark. A
+    session is held for one more gap than its window, as until then an event that still counts can
+    join it: Spark's session windows end with the window, and what comes then begins a second one.
+    State holds the object's open sessions as three numbers each.
+    """
+    width, delay = (pd.Timedelta(x).value // 1000 for x in (gap, late))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = list(zip(*state.get, strict=True)) if state.exists else []
+        runs: list[list[int]] = []
+        for first, last, n in sorted([*open_, *((us, us, 1) for b in batches for us in b["us"].tolist())]):
+            if runs and first - runs[-1][1] < width:
+                runs[-1][1], runs[-1][2] = max(last, runs[-1][1]), runs[-1][2] + n
+            else:
+                runs.append([first, last, n])
+        now = state.getCurrentWatermarkMs()
+        done, open_ = [r for r in runs if r[1] + 2 * width <= now * 1000], [r for r in runs if r[1] + 2 * width > now * 1000]
+        if open_:
+            state.update(tuple(map(list, zip(*open_, strict=True))))
+            state.setTimeoutTimestamp(max(-(-(open_[0][1] + 2 * width) // 1000), now + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame([(key[0], first, last + width, n) for first, last, n in done], columns=["oid", "start", "end", "n"])
+
+    rows = events.where("ts is not null").select("oid", F.unix_micros("ts").alias("us"), F.timestamp_micros(F.unix_micros("ts") + width).alias("until"))
+    said = (
+        rows.withWatermark("until", f"{delay + width} microseconds")  # of the windows' ends, so that it lies where that of the times would
+        .groupBy("oid")
+        .applyInPandasWithState(step, "oid string, start long, end long, n long", "firsts array<long>, lasts array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+    return said.select("oid", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "n")
 
 
 def response_monitor(events: DataFrame, src: str, tgt: str, horizon: str = "1 day", late: str = "2 hours") -> DataFrame:

@@ -85,3 +85,11 @@ def test_windows_take_late_rows_and_drop_later_ones(spark):
     events = [("o1", "e1", "A", 0, 0), ("o1", "e2", "A", 50, 0), ("o1", "e3", "A", 49, 1), ("o1", "e4", "A", 1, 1), ("o2", "e5", "B", 120, 1)]
     got = {(r.start.timestamp() / 3600, r.activity): r.n for r in replay(rows_of(spark, events), lambda s: monitors.windowed_counts(s, "10 hours", late="1 day"), 2).where("activity <> ''").collect()}
     assert got == {(0.0, "A"): 1, (40.0, "A"): 1, (50.0, "A"): 1, (120.0, "B"): 1}
+
+
+def test_late_event_joins_a_session(spark):
+    """One that still counts, and falls within the gap of a session whose window is behind the watermark, lengthens it; one that comes too late doesn't."""
+    events = [("o1", "e1", "A", 10, 0), ("o1", "e2", "A", 15, 0), ("o2", "e3", "A", 48, 0), ("o3", "e4", "A", 16, 1), ("o1", "e5", "A", 25, 1), ("o1", "e6", "A", 20, 1), ("o4", "e7", "A", 12, 1), ("o1", "e8", "A", 37, 1)]
+    said = replay(rows_of(spark, events), lambda s: monitors.sessions(s, "12 hours", late="20 hours"), 2).where("oid <> ''")
+    got = {(r.oid, r.a // HOUR, r.b // HOUR, r.n) for r in said.select("oid", F.unix_micros("start").alias("a"), F.unix_micros("end").alias("b"), "n").collect()}
+    assert got == {("o1", 10, 37, 4), ("o1", 37, 49, 1), ("o2", 48, 60, 1)}
