@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 import pytest
 
 from ocspark import log
+from ocspark.operators import joint
 from ocspark.storage import shared_dir
 
 DATA = "/root/testdata/sf0.01"
@@ -41,3 +42,12 @@ def test_little_is_stored(spark):
     made = log.project(spark, DATA, "o")
     assert 0 < size(at) - before < os.path.getsize(f"{DATA}/lineitem.parquet")
     assert "Exchange" not in made.eo._jdf.queryExecution().executedPlan().toString()
+
+
+def test_objects_of_events_meet_in_one_shuffle(spark):
+    """Events of joint labels are gathered with the objects of all types at once; it took a shuffle for each type's, and one for all."""
+    made = log.project(spark, DATA, "o")
+    plan = joint.with_objects(made, ("order", "part"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    row = plan.where("eid = 'po_5'").first()
+    assert row.xs == {"order": ["order_5"]}
