@@ -9,7 +9,8 @@ from urllib.parse import urlparse
 import pytest
 
 from ocspark import log
-from ocspark.operators import joint
+from ocspark.operators import joint, params
+from ocspark.plans.dialect import DUCK, SPARK
 from ocspark.storage import shared_dir
 
 DATA = "/root/testdata/sf0.01"
@@ -51,3 +52,21 @@ def test_objects_of_events_meet_in_one_shuffle(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     row = plan.where("eid = 'po_5'").first()
     assert row.xs == {"order": ["order_5"]}
+
+
+def test_diagnostics_of_odd_logs(spark):
+    """Repeated links, events and objects alone, links of no event, missing times; events' names are shuffled once."""
+    made = log.EventLog(
+        spark.createDataFrame([("a", "A", 1), ("b", "A", 1), ("c", "B", None), ("d", "B", 2), (None, "B", 3)], "eid string, activity string, us long"), spark.createDataFrame([("x", "t"), ("y", "t"), ("z", "t")], "oid string, otype string"),
+        spark.createDataFrame([("a", "x", "t"), ("a", "x", "t"), ("b", "x", "t"), ("c", "y", "t"), ("q", "y", "t"), (None, "y", "t")], "eid string, oid string, otype string"), spark.createDataFrame([], "src string, dst string, qualifier string"),
+    )
+    texts = [params.log_diagnostics.write(d) for d in (SPARK, DUCK)]
+    one, two = (made.sql(text) for text in texts)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(eid")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, two = (made.sql(text) for text in texts)
+        assert shuffles(one) < shuffles(two)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
